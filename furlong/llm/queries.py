@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import decontaminate, line_dedup, packing, records
+from furlong.llm import decontaminate, language_id, line_dedup, packing, records, token_counts, warc
+from furlong.llm.shared import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +18,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~held_out("doc_id")), public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.identify(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages"))
+
+
 def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.write_and_read(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -35,7 +50,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
+    "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
     "op7_records": op7_records,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,

@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
+from itertools import chain
 
+import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most words that a Python worker remembers; beyond it the cache starts anew.
+#: Most words that a Python worker remembers; beyond it the table starts anew.
 CACHE_WORDS = 1_000_000
 
 
@@ -47,35 +49,66 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-class WordCache:
-    """Remembers a value for each word; ``values`` computes those of many new words at once.
+#: One table for each model in a Python worker, for as long as the worker lives.
+_CACHES: dict[str, WordTable] = {}
 
-    Bounded: when more than ``limit`` words are known, all are forgotten.
-    """
-
-    def __init__(self, values: Callable[[list[str]], Iterable], limit: int = CACHE_WORDS):
-        self.values, self.limit, self.known = values, limit, {}
-
-    def learn(self, words: Iterable[str]) -> dict:
-        """The dictionary in which each of ``words`` (and others) has its value."""
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > self.limit and self.known:
-            self.known = {}
-            new = set(words)
-        if new:
-            new = list(new)
-            self.known.update(zip(new, self.values(new), strict=True))
-        return self.known
 
-
-#: One cache for each model in a Python worker, for as long as the worker lives.
-_CACHES: dict[str, WordCache] = {}
-
-
-def worker_cache(key: str, make: Callable[[], WordCache]) -> WordCache:
-    """The worker's cache under ``key``; a worker keeps the latest four."""
+def worker_table(key: str, make: Callable[[], WordTable]) -> WordTable:
+    """The worker's table under ``key``; a worker keeps the latest four."""
     if key not in _CACHES:
         while len(_CACHES) >= 4:
             _CACHES.pop(next(iter(_CACHES)))
         _CACHES[key] = make()
     return _CACHES[key]
+
+
+class WordTable:
+    """A row of numbers for each word, computed once a word; sums of the rows over texts.
+
+    Bounded: when more than ``limit`` words are known, all are forgotten.
+    """
+
+    def __init__(self, values: Callable[[list[str]], np.ndarray], columns: int, limit: int = CACHE_WORDS):
+        self.values, self.columns, self.limit = values, columns, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1 << 14, self.columns))
+
+    def index(self, texts: list[list[str]]) -> np.ndarray:
+        """Where the rows of all words of ``texts`` are, one after the other."""
+        new = set().union(*texts).difference(self.at)
+        if len(self.at) + len(new) > self.limit and self.at:
+            self._clear()
+            new = set().union(*texts)
+        if new:
+            words, first = list(new), len(self.at)
+            while first + len(words) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[first : first + len(words)] = self.values(words)
+            self.at.update(zip(words, range(first, first + len(words)), strict=True))
+        return np.fromiter(map(self.at.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+
+    def sums(self, texts: list[list[str]]) -> np.ndarray:
+        """The sum of the rows of each text's words; zeros for a text without words."""
+        out = np.zeros((len(texts), self.columns))
+        sizes = np.array([len(words) for words in texts])
+        if sizes.sum():
+            full = np.flatnonzero(sizes)
+            index = self.index(texts)
+            out[full] = np.add.reduceat(self.rows[index], (np.cumsum(sizes) - sizes)[full])
+        return out
+
+
+def in_blocks(texts: Iterable[str], most: int = 1_000_000) -> Iterable[list[str]]:
+    """``texts`` in lists of about ``most`` characters, in order."""
+    block, size = [], 0
+    for text in texts:
+        block.append(text)
+        size += len(text)
+        if size >= most:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
