@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -20,31 +22,58 @@ class ChunkEncoder:
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.words = Tokenizer(self.tokenizer.model)
+        # For lower-case words between blanks the normalizer and the splitting pattern have nothing to do.
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ids = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(ids.values()) + 1, bool)
+        self.is_end[[i for token, i in ids.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {"": 0}
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.pool, self.used, self.rows = np.zeros(1 << 18, np.uint32), 0, 1
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.at) + len(new) > self.limit and len(self.at) > 1:
-            self._clear()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, total = len(self.at), int(sizes.sum())
-        while first + len(new) > len(self.start):
+        """Encode chunks. Plain words, with or without a last stop or comma, go many at a time."""
+        plain, spelled, ends, other = [], [], [], []
+        for chunk in new:
+            stem = chunk[:-1] if chunk[-1] in ".," else chunk
+            low = stem.lower()
+            if low.isalpha() and (chunk.isascii() or ("\u03a3" not in chunk and is_normalized("NFC", chunk))):
+                plain.append(chunk)
+                spelled.append(low if stem is chunk else f"{low} {chunk[-1]}")
+                ends.append(1 if stem is chunk else 2)
+            else:
+                other.append(chunk)
+        if plain:
+            joined = [" ".join(spelled[i : i + 500]) for i in range(0, len(spelled), 500)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.words.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
+            last = np.flatnonzero(self.is_end[ids]) + 1
+            upto = np.cumsum(ends)
+            if len(last) == upto[-1]:
+                self._add(plain, np.diff(last[upto - 1], prepend=0), ids)
+            else:
+                other = new
+        if other:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            self._add(other, np.fromiter(map(len, each), np.int64, len(each)), np.fromiter(chain.from_iterable(each), np.uint32))
+
+    def _add(self, chunks: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        first = self.rows
+        while first + len(chunks) > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        while self.used + total > len(self.pool):
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.start[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + len(new)] = sizes
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.used += total
-        self.at.update(zip(new, range(first, first + len(new)), strict=True))
+        self.start[first : first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + len(chunks)] = sizes
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.used, self.rows = self.used + len(ids), first + len(chunks)
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
@@ -66,8 +95,7 @@ class ChunkEncoder:
                 self._clear()
                 new = set().union(*batch).difference(self.at)
             self._learn(list(new))
-        get = self.at.__getitem__
-        index = np.fromiter((get(w) for words in batch for w in words), np.int64, n)
+        index = np.fromiter(map(self.at.__getitem__, chain.from_iterable(batch)), np.int64, n)
         sizes = self.size[index]
         ends = np.cumsum(sizes)
         total = int(ends[-1])
