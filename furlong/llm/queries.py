@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import decontaminate, language_id, line_dedup, packing, records, token_counts, warc
+from furlong.llm import decontaminate, language_id, line_dedup, neardup, packing, quality, records, token_counts, toxicity, warc
 from furlong.llm.shared import held_out
 
 
@@ -37,6 +37,16 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    field = quality.train(docs.where(~held_out("doc_id")), table(spark, sf_dir, "labels"))
+    return quality.judged(docs, field).select("doc_id", "quality.*")
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.write_and_read(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -49,14 +59,24 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, docs.where(~held_out("doc_id")), table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(docs, model).withColumnRenamed("toxicity", "score")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_records": op7_records,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
