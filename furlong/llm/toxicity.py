@@ -44,6 +44,9 @@ MIN_DOCS = 3
 #: How many times likelier a candidate is in toxic documents, at least.
 MIN_RATIO = 20.0
 PREFIXES = (4, 5, 6)
+#: Features that tell a toxic document before it stops calling for more, and the share of toxic
+#: documents that a feature must add.
+TIMES_TOLD, MIN_SHARE = 3, 0.004
 
 
 def classes_of(text: str) -> np.ndarray:
@@ -245,21 +248,30 @@ def train(docs: DataFrame, labelled: DataFrame, labels: DataFrame, sample: int =
     return model
 
 
-def cover(toxic: list[set[str]], clean: Counter, most: int = MAX_FEATURES) -> list[str]:
-    """Features chosen one by one, each the one that most untold toxic documents have (less five for each clean one)."""
-    left = [h for h in toxic if h]
+def cover(toxic: list[set[str]], clean: Counter, most: int = MAX_FEATURES, times: int = TIMES_TOLD) -> list[str]:
+    """Features chosen one by one, each the one that most untold toxic documents have (less five for each clean one).
+
+    A document is told once ``times`` chosen features are in it, so that words which often go
+    together all get in. A feature that adds less than a few documents, or than a small share of
+    them, is chance.
+    """
+    least = max(MIN_DOCS, MIN_SHARE * len(toxic))
+    left = [(h, [times]) for h in toxic if h]
+    gain = Counter(f for h, _ in left for f in h)
+    having: dict[str, list] = {}
+    for pair in left:
+        for f in pair[0]:
+            having.setdefault(f, []).append(pair)
     chosen: list[str] = []
-    gain = Counter(f for h in left for f in h)
-    while left and len(chosen) < most:
-        best = max(gain, key=lambda f: (gain[f] - 5 * clean[f], len(f), f), default=None)
-        if best is None or gain[best] - 5 * clean[best] < MIN_DOCS:
+    while gain and len(chosen) < most:
+        best = max(gain, key=lambda f: (gain[f] - 5 * clean[f], len(f), f))
+        if gain.pop(best) - 5 * clean[best] < least:
             break
         chosen.append(best)
-        told = [h for h in left if best in h]
-        left = [h for h in left if best not in h]
-        for h in told:
-            gain.subtract(h)
-        gain = +gain
+        for h, needs in having[best]:
+            needs[0] -= 1
+            if needs[0] == 0:
+                gain.subtract(f for f in h if f in gain)
     return chosen
 
 
