@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most words that a Python worker remembers; beyond it the table starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
