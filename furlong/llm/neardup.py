@@ -244,9 +244,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Rows with the same sequence of words are one class whose least doc_id stands for it; only those
     stand-ins are compared. In each group of candidates all are compared with leaders, those that no
     leader matched with further leaders of their own, until none is left; so no group is expanded
-    into all its pairs, and no group's size is capped. Documents without words (null, empty) and rows
-    with a null doc_id are in a class of their own. Rows with equal doc_id are one document. Other
-    columns are ignored.
+    into all its pairs, and no group's size is capped. Documents without words (null, empty) are each a
+    class of their own. A row with a null doc_id stands for nothing: its class is that of the same
+    words with an id, else null. Rows with equal doc_id are one document. Other columns are ignored.
     """
     spark = docs.sparkSession
     df, n = document_frequencies(docs)
