@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -33,6 +34,9 @@ BUCKETS = 1 << 20
 #: Rows of the table of random variates; a shingle's hash picks one.
 POOL = 1 << 15
 SEED = 20_240_607
+#: Candidates of a group are compared by their draws in blocks of about this many; pairs with fewer
+#: agreeing draws of ``BANDS * ROWS`` are below the threshold (at 0.8, but for one in 50,000).
+BLOCK, LEAST_AGREEING = 128, 38
 WORDS = re.compile(r"\w+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -57,33 +61,58 @@ class WordHashes:
             self.known = {}
             new = set().union(*texts)
         self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        get = self.known.__getitem__
-        return np.fromiter((get(w) for words in texts for w in words), np.uint64, sum(map(len, texts)))
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.uint64, sum(map(len, texts)))
 
 
 _HASHES = WordHashes()
 
 
-def shingles(texts: list[str], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct shingle hashes (sorted) and their counts for each text.
+def words_of(text: str) -> list[str]:
+    """Lower-case runs of word characters."""
+    return WORDS.findall(text.lower())
+
 
-    Words are lower-case runs of word characters. A text of fewer words is one shingle; one without
-    words has none.
+def shingled(split: list[list[str]], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingle hashes (sorted) and their counts for the words of each text.
+
+    A text of fewer words than ``size`` is one shingle; one without words has none.
     """
-    split = [WORDS.findall(t.lower()) for t in texts]
-    hashes, at, out = _HASHES.of(split), 0, []
-    for words in split:
-        own = hashes[at : at + len(words)]
-        at += len(words)
-        k = min(size, len(own))
-        if not k:
-            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            continue
-        rolled = np.zeros(len(own) - k + 1, np.uint64)
-        for j in range(k):
-            rolled = rolled * ODD + own[j : len(own) - k + 1 + j]
-        out.append(np.unique(mixed(rolled), return_counts=True))
-    return out
+    lengths = np.array([len(words) for words in split], np.int64)
+    hashes = _HASHES.of(split)
+    rolled = hashes.copy()
+    for j in range(1, size):
+        rolled[:-j or None] = rolled[:-j or None] * ODD + hashes[j:]
+    ends = np.cumsum(lengths)
+    first, parts = np.zeros(len(split), np.int64), []
+    for i, (end, n) in enumerate(zip(ends.tolist(), lengths.tolist(), strict=True)):
+        if n < size:  # its own hash, from its own words only
+            value = np.uint64(0)
+            for h in hashes[end - n : end]:
+                value = value * ODD + h
+            part = np.array([value] if n else [], np.uint64)
+        else:
+            part = rolled[end - n : end - size + 1]
+        parts.append(part)
+    sizes = np.array([len(x) for x in parts], np.int64)
+    every = mixed(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    stops = np.cumsum(sizes)
+    first = stops - sizes
+    for a, b in zip(first.tolist(), stops.tolist(), strict=True):
+        every[a:b].sort()
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    new[first[sizes > 0]] = True
+    at = np.flatnonzero(new)
+    counts = np.diff(at, append=len(every))
+    distinct = every[at]
+    cuts = np.searchsorted(at, stops)
+    return [(distinct[a:b], counts[a:b]) for a, b in zip(np.concatenate([[0], cuts[:-1]]).tolist(), cuts.tolist(), strict=True)] if len(split) else []
+
+
+def shingles(texts: list[str], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same for texts."""
+    with np.errstate(over="ignore"):
+        return shingled([words_of(t) for t in texts], size)
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
@@ -144,24 +173,34 @@ class Sampler:
         self.bands, self.rows = bands, rows
         self.salt = mixed(np.arange(1, k + 1, dtype=np.uint64) * ODD)
 
-    def band_keys(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """A hash for each band; equal for two sets whose samples of the band agree."""
+    def samples(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """A 64-bit value for each of the draws; two sets agree on it if their draws do."""
         pool = (hashes >> np.uint64(64 - 15)).astype(np.int64)
         logs = np.log(weights).astype(np.float32)
-        best, chosen, level = None, None, None
-        for at in range(0, len(hashes), 2048):
-            rows = pool[at : at + 2048]
-            t = np.floor(logs[at : at + 2048, None] * self.inverse[rows] + self.beta[rows])
-            a = self.base[rows] - self.r[rows] * t
-            i = a.argmin(0)
-            k = np.arange(len(i))
-            low = a[i, k]
+        best = chosen = level = None
+        for at in range(0, len(hashes), 1024):
+            rows = pool[at : at + 1024]
+            t = self.inverse[rows]
+            t *= logs[at : at + 1024, None]
+            t += self.beta[rows]
+            np.floor(t, out=t)
+            a = self.r[rows]
+            a *= t
+            np.subtract(self.base[rows], a, out=a)
+            low = a.min(0)
+            i, k = np.nonzero(a == low)
+            i, k = i[::-1], k[::-1]  # of equal draws the first stays
+            own, top = np.zeros(len(low), np.uint64), np.zeros(len(low), np.float32)
+            own[k], top[k] = hashes[at + i], t[i, k]
             if best is None:
-                best, chosen, level = low, hashes[at + i], t[i, k]
+                best, chosen, level = low, own, top
             else:
                 better = low < best
-                best, chosen, level = np.where(better, low, best), np.where(better, hashes[at + i], chosen), np.where(better, t[i, k], level)
-        samples = mixed(chosen ^ mixed(level.astype(np.int64).view(np.uint64) + self.salt))
+                best, chosen, level = np.where(better, low, best), np.where(better, own, chosen), np.where(better, top, level)
+        return mixed(chosen ^ mixed(level.astype(np.int64).view(np.uint64) + self.salt))
+
+    def band_keys(self, samples: np.ndarray) -> np.ndarray:
+        """A hash for each band; equal if all draws of the band are."""
         keys = np.zeros(self.bands, np.uint64)
         for column in samples.reshape(self.bands, self.rows).T:
             keys = mixed(keys * ODD + column)
@@ -172,20 +211,27 @@ _SAMPLER: list[Sampler] = []
 
 
 def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
-    """doc_id, a 128-bit hash of the word sequence (null without words) and the band keys of each row."""
+    """doc_id, a 128-bit hash of the word sequence (null without words), the band keys and a byte of each draw."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not _SAMPLER:
             _SAMPLER.append(Sampler())
+        sampler = _SAMPLER[0]
         for batch in batches:
-            keys, same = [], []
+            rows = []
             for texts in in_blocks(t or "" for t in batch["text"]):
-                for text, (h, n) in zip(texts, shingles(texts), strict=True):
-                    same.append(xxhash.xxh3_128_digest(" ".join(WORDS.findall(text.lower()))) if len(h) else None)
-                    keys.append(_SAMPLER[0].band_keys(h, n * idf.value[bucket(h)]) if len(h) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "same": same, "bands": keys})
+                split = [words_of(t) for t in texts]
+                with np.errstate(over="ignore"):
+                    for words, (h, n) in zip(split, shingled(split), strict=True):
+                        if words:
+                            draws = sampler.samples(h, n * idf.value[bucket(h)])
+                            rows.append((xxhash.xxh3_128_digest(" ".join(words)), sampler.band_keys(draws), (draws >> np.uint64(56)).astype(np.uint8).tobytes()))
+                        else:
+                            rows.append((None, np.zeros(0, np.int64), None))
+            out = pd.DataFrame(rows, columns=["same", "bands", "draws"])
+            yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())[["doc_id", "same", "bands", "draws"]]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, "doc_id long, same binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, "doc_id long, same binary, bands array<long>, draws binary")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
@@ -220,71 +266,93 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node of its component) for every node of the edges (a, b).
 
     Rounds of large-star and small-star: each node hangs its greater neighbours, then its smaller
-    ones, on its least neighbour. Each round is written to the shared folder, which cuts lineage.
+    ones, on its least neighbour. Each round is written to the shared folder, which cuts lineage; a
+    count and a sum of hashes tell when nothing changes any more.
     """
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+    before, now = None, state(edges)
+    while now != before:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(small_least, "u")
-        small = hung.select("u", F.col("m").alias("v")).union(hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        after = written(small, "edges")
-        if after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty():
-            break
-        edges = after
-    roots = after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(after.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        hung = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = hung.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        edges = written(small, "edges")
+        before, now = now, state(edges)
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def unlike_blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of candidates in one group that are not yet in one class, if their draws agree often enough.
+
+    In each group the members outside the first leader's class meet all members, in blocks of at most
+    about ``BLOCK``; only pairs whose draws agree are emitted, and nothing of a group that is one class.
+    """
+    rooted = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    mixed_groups = rooted.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("root").alias("main"), F.max("root").alias("other")).where("main <> other")
+    open_ = written(rooted.join(mixed_groups, ["band", "key"]).select("band", "key", "doc", "root", "draws", "main", "n"), "open")
+    one = F.struct("doc", "root", "draws")
+    spread = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK))
+    every = open_.groupBy("band", "key", spread.alias("x")).agg(F.collect_list(one).alias("these"))
+    rest = open_.where("root <> main").groupBy("band", "key", spread.alias("y")).agg(F.collect_list(one).alias("those"))
+
+    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for these, those in zip(batch["these"], batch["those"], strict=True):
+                a, b = (np.frombuffer(b"".join(r["draws"] for r in side), np.uint8).reshape(len(side), -1) for side in (these, those))
+                for row, mine in zip(those, b, strict=True):
+                    for i in np.flatnonzero((a == mine).sum(1) >= LEAST_AGREEING):
+                        if these[i]["root"] != row["root"]:
+                            x, y = these[i]["doc"], row["doc"]
+                            found.add((min(x, y), max(x, y)))
+            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    return every.join(rest, ["band", "key"]).select("these", "those").mapInPandas(agree, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) for every row of ``docs``.
 
     Rows with the same sequence of words are one class whose least doc_id stands for it; only those
-    stand-ins are compared. In each group of candidates all are compared with leaders, those that no
-    leader matched with further leaders of their own, until none is left; so no group is expanded
-    into all its pairs, and no group's size is capped. Documents without words (null, empty) are each a
-    class of their own. A row with a null doc_id stands for nothing: its class is that of the same
-    words with an id, else null. Rows with equal doc_id are one document. Other columns are ignored.
+    stand-ins are compared. In each group of candidates all are compared with two leaders; members
+    that this leaves in different classes are then compared in blocks by their draws and, where those
+    agree, exactly. So no group of copies is expanded into all its pairs, and none is capped.
+    Documents without words (null, empty) are each a class of their own. A row with a null doc_id
+    stands for nothing: its class is that of the same words with an id, else null. Rows with equal
+    doc_id are one document. Other columns are ignored.
     """
     spark = docs.sparkSession
     df, n = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(inverse_frequencies(df, n))
     signed = written(signatures(docs, idf), "signatures")
-    stands = signed.where("same is not null and doc_id is not null").groupBy("same").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("stand"))
-    stands = written(stands, "stand-ins")
+    stands = signed.where("same is not null and doc_id is not null").groupBy("same").agg(F.min_by(F.struct("bands", "draws"), "doc_id").alias("s"), F.min("doc_id").alias("stand"))
+    stands = written(stands.select("same", "stand", "s.bands", "s.draws"), "stand-ins")
 
-    members = stands.select(F.col("stand").alias("doc"), F.posexplode("bands").alias("band", "key"))
-    groups = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    members = written(members.join(groups, ["band", "key"]), "candidates")
+    members = stands.select(F.col("stand").alias("doc"), "draws", F.posexplode("bands").alias("band", "key"))
+    order = F.xxhash64("doc")
+    heads = members.groupBy("band", "key").agg(F.min_by("doc", order).alias("l1"), F.max_by("doc", order).alias("l2"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = written(members.join(heads, ["band", "key"]), "candidates")
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    tried = links = None
-    while not members.isEmpty():
-        order = F.xxhash64("doc")
-        heads = members.groupBy("band", "key").agg(F.min_by("doc", order).alias("l1"), F.max_by("doc", order).alias("l2"), F.min_by("doc", F.xxhash64(F.lit(1), "doc")).alias("l3"))
-        led = members.join(heads, ["band", "key"])
-        pairs = led.select(F.explode(F.array("l1", "l2", "l3")).alias("a"), F.col("doc").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(verified(pairs, texts, idf, threshold), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        roots = components(links)
-        # Who is neither a leader of its group nor linked with one, whatever the way, goes on.
-        rooted = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        led_roots = heads.select("band", "key", F.explode(F.array("l1", "l2", "l3")).alias("doc")).distinct().join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("band", "key", F.coalesce("root", "doc").alias("root")).distinct()
-        rest = rooted.join(led_roots, ["band", "key", "root"], "left_anti").select("doc", "band", "key")
-        more = rest.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-        members = written(rest.join(more, ["band", "key"]), "candidates")
-
-    known = signed.join(stands.select("same", "stand"), "same", "left")
-    if links is None:
-        return known.select("doc_id", F.coalesce("stand", "doc_id").alias("class_id"))
-    return known.join(written(components(links), "classes"), F.col("stand") == F.col("node"), "left").select("doc_id", F.coalesce("root", "stand", "doc_id").alias("class_id"))
+    pairs = members.select(F.explode(F.array("l1", "l2")).alias("a"), F.col("doc").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
+    links = written(verified(pairs, texts, idf, threshold), "links")
+    roots = written(components(links), "classes")
+    more = verified(unlike_blocks(members, roots).join(pairs, ["a", "b"], "left_anti"), texts, idf, threshold)
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
+    joined = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    top = written(components(joined), "classes")
+
+    known = signed.select("doc_id", "same").join(stands.select("same", "stand"), "same", "left")
+    known = known.join(roots, F.col("stand") == F.col("node"), "left").select("doc_id", F.coalesce("root", "stand", "doc_id").alias("class"))
+    return known.join(top, F.col("class") == F.col("node"), "left").select("doc_id", F.coalesce("root", "class").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
