@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from furlong.functions.text import normalise_course
 from furlong.operators import pit
+from furlong.operators.tables import stored
 
 # Going descriptions of one kind, non-completion codes, all-weather surfaces.
 GOING_GROUPS = {
@@ -423,15 +424,18 @@ def parsed_distance() -> Column:
 def feature_store(r) -> DataFrame:
     """One wide row for each runner of a standard race with a result.
 
-    A missing distance takes the median of its surface and type, else that of all races.
+    The racing tables and each feature group are written once, so that no group derives the history
+    anew. A missing distance takes the median of its surface and type, else that of all races.
     """
-    form = horse_form(r)
-    groups = {name: make(r) for name, make in GROUPS.items() if name not in ("f001_horse_form", "f005_class_features")}
+    r.store()
+    form = stored(horse_form(r), "f001_horse_form")
+    groups = {name: stored(make(r), name) for name, make in GROUPS.items() if name not in ("f001_horse_form", "f005_class_features")}
     groups |= {"f001_horse_form": form.drop("horse_class_delta"), "f005_class_features": class_features(r, form)}
     wide = runners_with_races(r).where(F.col("course_name").isNotNull()).join(r.results.select("runner_id", F.col("won").alias("target")), "runner_id")
     wide = wide.select("runner_id", "race_id", "race_date", "decision_cutoff_utc", "target", "sex", "surface", "race_type", parsed_distance().alias("parsed"))
     for name in sorted(groups):
         wide = wide.join(groups[name].drop(*NOT_STORED, "distance_furlongs"), "runner_id", "left")
+    wide = stored(wide, "wide")
     known = wide.where("parsed is not null").select("surface", "race_type", "parsed")
     by_kind = known.groupBy(F.coalesce("surface", F.lit("")).alias("_surface"), F.coalesce("race_type", F.lit("")).alias("_type")).agg(F.median("parsed").alias("_kind"))
     overall = known.agg(F.median("parsed").alias("_all"))

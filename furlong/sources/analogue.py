@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from furlong.operators.tables import stored
+
 #: Fixed values of the mapping, by remainder of the order's key or by its status.
 RACE_TYPES = ["Flat", "Chase", "Hurdle", "NH Flat"]
 SURFACES = ["Turf", "AW", "Jumps"]
@@ -40,6 +42,11 @@ class Racing:
             self._made[name] = getattr(self, f"_{name}")()
         return self._made[name]
 
+    def store(self) -> None:
+        """Write the tables that features derive from, so that each is made once."""
+        for name in ("lines", "races", "runners", "results", "horse_history", "trainer_history", "jockey_history"):
+            self._made[name] = stored(getattr(self, name), name)
+
     def _lines(self) -> DataFrame:
         """One row a runner: the lines of one order with one line number together."""
         return (
@@ -66,7 +73,7 @@ class Racing:
         off = F.timestamp_seconds(F.unix_seconds(midnight) + (key % 8 + 12) * 3600)
         return joined.select(
             key.alias("race_id"),
-            F.concat(F.lower("n_name"), F.lit("_"), F.dayofmonth(day), F.lit("th_"), F.lower(F.date_format(day, "MMM"))).alias("course_id"),
+            F.concat(F.replace(F.lower("n_name"), F.lit("_"), F.lit("-")), F.lit("_"), F.dayofmonth(day), F.lit("th_"), F.lower(F.date_format(day, "MMM"))).alias("course_id"),
             F.col("n_name").alias("course_name"),
             day.alias("race_date"),
             off.alias("scheduled_off_utc"),
@@ -175,7 +182,7 @@ lines AS (
     round(sum(l_extendedprice), 2) AS price
   FROM lineitem GROUP BY ALL),
 races AS (
-  SELECT o_orderkey AS race_id, lower(n_name) || '_' || day(o_orderdate) || 'th_' || lower(strftime(o_orderdate, '%b')) AS course_id,
+  SELECT o_orderkey AS race_id, replace(lower(n_name), '_', '-') || '_' || day(o_orderdate) || 'th_' || lower(strftime(o_orderdate, '%b')) AS course_id,
     n_name AS course_name, CAST(o_orderdate AS DATE) AS race_date,
     date_trunc('day', o_orderdate) + to_hours(CAST(o_orderkey % 8 + 12 AS INTEGER)) AS scheduled_off_utc,
     CASE WHEN o_orderkey % 37 <> 0 THEN CAST(o_orderkey % 16 + 5 AS DOUBLE) END AS distance_furlongs,
