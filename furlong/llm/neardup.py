@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.shared import CACHE_WORDS, in_blocks, written
+from furlong.llm.shared import CACHE_WORDS, broadcast_if_small, in_blocks, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -36,7 +36,7 @@ POOL = 1 << 15
 SEED = 20_240_607
 #: Candidates of a group are compared by their draws in blocks of about this many; pairs with fewer
 #: agreeing draws of ``BANDS * ROWS`` are below the threshold (at 0.8, but for one in 50,000).
-BLOCK, LEAST_AGREEING = 128, 38
+BLOCK, LEAST_AGREEING = 512, 38
 WORDS = re.compile(r"\w+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -287,33 +287,83 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def unlike_blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of candidates in one group that are not yet in one class, if their draws agree often enough.
+def groups_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key, when the batches are sorted by it."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        values = batch[keys].to_numpy()
+        starts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist()]
+        for start, end in zip(starts, starts[1:], strict=False):
+            yield batch.iloc[start:end]
+        held = batch.iloc[starts[-1] :]
+    if held is not None and len(held):
+        yield held
 
-    In each group the members outside the first leader's class meet all members, in blocks of at most
-    about ``BLOCK``; only pairs whose draws agree are emitted, and nothing of a group that is one class.
+
+def links_in(group: pd.DataFrame, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between classes in one block of a group of candidates: those of side 1 with those of side 0.
+
+    Only pairs whose draws agree often enough are compared exactly, the likeliest first, and none
+    whose classes are already linked here; so there are fewer links than classes. A pair that shares
+    several bands is left to the block of the first.
+    """
+    doc, root, side, texts = (group[c].to_numpy() for c in ("doc", "root", "side", "text"))
+    draws = np.frombuffer(b"".join(group["draws"]), np.uint8).reshape(len(group), -1)
+    band = int(group["band"].iloc[0])
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            x = y
+        return x
+
+    known: dict[int, tuple] = {}
+
+    def set_of(i: int) -> tuple:
+        if i not in known:
+            known[i] = shingles([texts[i]])[0]
+        return known[i]
+
+    out, others = [], np.flatnonzero(side == 0)
+    for j in np.flatnonzero(side == 1).tolist():
+        same = draws[others] == draws[j]
+        agree = same.sum(1)
+        likely = np.flatnonzero((agree >= LEAST_AGREEING) & (root[others] != root[j]))
+        for k in likely[np.argsort(-agree[likely], kind="stable")].tolist():
+            i = int(others[k])
+            x, y = top(int(root[i])), top(int(root[j]))
+            if x != y and same[k].reshape(BANDS, ROWS).all(1).argmax() == band and similarity(set_of(i), set_of(j), idf) >= threshold:
+                up[max(x, y)] = min(x, y)
+                out.append((int(doc[i]), int(doc[j])))
+    return out
+
+
+def remaining_links(members: DataFrame, roots: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
+    """Links of candidates of one group that the leaders left in different classes.
+
+    In each such group the members outside the class of its least root meet all members, in blocks of
+    about ``BLOCK``; a group that is one class is not looked at.
     """
     rooted = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    mixed_groups = rooted.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("root").alias("main"), F.max("root").alias("other")).where("main <> other")
-    open_ = written(rooted.join(mixed_groups, ["band", "key"]).select("band", "key", "doc", "root", "draws", "main", "n"), "open")
-    one = F.struct("doc", "root", "draws")
-    spread = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK))
-    every = open_.groupBy("band", "key", spread.alias("x")).agg(F.collect_list(one).alias("these"))
-    rest = open_.where("root <> main").groupBy("band", "key", spread.alias("y")).agg(F.collect_list(one).alias("those"))
-
-    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for these, those in zip(batch["these"], batch["those"], strict=True):
-                a, b = (np.frombuffer(b"".join(r["draws"] for r in side), np.uint8).reshape(len(side), -1) for side in (these, those))
-                for row, mine in zip(those, b, strict=True):
-                    for i in np.flatnonzero((a == mine).sum(1) >= LEAST_AGREEING):
-                        if these[i]["root"] != row["root"]:
-                            x, y = these[i]["doc"], row["doc"]
-                            found.add((min(x, y), max(x, y)))
-            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+    open_groups = rooted.groupBy("band", "key").agg(F.min("root").alias("main"), F.max("root").alias("other"), F.count("*").alias("n"))
+    rest_sizes = rooted.join(open_groups.where("main <> other"), ["band", "key"]).where("root <> main").groupBy("band", "key", "main", "n").agg(F.count("*").alias("rest"))
+    found = rooted.join(rest_sizes, ["band", "key"]).join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    blocks, rest_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "rest"))
+    spread = F.xxhash64("doc")
+    side0 = F.transform(F.sequence(F.lit(0), rest_blocks - 1), lambda y: F.struct(F.pmod(spread, blocks).cast("int").alias("x"), y.alias("y"), F.lit(0).alias("side")))
+    side1 = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(x.alias("x"), F.pmod(spread, rest_blocks).cast("int").alias("y"), F.lit(1).alias("side")))
+    placed = found.withColumn("at", F.explode(F.when(F.col("root") != F.col("main"), F.concat(side0, side1)).otherwise(side0)))
+    keys = ["band", "key", "x", "y"]
+    dealt = placed.select("band", "key", "at.*", "doc", "root", "draws", "text").repartition(*keys).sortWithinPartitions(*keys)
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in groups_of(batches, keys):
+            if found := links_in(group, idf.value, threshold):
+                yield pd.DataFrame(found, columns=["a", "b"])
 
-    return every.join(rest, ["band", "key"]).select("these", "those").mapInPandas(agree, "a long, b long").distinct()
+    return dealt.mapInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -322,7 +372,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Rows with the same sequence of words are one class whose least doc_id stands for it; only those
     stand-ins are compared. In each group of candidates all are compared with two leaders; members
     that this leaves in different classes are then compared in blocks by their draws and, where those
-    agree, exactly. So no group of copies is expanded into all its pairs, and none is capped.
+    agree and the classes are still apart, exactly. So no group of copies is expanded into all its
+    pairs, and none is capped.
     Documents without words (null, empty) are each a class of their own. A row with a null doc_id
     stands for nothing: its class is that of the same words with an id, else null. Rows with equal
     doc_id are one document. Other columns are ignored.
@@ -335,17 +386,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stands = written(stands.select("same", "stand", "s.bands", "s.draws"), "stand-ins")
 
     members = stands.select(F.col("stand").alias("doc"), "draws", F.posexplode("bands").alias("band", "key"))
+    sizes = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = members.join(sizes, ["band", "key"])
+    # Who shares bands with most others is nearest to what a group's copies were made from.
+    known_by = members.groupBy("doc").agg(F.sum("n").alias("known_by"))
+    members = written(members.drop("n").join(known_by, "doc"), "candidates")
     order = F.xxhash64("doc")
-    heads = members.groupBy("band", "key").agg(F.min_by("doc", order).alias("l1"), F.max_by("doc", order).alias("l2"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(members.join(heads, ["band", "key"]), "candidates")
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
+    heads = members.groupBy("band", "key").agg(F.max_by("doc", F.struct("known_by", order)).alias("l1"), F.min_by("doc", order).alias("l2"))
+    wanted = broadcast_if_small(written(members.select(F.col("doc").alias("doc_id")).distinct(), "wanted"))
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    pairs = members.select(F.explode(F.array("l1", "l2")).alias("a"), F.col("doc").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = members.join(heads, ["band", "key"]).select(F.explode(F.array("l1", "l2")).alias("a"), F.col("doc").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     links = written(verified(pairs, texts, idf, threshold), "links")
     roots = written(components(links), "classes")
-    more = verified(unlike_blocks(members, roots).join(pairs, ["a", "b"], "left_anti"), texts, idf, threshold)
+    more = remaining_links(members.select("band", "key", "doc", "draws"), roots, texts, idf, threshold)
     a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
     joined = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     top = written(components(joined), "classes")
@@ -358,4 +413,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose class has a document with a lesser doc_id; all columns stay."""
     others = near_duplicates(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_other")).distinct()
+    others = broadcast_if_small(written(others, "copies"))
     return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
