@@ -52,22 +52,79 @@ def vocabulary(model_file: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(kept)}
 
 
+class PieceTable:
+    """Finds the numbers of many pieces at once by a 64-bit hash of their characters.
+
+    A piece is in one slot of the first table, or, if another one has that slot, of the second.
+    """
+
+    BASE, SPREAD, BITS = np.uint64(0x100000001B3), (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), 18
+
+    def __init__(self, vocab: dict[str, int]):
+        self.other, self.none = len(vocab), len(vocab) + 1
+        self.hashes = np.zeros(len(vocab) + 2, np.uint64)
+        with np.errstate(over="ignore"):
+            for piece, i in vocab.items():
+                h = np.uint64(0)
+                for c in piece:
+                    h = h * self.BASE + np.uint64(ord(c) + 1)
+                self.hashes[i] = h
+            self.slots = [np.full(1 << self.BITS, self.none, np.int32) for _ in self.SPREAD]
+            left = np.arange(len(vocab))
+            for table, spread in zip(self.slots, self.SPREAD, strict=True):
+                at = self.slot(self.hashes[left], spread)
+                table[at[::-1]] = left[::-1]
+                left = left[table[at] != left]
+            self.rest = {int(self.hashes[i]): int(i) for i in left}
+
+    def slot(self, h: np.ndarray, spread: np.uint64) -> np.ndarray:
+        return ((h * spread) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash; ``none`` where there is none."""
+        out = np.full(len(h), self.none, np.int32)
+        for table, spread in zip(self.slots, self.SPREAD, strict=True):
+            ids = table[self.slot(h, spread)]
+            hit = (ids != self.none) & (self.hashes[ids] == h)
+            out[hit] = ids[hit]
+        for key, i in self.rest.items():
+            out[h == np.uint64(key)] = i
+        return out
+
+
+_TABLES: dict[int, tuple[dict, PieceTable]] = {}
+
+
+def piece_table(vocab: dict[str, int]) -> PieceTable:
+    """The table of a vocabulary, made once in a process."""
+    if id(vocab) not in _TABLES or _TABLES[id(vocab)][0] is not vocab:
+        _TABLES.clear()
+        _TABLES[id(vocab)] = vocab, PieceTable(vocab)
+    return _TABLES[id(vocab)][1]
+
+
 def lattices(words: list[str], vocab: dict[str, int]) -> Iterator[tuple[np.ndarray, int, dict[tuple[int, int], np.ndarray]]]:
     """Words of one length together: where they are in ``words``, that length with the word start, and
     for each span the piece of each word (``len(vocab)``: an unknown character, one more: no piece)."""
-    other, none = len(vocab), len(vocab) + 1
+    table = piece_table(vocab)
     by_length = defaultdict(list)
     for i, w in enumerate(words):
         by_length[len(w) + 1].append(i)
     for n, which in by_length.items():
-        group = [START + words[i] for i in which]
-        spans = {}
-        for i in range(n):
-            for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
-                default = other if j == i + 1 else none
-                ids = np.fromiter((vocab.get(w[i:j], default) for w in group), np.int32, len(group))
-                if j == i + 1 or (ids != none).any():
-                    spans[i, j] = ids
+        codes = np.array([START + words[i] for i in which], f"<U{n}").view(np.uint32).reshape(-1, n).astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            power, upto = np.ones(n + 1, np.uint64), np.zeros((n + 1, len(which)), np.uint64)
+            for j in range(n):
+                power[j + 1] = power[j] * table.BASE
+                upto[j + 1] = upto[j] * table.BASE + codes[:, j]
+            spans = {}
+            for i in range(n):
+                for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
+                    ids = table.find(upto[j] - upto[i] * power[j - i])
+                    if j == i + 1:
+                        ids[ids == table.none] = table.other
+                    if j == i + 1 or (ids != table.none).any():
+                        spans[i, j] = ids
         yield np.array(which), n, spans
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Most words that a Python worker remembers; beyond it the table starts anew.
 CACHE_WORDS = 500_000
+#: Most ids (of 8 bytes) that are sent to all executors; some 30 MB as a hash table.
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +41,14 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of short rows, marked for broadcast if it has at most ``most`` of them.
+
+    With more rows it stays as it is, and Spark shuffles both sides of its joins.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared path, and the path in it."""
     return pafs.FileSystem.from_uri(uri)
@@ -78,17 +88,21 @@ class WordTable:
 
     def index(self, texts: list[list[str]]) -> np.ndarray:
         """Where the rows of all words of ``texts`` are, one after the other."""
-        new = set().union(*texts).difference(self.at)
-        if len(self.at) + len(new) > self.limit and self.at:
-            self._clear()
-            new = set().union(*texts)
-        if new:
-            words, first = list(new), len(self.at)
-            while first + len(words) > len(self.rows):
+        words = list(chain.from_iterable(texts))
+        index = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(index < 0).tolist()
+        if missing:
+            new = {words[i] for i in missing}
+            if len(self.at) + len(new) > self.limit and self.at:
+                self._clear()
+                new, missing = set(words), range(len(words))
+            new, first = list(new), len(self.at)
+            while first + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[first : first + len(words)] = self.values(words)
-            self.at.update(zip(words, range(first, first + len(words)), strict=True))
-        return np.fromiter(map(self.at.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+            self.rows[first : first + len(new)] = self.values(new)
+            self.at.update(zip(new, range(first, first + len(new)), strict=True))
+            index[missing] = np.fromiter((self.at[words[i]] for i in missing), np.int64, len(missing))
+        return index
 
     def sums(self, texts: list[list[str]]) -> np.ndarray:
         """The sum of the rows of each text's words; zeros for a text without words."""

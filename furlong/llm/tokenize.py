@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, repeat
 from unicodedata import is_normalized
 
 import numpy as np
 
-from furlong.llm.shared import CACHE_WORDS
+#: Most chunks that a Python worker remembers.
+CHUNKS = 800_000
 
 
 class ChunkEncoder:
@@ -20,7 +21,7 @@ class ChunkEncoder:
     most ``limit`` chunks; then the table starts anew).
     """
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
+    def __init__(self, path: str, limit: int = CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -89,13 +90,16 @@ class ChunkEncoder:
         return out + (self._encode(batch, n) if batch else [])
 
     def _encode(self, batch: list[list[str]], n: int) -> list[np.ndarray]:
-        new = set().union(*batch).difference(self.at)
-        if new:
-            if len(self.at) + len(new) > self.limit:
+        chunks = list(chain.from_iterable(batch))
+        index = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, n)
+        missing = np.flatnonzero(index < 0).tolist()
+        if missing:
+            new = {chunks[i] for i in missing}
+            if len(self.at) + len(new) > self.limit and len(self.at) > 1:
                 self._clear()
-                new = set().union(*batch).difference(self.at)
+                new, missing = set(chunks) - {""}, range(n)
             self._learn(list(new))
-        index = np.fromiter(map(self.at.__getitem__, chain.from_iterable(batch)), np.int64, n)
+            index[missing] = np.fromiter((self.at[chunks[i]] for i in missing), np.int64, len(missing))
         sizes = self.size[index]
         ends = np.cumsum(sizes)
         total = int(ends[-1])
