@@ -105,7 +105,7 @@ f002 AS (
   SELECT b.runner_id, b.race_id, draw AS draw_position,
     CASE WHEN lower(surface) <> 'jumps' AND draw IS NOT NULL THEN least(1.0, draw / field_size) END AS draw_field_percentile,
     CASE WHEN lower(surface) <> 'jumps' THEN coalesce(r1, r2, r3, r4) END AS draw_course_going_win_rate,
-    CASE WHEN lower(surface) <> 'jumps' THEN coalesce(e1, e2, e3, e4) * field_size END AS draw_bias_coefficient,
+    CASE WHEN lower(surface) <> 'jumps' THEN coalesce(e1, e2, e3, e4) / (CAST(1 AS DOUBLE) / CAST(field_size AS DOUBLE)) END AS draw_bias_coefficient,
     CAST(draw IS NULL AS INTEGER) AS draw_is_null, coalesce(latest, decision_cutoff_utc - INTERVAL 1 SECOND) AS event_timestamp_utc, decision_cutoff_utc
   FROM quarters b LEFT JOIN wins w USING (runner_id))"""
 
