@@ -91,12 +91,14 @@ def _verified(k: int, benchmark: Benchmark) -> Column:
 def with_hits(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
     """``docs`` with ``_n`` (words) and ``_hits``: (place from 0, k, window) of each verified window in ``text``.
 
-    Needs no shuffle: it is for benchmarks that fit in the set.
+    Needs no shuffle: it is for benchmarks that fit in the set. A filter on the hits must also name
+    ``_at``, a row number: it keeps the optimizer from moving the filter below and there computing
+    all hashes again for each place where it uses them.
     """
     hashed = with_window_hashes(docs.withColumn("_text", F.col("text")), benchmark.sizes)
     found = [_verified(k, benchmark) for k in benchmark.sizes]
     none = F.array().cast("array<struct<at:int,k:int,window:string>>")
-    return hashed.select(*docs.columns, F.size("_w").alias("_n"), (F.concat(*found) if found else none).alias("_hits"))
+    return hashed.select(*docs.columns, F.size("_w").alias("_n"), (F.concat(*found) if found else none).alias("_hits"), F.monotonically_increasing_id().alias("_at"))
 
 
 def _n_hit(hits: Column) -> Column:
@@ -147,10 +149,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         raise ValueError("spans are removed only for a benchmark that fits in the set")
     hits = with_hits(docs, bench)
     if remove == "documents":
-        return hits.where(~_is_contaminated(_n_hit(F.col("_hits")), F.col("_n"))).select(*docs.columns)
+        return hits.where(~_is_contaminated(_n_hit(F.col("_hits")), F.col("_n")) & (F.col("_at") >= 0)).select(*docs.columns)
     covered = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.sequence(h["at"], h["at"] + h["k"] - 1))))
     left = F.array_join(F.filter(F.regexp_extract_all("text", F.lit(f"({WORD_AND_BEFORE})"), F.lit(1)), lambda x, i: ~F.array_contains(F.col("_covered"), i)), "")
-    text = F.when(F.size("_hits") > 0, F.concat(left, F.regexp_extract("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0))).otherwise(F.col("text"))
+    text = F.when(F.size("_covered") > 0, F.concat(left, F.regexp_extract("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0))).otherwise(F.col("text"))
     return hits.withColumn("_covered", covered).withColumn("text", text).select(*docs.columns)
 
 
