@@ -307,10 +307,12 @@ def links_in(group: pd.DataFrame, idf: np.ndarray, threshold: float) -> list[tup
 
     Only pairs whose draws agree often enough are compared exactly, the likeliest first, and none
     whose classes are already linked here; so there are fewer links than classes. A pair that shares
-    several bands is left to the block of the first.
+    several bands is left to the block of the first; which it is, the full band keys tell, since the
+    bytes of the draws may be equal in a band whose keys, and so groups, differ.
     """
     doc, root, side, texts = (group[c].to_numpy() for c in ("doc", "root", "side", "text"))
     draws = np.frombuffer(b"".join(group["draws"]), np.uint8).reshape(len(group), -1)
+    keys = np.stack(group["bands"].to_numpy())
     band = int(group["band"].iloc[0])
     up: dict[int, int] = {}
 
@@ -328,35 +330,36 @@ def links_in(group: pd.DataFrame, idf: np.ndarray, threshold: float) -> list[tup
 
     out, others = [], np.flatnonzero(side == 0)
     for j in np.flatnonzero(side == 1).tolist():
-        same = draws[others] == draws[j]
-        agree = same.sum(1)
+        agree = (draws[others] == draws[j]).sum(1)
         likely = np.flatnonzero((agree >= LEAST_AGREEING) & (root[others] != root[j]))
         for k in likely[np.argsort(-agree[likely], kind="stable")].tolist():
             i = int(others[k])
             x, y = top(int(root[i])), top(int(root[j]))
-            if x != y and same[k].reshape(BANDS, ROWS).all(1).argmax() == band and similarity(set_of(i), set_of(j), idf) >= threshold:
+            if x != y and (keys[i] == keys[j]).argmax() == band and similarity(set_of(i), set_of(j), idf) >= threshold:
                 up[max(x, y)] = min(x, y)
                 out.append((int(doc[i]), int(doc[j])))
     return out
 
 
-def remaining_links(members: DataFrame, roots: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
+def remaining_links(members: DataFrame, stands: DataFrame, roots: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
     """Links of candidates of one group that the leaders left in different classes.
 
     In each such group the members outside the class of its least root meet all members, in blocks of
-    about ``BLOCK``; a group that is one class is not looked at.
+    about ``BLOCK``; a group that is one class is not looked at. ``stands`` has the band keys and
+    draws of each member.
     """
     rooted = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     open_groups = rooted.groupBy("band", "key").agg(F.min("root").alias("main"), F.max("root").alias("other"), F.count("*").alias("n"))
     rest_sizes = rooted.join(open_groups.where("main <> other"), ["band", "key"]).where("root <> main").groupBy("band", "key", "main", "n").agg(F.count("*").alias("rest"))
-    found = rooted.join(rest_sizes, ["band", "key"]).join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    signs = stands.select(F.col("stand").alias("doc"), "bands", "draws")
+    found = rooted.join(rest_sizes, ["band", "key"]).join(signs, "doc").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
     blocks, rest_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "rest"))
     spread = F.xxhash64("doc")
     side0 = F.transform(F.sequence(F.lit(0), rest_blocks - 1), lambda y: F.struct(F.pmod(spread, blocks).cast("int").alias("x"), y.alias("y"), F.lit(0).alias("side")))
     side1 = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(x.alias("x"), F.pmod(spread, rest_blocks).cast("int").alias("y"), F.lit(1).alias("side")))
     placed = found.withColumn("at", F.explode(F.when(F.col("root") != F.col("main"), F.concat(side0, side1)).otherwise(side0)))
     keys = ["band", "key", "x", "y"]
-    dealt = placed.select("band", "key", "at.*", "doc", "root", "draws", "text").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = placed.select("band", "key", "at.*", "doc", "root", "bands", "draws", "text").repartition(*keys).sortWithinPartitions(*keys)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in groups_of(batches, keys):
@@ -385,7 +388,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stands = signed.where("same is not null and doc_id is not null").groupBy("same").agg(F.min_by(F.struct("bands", "draws"), "doc_id").alias("s"), F.min("doc_id").alias("stand"))
     stands = written(stands.select("same", "stand", "s.bands", "s.draws"), "stand-ins")
 
-    members = stands.select(F.col("stand").alias("doc"), "draws", F.posexplode("bands").alias("band", "key"))
+    members = stands.select(F.col("stand").alias("doc"), F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = members.join(sizes, ["band", "key"])
     # Who shares bands with most others is nearest to what a group's copies were made from.
@@ -400,7 +403,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = written(pairs, "pairs")
     links = written(verified(pairs, texts, idf, threshold), "links")
     roots = written(components(links), "classes")
-    more = remaining_links(members.select("band", "key", "doc", "draws"), roots, texts, idf, threshold)
+    more = remaining_links(members.select("band", "key", "doc"), stands, roots, texts, idf, threshold)
     a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
     joined = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     top = written(components(joined), "classes")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -362,6 +363,23 @@ def test_near_duplicates(spark):
     assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in rows(neardup.near_duplicates(ids))) == [(0, 0), (0, 4), (4, 4), (4, 4)]
 
 
+def test_first_shared_band_is_told_by_full_keys():
+    """In band 0 one draw of four differs but for its top byte; the pair's only group is that of band 1."""
+    sampler, rng = neardup.Sampler(), np.random.default_rng(6)
+    text = " ".join(f"w{i}" for i in range(60))
+    one = rng.integers(1, 2**63, neardup.BANDS * neardup.ROWS).astype(np.uint64)
+    other = one.copy()
+    other[0] ^= np.uint64(1)
+    with np.errstate(over="ignore"):
+        keys = [sampler.band_keys(d) for d in (one, other)]
+    assert keys[0][0] != keys[1][0] and keys[0][1] == keys[1][1]
+    draws = [(d >> np.uint64(56)).astype(np.uint8).tobytes() for d in (one, other)]
+    group = pd.DataFrame({"band": 1, "doc": [1, 2], "root": [1, 2], "side": [0, 1], "bands": keys, "draws": draws, "text": [text, f"{text} more"]})
+    idf = np.ones(neardup.BUCKETS, np.float32)
+    assert neardup.links_in(group, idf, neardup.THRESHOLD) == [(1, 2)]
+    assert neardup.links_in(group.assign(band=2), idf, neardup.THRESHOLD) == []
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in rows(neardup.components(spark.createDataFrame(chain, "a long, b long")))}
