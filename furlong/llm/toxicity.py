@@ -29,12 +29,18 @@ STAND_IN, REPEAT, SEPARATED = -1.0, -1.0, -0.5
 #: Classes of characters in the trigram model: 0 no letter, 1-26 a-z, 27 any other letter.
 CLASSES = 28
 BLANK = re.compile(r"\s+")
-#: Four or more single characters with a blank between them.
-SPACED = re.compile(r"(?<!\S)[a-z0-9@$!](?: [a-z0-9@$!]){3,}(?!\S)")
+#: Four or more single letters, digits or stand-ins with blanks between them.
+ONE = rf"(?:[^\W_]|[{re.escape(''.join(LEET))}])"
+SPACED = re.compile(rf"(?<!\S){ONE}(?:\s+{ONE}){{3,}}(?!\S)")
 RUN = re.compile(r"(.)\1\1")
+#: More than three of one character are decoded as three.
+LONG_RUN = re.compile(r"(.)\1{3,}")
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-DISGUISED = re.compile(rf"[a-z].*[{re.escape(''.join(LEET) + SEPARATORS)}].*[a-z]|[{re.escape(''.join(LEET))}]+[a-z]{{2}}|[a-z]{{2}}[{re.escape(''.join(LEET))}]+|(.)\1\1")
-LONGEST_WORD = 40
+#: Edges that stand for no letter.
+PLAIN_EDGES = "".join(c for c in EDGES if c not in LEET)
+LETTER = re.compile("[a-z]")
+INSIDE = re.compile(f"[{re.escape(''.join(LEET) + SEPARATORS)}]")
+BESIDE = re.compile(rf"[{re.escape(''.join(LEET))}][a-z]{{2}}|[a-z]{{2}}[{re.escape(''.join(LEET))}]|(.)\1\1")
 
 #: Labelled documents of each kind that the classifier is fitted on, at most.
 SAMPLE_DOCS = 4_000
@@ -85,49 +91,94 @@ class CharacterModel:
         self.after = self.logs.tolist()
 
 
-def restore_word(word: str, after: list) -> str:
-    """The likeliest word behind a lower-case one; non-letters at its ends stay outside."""
-    paths = {(0, 0): (0.0, "")}  # last two classes: best score and letters
+def decoded(word: str, after: list, lead: int = 0, trail: int = 0) -> tuple[str, int, int]:
+    """The likeliest text behind a lower-case word, and where in ``word`` it starts and ends.
+
+    Up to ``lead`` characters at the start and ``trail`` at the end may be punctuation outside the
+    word. A blank is a separator or a break between words.
+    """
+    paths = {(0, 0): (0.0, None, 0)}  # last two classes: best score, letters (last first) and start
+    outside, ends, before = after[0][0][0], [], ""
     for i, ch in enumerate(word):
+        if i and i <= lead and (s := i * outside) > paths.get((0, 0), (-math.inf,))[0]:
+            paths[0, 0] = (s, None, i)
+        if i >= len(word) - trail:
+            rest = (len(word) - i - 1) * outside
+            ends += [(score + after[a][b][0] + after[b][0][0] + rest, text, start, i) for (a, b), (score, text, start) in paths.items()]
         options = [(c, STAND_IN) for c in LEET.get(ch, "")]
         if ch.isalpha():
             options.append((ch, 0.0))
         skip = SEPARATED if ch in SEPARATORS or not options else None
-        if i and word[i - 1] == ch:
+        if before == ch:
             skip = REPEAT
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in paths.items():
+        if ch == " ":
+            options.append((" ", 0.0))
+        else:
+            before = ch
+        new: dict[tuple[int, int], tuple] = {}
+        for (a, b), (score, text, start) in paths.items():
             if skip is not None and (s := score + skip) > new.get((a, b), (-math.inf,))[0]:
-                new[a, b] = (s, text)
+                new[a, b] = (s, text, start)
             for c, cost in options:
-                k = ord(c) - 96 if "a" <= c <= "z" else CLASSES - 1
+                k = ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else CLASSES - 1
                 s = score + cost + after[a][b][k]
                 if s > new.get((b, k), (-math.inf,))[0]:
-                    new[b, k] = (s, text + c)
+                    new[b, k] = (s, (text, c), start)
         paths = new
-    return max((score + after[a][b][0], text) for (a, b), (score, text) in paths.items())[1]
+    ends += [(score + after[a][b][0], text, start, len(word)) for (a, b), (score, text, start) in paths.items()]
+    most = max(e[0] for e in ends)
+    return max((spelled(text), start, end) for score, text, start, end in ends if score == most)
+
+
+def spelled(letters: tuple | None) -> str:
+    out = []
+    while letters:
+        letters, c = letters
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def restore_word(word: str, after: list) -> str:
+    """The likeliest word behind a lower-case one; non-letters at its ends stay outside."""
+    return decoded(word, after)[0]
 
 
 def bare(word: str) -> str:
     return word.strip(EDGES)
 
 
+def disguised(word: str) -> bool:
+    """Whether stand-ins or separators are between or beside letters, or a character is repeated."""
+    if BESIDE.search(word):
+        return True
+    first = LETTER.search(word)
+    return bool(first and INSIDE.search(word, first.end(), max(map(word.rfind, "abcdefghijklmnopqrstuvwxyz"))))
+
+
 def restored(word: str, after: list) -> str:
-    """A word without punctuation at its ends, restored if it looks disguised."""
+    """A word without punctuation at its ends, restored if it looks disguised; a spaced run's words, by blanks."""
+    if " " in word:
+        return " ".join(decoded(word, after)[0].split()) if sum(map(str.isalpha, word)) >= 2 else word
     inner = bare(word)
-    if not inner or inner.isalpha() and not RUN.search(inner):
+    plain = inner.isalpha() and not RUN.search(inner)
+    form = LONG_RUN.sub(r"\1\1\1", word.rstrip(".,;:?\"')]}").lstrip("\"'([{").strip(PLAIN_EDGES))
+    if not inner or plain and len(form) == len(inner):
         return inner
-    whole = word.rstrip(".,;:?\"')]}").lstrip("\"'([{")
-    for form in (inner, whole):
-        if len(form) <= LONGEST_WORD and DISGUISED.search(form) and sum(map(str.isalpha, form)) >= 2:
-            return restore_word(form, after)
+    if disguised(form) and sum(map(str.isalpha, form)) >= 2:
+        lead, trail = len(form) - len(form.lstrip(EDGES)), len(form) - len(form.rstrip(EDGES))
+        text, start, end = decoded(form, after, lead, trail)
+        return inner if plain and (start, end) == (lead, len(form) - trail) else text
     return inner
 
 
 def split(text: str) -> list[str]:
-    """Lower-case words of a text; spaced-out letters become one word."""
-    text = text.lower()
-    return SPACED.sub(lambda m: m[0].replace(" ", ""), text).split()
+    """Lower-case words of a text; a run of spaced-out characters is one, with single blanks in it."""
+    words, at, text = [], 0, text.lower()
+    for m in SPACED.finditer(text):
+        words += text[at : m.start()].split()
+        words.append(" ".join(m[0].split()))
+        at = m.end()
+    return words + text[at:].split()
 
 
 def restore(text: str, model: CharacterModel) -> str:
@@ -154,7 +205,7 @@ class ToxicityModel:
         out = np.zeros((len(words), 2))
         get = self.weights.get
         for i, w in enumerate(words):
-            best = max((get(f, 0.0) for f in features_of(restored(w, self.characters.after))), default=0.0)
+            best = max((get(f, 0.0) for x in restored(w, self.characters.after).split() for f in features_of(x)), default=0.0)
             out[i] = best, best > 0
         return out
 
@@ -201,7 +252,7 @@ def train(docs: DataFrame, labelled: DataFrame, labels: DataFrame, sample: int =
     after = characters.after
 
     def words_in(text: str) -> set[str]:
-        return {f for w in set(split(text)) for f in features_of(restored(w, after))}
+        return {f for w in set(split(text)) for x in restored(w, after).split() for f in features_of(x)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = {0: Counter(), 1: Counter()}

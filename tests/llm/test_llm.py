@@ -439,6 +439,32 @@ def test_restoring_is_exact_viterbi(word):
     assert toxicity.restore_word(word, after) == brute_restore(word, after)[1]
 
 
+@pytest.fixture(scope="module")
+def english():
+    text = "you are a stupid moron and an idiot, what a loser. scum of the earth! a man is a moron; stupid idiot losers say a lot. " * 50
+    c = toxicity.classes_of(text)
+    counts = np.zeros((toxicity.CLASSES,) * 3)
+    np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    return toxicity.CharacterModel(counts)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("$tupid !diot, |oser $cum", "stupid idiot loser scum"),
+        ("idiot! (moron) scum!!! stupid!?", "idiot moron scum stupid"),
+        ("you are a s t u p i d m o r o n", "you are a stupid moron"),
+        ("a m o r o n", "a moron"),
+        ("what s  t  u\tp !  d", "what stupid"),
+        ("stu" + "p" * 60 + "id", "stupid"),
+        (".".join("stupidmoron" * 4), "stupidmoron" * 4),
+        ("1 2 3 4", "1 2 3 4"),
+    ],
+)
+def test_disguises_at_ends_in_runs_and_in_long_words(english, text, want):
+    assert toxicity.restore(text, english) == want
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     clean = ["table", "garden", "window", "river", "stone", "light", "paper", "morning", "summer", "letter"]
