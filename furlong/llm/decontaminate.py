@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furlong.llm.shared import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What is between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -117,7 +119,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_s
     doc_id are judged each on its own. Items without words have no window. Extra columns are ignored.
     """
     docs = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    bench = Benchmark(benchmark, size, max_set)
+    return _judged(docs, Benchmark(benchmark, size, max_set)).drop("_row")
+
+
+def _judged(docs: DataFrame, bench: Benchmark) -> DataFrame:
+    """The same with ``_row``, which numbers the rows of ``docs`` (doc_id, text, _row)."""
     if bench.texts is not None:
         rows = with_hits(docs, bench).select("_row", "doc_id", F.col("_n").alias("n_words"), F.explode_outer("_hits").alias("h")).select("_row", "doc_id", "n_words", "h.*")
         items = F.broadcast(bench.windows.groupBy("window").agg(F.collect_set("item_id").alias("ids")))  # at most max_set rows
@@ -132,7 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_s
     hit = F.when(F.col("ids").isNotNull(), F.struct("at", "k"))
     grouped = joined.groupBy("_row", "doc_id", "n_words").agg(F.sort_array(F.collect_set(hit)).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
     out = grouped.withColumn("n_hit", _n_hit(F.col("hits")).cast("long"))
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), "items", "hits", _is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+    return out.select("_row", "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), "items", "hits", _is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size: int = SIZE, max_set: int = MAX_SET) -> DataFrame:
@@ -142,14 +148,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     bench = Benchmark(benchmark, size, max_set)
     if bench.texts is None:
-        judged = contamination(docs, benchmark, size, max_set)
+        numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        judged = _judged(numbered.select("doc_id", "text", "_row"), bench)
+        if remove == "documents":
+            return numbered.join(judged.where("contaminated").select("_row"), "_row", "left_anti").select(*docs.columns)
+        hits = numbered.join(judged.select("_row", F.col("hits").alias("_hits")), "_row")
+    else:
+        hits = with_hits(docs, bench)
         if remove == "documents":
-            bad = judged.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-            return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
-        raise ValueError("spans are removed only for a benchmark that fits in the set")
-    hits = with_hits(docs, bench)
-    if remove == "documents":
-        return hits.where(~_is_contaminated(_n_hit(F.col("_hits")), F.col("_n")) & (F.col("_at") >= 0)).select(*docs.columns)
+            return hits.where(~_is_contaminated(_n_hit(F.col("_hits")), F.col("_n")) & (F.col("_at") >= 0)).select(*docs.columns)
     covered = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.sequence(h["at"], h["at"] + h["k"] - 1))))
     left = F.array_join(F.filter(F.regexp_extract_all("text", F.lit(f"({WORD_AND_BEFORE})"), F.lit(1)), lambda x, i: ~F.array_contains(F.col("_covered"), i)), "")
     text = F.when(F.size("_covered") > 0, F.concat(left, F.regexp_extract("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0))).otherwise(F.col("text"))

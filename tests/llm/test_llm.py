@@ -232,6 +232,15 @@ def test_spans_are_cut_out(spark):
 SMALL = [("▁", -2.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("aba", -3.0), ("▁ab", -4.0), ("ba", -2.0), ("bb", -1.5)]
 
 
+def test_joined_benchmark_removes_alike(spark):
+    passage = " ".join(f"b{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"Own start, {passage}; own end."), (1, "clean row with the same id"), (None, passage), (None, "clean too"), (2, None), (3, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    for remove, left in (("documents", 4), ("spans", 6)):
+        small, joined = (sorted(map(repr, rows(decontaminate.decontaminate(docs, bench, remove, max_set=n)))) for n in (1000, 0))
+        assert joined == small and len(joined) == left
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab▁☃日", max_size=14))
 def test_piece_counts_with_ties_and_unknowns(text):
