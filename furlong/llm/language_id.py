@@ -22,8 +22,8 @@ from furlong.llm.shared import CACHE_WORDS, WordTable, in_blocks, worker_table,
 
 WORDS = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: A longer run of letters is cut into words of this many.
-LONGEST_WORD = 32
+#: Longer words go one by one, with logarithms; shorter ones many at a time.
+LONG_WORD = 32
 LONGEST_PIECE = 16
 ROUNDS = 2
 #: Added to each expected count.
@@ -31,11 +31,8 @@ SMOOTHING = 0.1
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case runs of letters, cut at ``LONGEST_WORD``."""
-    words = WORDS.findall(text.lower())
-    if words and len(max(words, key=len)) > LONGEST_WORD:
-        words = [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
-    return words
+    """Lower-case runs of letters, however long."""
+    return WORDS.findall(text.lower())
 
 
 def has_letter(words: list[str]) -> bool:
@@ -137,20 +134,78 @@ def forward(n: int, spans: dict, probs: np.ndarray) -> list[np.ndarray]:
     return alpha
 
 
+def pieces_to(text: str, end: int, vocab: dict[str, int]) -> Iterator[tuple[int, int]]:
+    """Start and number of each piece of ``text`` that ends at ``end``; a character of none is unknown."""
+    for start in range(max(0, end - LONGEST_PIECE), end):
+        piece = vocab.get(text[start:end], len(vocab) if start == end - 1 else -1)
+        if piece >= 0:
+            yield start, piece
+
+
+def long_forward(text: str, vocab: dict[str, int], logs: np.ndarray) -> np.ndarray:
+    """Log probability of all segmentations of the first j characters, for each j and language.
+
+    With logarithms no length underflows. The sum over the few pieces that end at j is one step.
+    """
+    alpha = np.zeros((len(text) + 1, logs.shape[1]))
+    for j in range(1, len(text) + 1):
+        starts, ids = map(list, zip(*pieces_to(text, j, vocab), strict=True))
+        steps = alpha[starts] + logs[ids]
+        top = steps.max(0)
+        alpha[j] = top + np.log(np.exp(steps - top).sum(0))
+    return alpha
+
+
+def long_counts(text: str, counts: np.ndarray, vocab: dict[str, int], logs: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` how often each piece is used in a long word that each language has ``counts`` times."""
+    alpha, n = long_forward(text, vocab, logs), len(text)
+    beta = np.full((n + 1, logs.shape[1]), -np.inf)
+    beta[n] = 0
+    for j in range(n, 0, -1):
+        for i, piece in pieces_to(text, j, vocab):
+            step = logs[piece] + beta[j]
+            total[piece] += counts * np.exp(alpha[i] + step - alpha[n])
+            beta[i] = np.logaddexp(beta[i], step)
+
+
+def log_probs(probs: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(probs, 1e-300))
+
+
+def short_and_long(words: list[str]) -> tuple[list[int], list[int]]:
+    """Places of the words of at most ``LONG_WORD`` letters, and of the others."""
+    short, long = [], []
+    for i, w in enumerate(words):
+        (short if len(w) <= LONG_WORD else long).append(i)
+    return short, long
+
+
 def word_scores(words: list[str], vocab: dict[str, int], probs: np.ndarray) -> np.ndarray:
-    """Log probability of each word in each language."""
+    """Log probability of each word in each language: the sum over all its segmentations, at any length."""
     out = np.zeros((len(words), probs.shape[1]))
-    for which, n, spans in lattices(words, vocab):
-        out[which] = np.log(np.maximum(forward(n, spans, probs)[n], 1e-300))
+    short, long = short_and_long(words)
+    at = np.array(short, np.int64)
+    for which, n, spans in lattices([words[i] for i in short], vocab):
+        out[at[which]] = np.log(np.maximum(forward(n, spans, probs)[n], 1e-300))
+    if long:
+        logs = log_probs(probs)
+        for i in long:
+            out[i] = long_forward(START + words[i], vocab, logs)[-1]
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, vocab: dict[str, int], probs: np.ndarray) -> np.ndarray:
     """How often each piece is used in each language, given the words' counts there."""
     total = np.zeros_like(probs)
-    for which, n, spans in lattices(words, vocab):
+    short, long = short_and_long(words)
+    if long:
+        logs = log_probs(probs)
+        for i in long:
+            long_counts(START + words[i], counts[i], vocab, logs, total)
+    at = np.array(short, np.int64)
+    for which, n, spans in lattices([words[i] for i in short], vocab):
         alpha = forward(n, spans, probs)
-        beta = [None] * n + [counts[which] / np.maximum(alpha[n], 1e-300)]
+        beta = [None] * n + [counts[at[which]] / np.maximum(alpha[n], 1e-300)]
         for (i, j), ids in reversed(spans.items()):
             p = probs[ids] * beta[j]
             uses = p if i == 0 else alpha[i] * p
@@ -177,8 +232,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 found[lang].update(words_of(text))
-            if sum(map(len, found.values())) > CACHE_WORDS:
-                yield drain()
+                if sum(map(len, found.values())) > CACHE_WORDS:
+                    yield drain()
         yield drain()
 
     return docs.select("lang", "text").dropna().mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -257,6 +312,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with a struct column ``language`` (lang_pred, score); no row is dropped.
 
     A null text, an empty one and one without a letter are ``und`` with score 0. A column of the
-    input that is called ``language`` is replaced. Equal texts get equal predictions.
+    input that is called ``language`` is replaced. Equal texts get equal predictions; of languages
+    that are equally likely the first by name is predicted. A text may be of any length: its words
+    are looked up in blocks of about a million characters, and a word of any length is summed over
+    all its segmentations.
     """
     return docs.withColumn("language", predictor(model, docs.sparkSession))

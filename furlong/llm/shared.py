@@ -12,18 +12,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most words that a Python worker remembers; beyond it the table starts anew.
-CACHE_WORDS = 500_000
+#: Most words that a Python worker remembers in a table; beyond it the table starts anew.
+CACHE_WORDS = 150_000
 #: Most ids (of 8 bytes) that are sent to all executors; some 30 MB as a hash table.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if the session names none."""
+    """The folder that driver and executors share; a temporary one only in local mode, if the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='furlong-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -59,15 +61,14 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-#: One table for each model in a Python worker, for as long as the worker lives.
+#: The table of the latest model in a Python worker; workers outlive the tasks of a query.
 _CACHES: dict[str, WordTable] = {}
 
 
 def worker_table(key: str, make: Callable[[], WordTable]) -> WordTable:
-    """The worker's table under ``key``; a worker keeps the latest four."""
+    """The worker's table under ``key``; one of another key is forgotten."""
     if key not in _CACHES:
-        while len(_CACHES) >= 4:
-            _CACHES.pop(next(iter(_CACHES)))
+        _CACHES.clear()
         _CACHES[key] = make()
     return _CACHES[key]
 
