@@ -24,8 +24,9 @@ from furlong.llm.shared import filesystem, new_folder
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: The dictionary's size, and the bounded sample of records that it is built from.
-DICTIONARY_BYTES, SAMPLE_PAGES, SAMPLE_CHARS = 65_536, 400, 16_384
+#: The dictionary's size, and the bounded sample that it is built from: pages with different payloads,
+#: and of a page that is longer than ``SLICES`` times ``SLICE_CHARS`` that many slices, evenly apart.
+DICTIONARY_BYTES, SAMPLE_PAGES, SLICES, SLICE_CHARS = 65_536, 400, 4, 4_096
 LEVEL = 3
 MANIFEST = "archive string, records long"
 PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -62,32 +63,58 @@ def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b"".join(samples)[-size:]
 
 
+class Pieces:
+    """Reads a stream up to a mark or by a number of bytes; what is left over waits for the next call."""
+
+    def __init__(self, stream: BinaryIO):
+        self.stream, self.waiting = stream, bytearray()
+
+    def upto(self, mark: bytes) -> bytes | None:
+        """What is before the next mark, which is dropped; None at the end of the stream."""
+        seen = 0
+        while (end := self.waiting.find(mark, seen)) < 0:
+            seen = max(0, len(self.waiting) - len(mark) + 1)
+            if not (data := self.stream.read(1 << 16)):
+                if self.waiting:
+                    raise ValueError("a record's headers don't end")
+                return None
+            self.waiting += data
+        return self.exactly(end + len(mark))[:end]
+
+    def exactly(self, size: int) -> bytes:
+        while len(self.waiting) < size:
+            if not (data := self.stream.read(1 << 20)):
+                raise ValueError("a record is cut off")
+            self.waiting += data
+        out = bytes(self.waiting[:size])
+        del self.waiting[:size]
+        return out
+
+
 def records_of(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive."""
+    """Headers and block of each record of an archive; one record at a time is in memory."""
     magic, size = struct.unpack("<II", stream.read(8))
     if magic != SKIPPABLE:
         raise ValueError("the archive doesn't start with its dictionary")
     dictionary = zstandard.ZstdCompressionDict(stream.read(size))
-    plain = zstandard.ZstdDecompressor(dict_data=dictionary).stream_reader(stream, read_across_frames=True)
-    waiting, at = b"", 0
-
-    def more() -> bool:
-        nonlocal waiting, at
-        data = plain.read(1 << 20)
-        waiting, at = waiting[at:] + data, 0
-        return bool(data)
-
-    while at < len(waiting) or more():
-        while (end := waiting.find(b"\r\n\r\n", at)) < 0:
-            if not more():
-                raise ValueError("a record's headers don't end")
-        headers = dict(line.split(": ", 1) for line in waiting[at:end].decode().split("\r\n")[1:])
-        size, at = int(headers["Content-Length"]), end + 4
-        while len(waiting) < at + size + 4:
-            if not more():
-                raise ValueError("a record is cut off")
-        yield headers, waiting[at : at + size]
-        at += size + 4
+    plain = Pieces(zstandard.ZstdDecompressor(dict_data=dictionary).stream_reader(stream, read_across_frames=True))
+    while (head := plain.upto(b"\r\n\r\n")) is not None:
+        headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        yield headers, plain.exactly(int(headers["Content-Length"]) + 4)[:-4]
+
+
+def samples(pages: DataFrame) -> list[bytes]:
+    """Records of ``SAMPLE_PAGES`` different payloads, those with the least SHA-1 (``_sha1``), for the dictionary.
+
+    Only hashes are ranked; then at most that many pages, or slices of them, come to the driver.
+    """
+    chosen = pages.select("_sha1").distinct().orderBy("_sha1").limit(SAMPLE_PAGES)
+    html, gap = F.col("html"), (F.length("html") - SLICE_CHARS) / (SLICES - 1)
+    slices = F.array(*[html.substr((F.lit(1) + F.floor(gap * k)).cast("int"), F.lit(SLICE_CHARS)) for k in range(SLICES)])
+    parts = F.when(F.length("html") <= SLICES * SLICE_CHARS, F.array("html")).otherwise(slices)
+    found = pages.join(F.broadcast(chosen), "_sha1").select("_sha1", "page_id", "url", parts.alias("parts"))  # chosen: SAMPLE_PAGES rows
+    one_each = found.groupBy("_sha1").agg(F.min(F.struct("page_id", "url", "parts")).alias("page")).select("page.*")
+    return [record(r["page_id"], r["url"], part.encode(), None, False) for r in one_each.collect() for part in r["parts"]]
 
 
 def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
@@ -95,8 +122,9 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, dictionary_
 
     Null html is an empty payload; null page_ids come after all others; rows repeated with the same
     page_id and payload are each written as that page's response. Archives are renamed when whole.
-    Payloads aren't shuffled unless many have copies: only the ids of payloads that occur more than
-    once are joined, which Spark broadcasts if they are few.
+    Payloads are equal if their SHA-1 is, as the format has it. A page may be of any length; columns
+    other than page_id, url and html are ignored. Payloads aren't shuffled unless many have copies:
+    only the ids of payloads that occur more than once are joined, which Spark broadcasts if they are few.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -106,8 +134,7 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, dictionary_
     revisit = F.col("_copied").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     marked = joined.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
-    sample = pages.select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
-    dictionary = build_dictionary([record(r["page_id"], r["url"], r["html"].encode(), None, False) for r in sample.collect()], dictionary_bytes)
+    dictionary = build_dictionary(samples(pages), dictionary_bytes)
 
     def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
