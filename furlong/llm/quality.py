@@ -18,8 +18,8 @@ BLANKS = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 #: Documents of each label that the weights are fitted on, at most.
 SAMPLE_DOCS = 2_000
-#: Lines of a training sequence; longer documents are several sequences.
-SEQUENCE = 64
+#: Lines of a training sequence, and how many of them, evenly apart, a longer document gives.
+SEQUENCE, SEQUENCES = 64, 4
 STEPS, RATE, PENALTY = 150, 1.0, 1e-3
 #: A document is kept if at least this share of its words is in content lines.
 MIN_CONTENT = 0.5
@@ -162,18 +162,28 @@ class LineField:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> LineField:
     """Fit the field on at most ``sample`` documents of each quality label, those with the least hash of doc_id.
 
-    Without labelled documents of both kinds the weights are zero and every line is content.
+    Tasks measure the documents; what reaches the driver are the features of at most ``SEQUENCES``
+    sequences of ``SEQUENCE`` lines of each, however long it is. Of rows with one doc_id the least
+    text counts, of its labels the least. Without labelled documents of both kinds the weights are zero and every line is content.
     """
     labels = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [labels.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
-    sequences, kinds = [], []
-    for row in docs.select("doc_id", "text").dropna().join(chosen, "doc_id").select("text", "quality").limit(4 * sample).toLocalIterator():
-        features = np.array(measure(row["text"])[1])
-        for at in range(0, len(features), SEQUENCE):
-            sequences.append(features[at : at + SEQUENCE])
-            kinds.append(int(row["quality"]))
-    return LineField().fit(sequences, kinds)
+
+    def sequences_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text, kind in zip(batch["text"], batch["quality"], strict=True):
+                features = np.array(measure(text)[1], np.float32)
+                starts = range(0, len(features), SEQUENCE)
+                for i in sorted({k * (len(starts) - 1) // (SEQUENCES - 1) for k in range(SEQUENCES)}) if starts else ():
+                    rows.append((int(kind), features[starts[i] : starts[i] + SEQUENCE].tobytes()))
+            yield pd.DataFrame(rows, columns=["quality", "features"])
+
+    texts = docs.select("doc_id", "text").dropna().join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = texts.select("text", "quality").mapInPandas(sequences_of, "quality int, features binary").toLocalIterator()
+    found = sorted((r["quality"], bytes(r["features"])) for r in rows)  # at most 2 * sample * SEQUENCES rows
+    return LineField().fit([np.frombuffer(f, np.float32).reshape(-1, len(FEATURES)) for _, f in found], [y for y, _ in found])
 
 
 def judge(field: LineField) -> Column:
@@ -200,6 +210,6 @@ def judged(docs: DataFrame, field: LineField) -> DataFrame:
     """``docs`` with the struct column ``quality`` of ``judge``; no row is dropped.
 
     Null and empty texts have no words, so they fail the base rules. Equal texts get equal verdicts;
-    a column of the input that is called ``quality`` is replaced.
+    a column of the input that is called ``quality`` is replaced. Texts are judged whole, at any length.
     """
     return docs.withColumn("quality", judge(field))
