@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from furlong.llm.shared import filesystem, new_folder
 from furlong.llm.tokenize import encoder
@@ -63,13 +64,20 @@ def deserialize(payload: bytes) -> tuple[int, np.ndarray]:
     return doc_id, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4")
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, width: int = 2) -> DataFrame:
+def width_of(tokenizer: str, end_id: int) -> int:
+    """Bytes that every id of the tokenizer's vocabulary, and ``end_id``, fits in."""
+    return 2 if max(end_id, *Tokenizer.from_file(tokenizer).get_vocab().values()) < 1 << 16 else 4
+
+
+def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFrame:
     """Write all documents in ascending doc_id order below ``folder``; return the index, read back.
 
     A shard is one range of doc_id. A task writes under a name of its own and renames when done, so a
     repeated or killed task leaves no half shard. Null texts are empty (only the end id); documents
-    with a null doc_id come first; rows with equal doc_id keep a fixed order by text.
+    with a null doc_id come first; rows with equal doc_id keep a fixed order by text. A text may be
+    of any length: a record's length has 64 bits. Columns other than doc_id and text are ignored.
     """
+    width = width_of(tokenizer, end_id)
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context, encode = TaskContext.get(), encoder(tokenizer).encode
@@ -126,6 +134,31 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return shards.repartition(spread, "shard").mapInPandas(records, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_at(index: DataFrame, folder: str) -> DataFrame:
+    """The records of some rows of the index (shard, offset, any others), in whatever order and tasks they are in.
+
+    This is how a shuffled epoch is read: ``read_at(index.repartition(n, F.rand(seed)), folder)``.
+    Returns shard, offset, doc_id and ids. Each task keeps one shard open and reads its rows of a
+    batch by ascending offset; a damaged record raises ValueError.
+    """
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, path = filesystem(folder)
+        for batch in batches:
+            rows = {}
+            for number, part in batch.groupby("shard"):
+                with fs.open_input_file(f"{path}/shard-{number:06d}.rec") as f:
+                    for i, offset in part["offset"].sort_values().items():
+                        f.seek(offset)
+                        head = f.read(12)
+                        doc_id, ids = deserialize(unframe(head + f.read(struct.unpack_from("<Q", head)[0] + 4), 0)[0])
+                        rows[i] = (number, offset, None if doc_id == NO_ID else doc_id, ids.astype("int64"))
+            out = pd.DataFrame([rows[i] for i in batch.index], columns=["shard", "offset", "doc_id", "ids"])
+            yield out.astype({"doc_id": "Int64"})
+
+    return index.select("shard", "offset").mapInPandas(fetch, "shard long, offset long, doc_id long, ids array<long>")
+
+
 def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write ``docs`` to a new folder of the shared store and return what the files hold."""
     folder = new_folder(docs.sparkSession, "records")
