@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from furlong.llm.shared import written
+from furlong.llm.shared import broadcast_if_small, written
 from furlong.llm.tokenize import encoder
 
 WINDOW = 4096
-#: Salt that spreads one length's pieces over tasks when they are numbered.
-SALTS = 64
+#: Pieces of one length that are numbered together; more of them are dealt to several tasks.
+SHARE = 2_000
 
 PIECES = T.StructType(
     [
@@ -117,12 +117,17 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> pd.DataFrame:
 def place(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     """Give each piece its ``sequence_id`` and ``offset``. Sequences are gapless from offset 0.
 
-    Pieces of one length are numbered in salted shares whose offsets come from the shares' sizes, so
-    a length that a third of all pieces have is still spread over tasks.
+    Pieces of one length are numbered in salted shares, one for each ``SHARE`` pieces, whose offsets
+    come from the shares' sizes; so a length that a third of all pieces have is spread over as many
+    tasks as it needs. Which share has how many is a table of at most ``window`` rows and one for
+    each ``SHARE`` pieces.
     """
-    cut = cut.withColumn("_salt", (F.xxhash64("doc_id", "start") % SALTS + SALTS) % SALTS)
-    shares = cut.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n"))
-    counts = {r["length"]: r["n"] for r in shares.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `window` rows
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
+    spark = cut.sparkSession
+    salts = spark.createDataFrame([(k, 1 + n // SHARE) for k, n in counts.items()], "length long, _salts long")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), "_salts"))
+    shares = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n"))
+    shares = broadcast_if_small(written(shares.select("length", "_salt", "_before"), "shares"))
     todo = plan(counts, window)
     by = {k: g.drop(columns="length").to_numpy() for k, g in todo.groupby("length")}
 
@@ -138,11 +143,10 @@ def place(cut: DataFrame, window: int = WINDOW) -> DataFrame:
             yield batch.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
 
     ranked = (
-        cut.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start")))
-        .join(F.broadcast(shares.select("length", "_salt", "_before")), ["length", "_salt"])  # at most window * SALTS rows
+        salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")))
+        .join(shares, ["length", "_salt"])
         .withColumn("_rank", F.col("_before") + F.col("_row") - 1)
-        .drop("_salt", "_row", "_before")
-        .select(*[c for c in cut.columns if c != "_salt"], "_rank")
+        .select(*cut.columns, "_rank")
     )
     schema = T.StructType([f for f in ranked.schema.fields if f.name != "_rank"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInPandas(assign, schema)
@@ -152,7 +156,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
     """Pack all documents; one row a piece, each id in exactly one piece.
 
     Nulls: a null text packs as its end id alone; a null doc_id is kept. Rows with the same doc_id
-    are packed each on its own. An empty table gives no rows. Texts are encoded once; the pieces'
+    are packed each on its own. A text of any length is cut into as many pieces as it needs; columns
+    other than doc_id and text are ignored. An empty table gives no rows. Texts are encoded once; the pieces'
     table is written to the shared folder before it is counted and placed.
     """
     return place(written(pieces(docs, tokenizer, end_id, window, with_ids), "pieces"), window)
