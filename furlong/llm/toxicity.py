@@ -29,9 +29,9 @@ STAND_IN, REPEAT, SEPARATED = -1.0, -1.0, -0.5
 #: Classes of characters in the trigram model: 0 no letter, 1-26 a-z, 27 any other letter.
 CLASSES = 28
 BLANK = re.compile(r"\s+")
-#: Four or more single letters, digits or stand-ins with blanks between them.
+#: Three or more single letters, digits or stand-ins with blanks between them.
 ONE = rf"(?:[^\W_]|[{re.escape(''.join(LEET))}])"
-SPACED = re.compile(rf"(?<!\S){ONE}(?:\s+{ONE}){{3,}}(?!\S)")
+SPACED = re.compile(rf"(?<!\S){ONE}(?:\s+{ONE}){{2,}}(?!\S)")
 RUN = re.compile(r"(.)\1\1")
 #: More than three of one character are decoded as three.
 LONG_RUN = re.compile(r"(.)\1{3,}")
@@ -40,7 +40,10 @@ EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 PLAIN_EDGES = "".join(c for c in EDGES if c not in LEET)
 LETTER = re.compile("[a-z]")
 INSIDE = re.compile(f"[{re.escape(''.join(LEET) + SEPARATORS)}]")
-BESIDE = re.compile(rf"[{re.escape(''.join(LEET))}][a-z]{{2}}|[a-z]{{2}}[{re.escape(''.join(LEET))}]|(.)\1\1")
+BESIDE = re.compile(rf"[{re.escape(''.join(LEET))}][a-z]|[a-z][{re.escape(''.join(LEET))}]|(.)\1\1")
+PAIR = re.compile(r"(.)\1")
+#: A word of which doubled characters are this share may have all of them doubled.
+MIN_DOUBLED = 0.6
 
 #: Labelled documents of each kind that the classifier is fitted on, at most.
 SAMPLE_DOCS = 4_000
@@ -147,9 +150,17 @@ def bare(word: str) -> str:
     return word.strip(EDGES)
 
 
+def stretched(word: str) -> bool:
+    """Whether a character is there three times on end, or most of them twice."""
+    if RUN.search(word):
+        return True
+    pairs = len(PAIR.findall(word))
+    return pairs >= 2 and 2 * pairs >= MIN_DOUBLED * len(word)
+
+
 def disguised(word: str) -> bool:
-    """Whether stand-ins or separators are between or beside letters, or a character is repeated."""
-    if BESIDE.search(word):
+    """Whether stand-ins or separators are between or beside letters, or characters are repeated."""
+    if BESIDE.search(word) or stretched(word):
         return True
     first = LETTER.search(word)
     return bool(first and INSIDE.search(word, first.end(), max(map(word.rfind, "abcdefghijklmnopqrstuvwxyz"))))
@@ -160,11 +171,11 @@ def restored(word: str, after: list) -> str:
     if " " in word:
         return " ".join(decoded(word, after)[0].split()) if sum(map(str.isalpha, word)) >= 2 else word
     inner = bare(word)
-    plain = inner.isalpha() and not RUN.search(inner)
+    plain = inner.isalpha() and not stretched(inner)
     form = LONG_RUN.sub(r"\1\1\1", word.rstrip(".,;:?\"')]}").lstrip("\"'([{").strip(PLAIN_EDGES))
     if not inner or plain and len(form) == len(inner):
         return inner
-    if disguised(form) and sum(map(str.isalpha, form)) >= 2:
+    if len(form) > 2 and disguised(form) and any(map(str.isalpha, form)):
         lead, trail = len(form) - len(form.lstrip(EDGES)), len(form) - len(form.rstrip(EDGES))
         text, start, end = decoded(form, after, lead, trail)
         return inner if plain and (start, end) == (lead, len(form) - trail) else text
@@ -187,8 +198,8 @@ def restore(text: str, model: CharacterModel) -> str:
 
 
 def features_of(word: str) -> list[str]:
-    """A restored word and its beginnings (marked by ``*``)."""
-    if len(word) < PREFIXES[0] or not word[0].isalpha():
+    """A restored word of three letters or more and its beginnings (marked by ``*``)."""
+    if len(word) < 3 or not word[0].isalpha():
         return []
     return [f"={word}", *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
 
@@ -341,8 +352,9 @@ def scorer(model: ToxicityModel, spark) -> Column:
 def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with ``toxicity``, the score of each whole text; no row is dropped.
 
-    A null text scores as an empty one, equal texts alike. A column of the input that is called
-    ``toxicity`` is replaced.
+    A null text scores as an empty one, equal texts alike; rows with equal doc_id are each scored. A
+    column of the input that is called ``toxicity`` is replaced. Texts and words may be of any length:
+    a run of one character is decoded as three of it, everything else as it is.
     """
     return docs.withColumn("toxicity", scorer(model, docs.sparkSession))
 
