@@ -3,7 +3,8 @@
 An Aho-Corasick automaton finds all pieces of the vocabulary in a word; dynamic programming carries
 the best score and its number of pieces to each place. Ties and unknown characters follow the public
 unigram tokenizer: the first best path stays (a later one must score more), an unknown character
-scores 10 below the worst piece, and adjacent unknown characters are one piece.
+scores 10 below the worst piece. Adjacent unknown characters are one piece; or, if the vocabulary
+has a piece for each byte, as many as they have bytes in UTF-8.
 """
 
 from __future__ import annotations
@@ -24,19 +25,21 @@ BLANK = re.compile(r"[ \t-\r]+")
 UNKNOWN_PENALTY = 10.0
 
 
-def unigram_vocabulary(model_file: str) -> list[tuple[str, float]]:
-    """The pieces of a public vocabulary with their scores, without bytes and control pieces."""
+def unigram_vocabulary(model_file: str) -> tuple[list[tuple[str, float]], bool]:
+    """The pieces of a public vocabulary with their scores, without bytes and control pieces; and whether it has all bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    normal = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return [(model.id_to_piece(i), model.get_score(i)) for i in normal]
+    every = range(model.get_piece_size())
+    normal = [i for i in every if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    return [(model.id_to_piece(i), model.get_score(i)) for i in normal], sum(map(model.is_byte, every)) == 256
 
 
 class PieceCounter:
     """Counts the pieces of the best segmentation of a string."""
 
-    def __init__(self, vocab: list[tuple[str, float]]):
+    def __init__(self, vocab: list[tuple[str, float]], byte_pieces: bool = False):
+        self.byte_pieces = byte_pieces
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocab:
             if piece:
@@ -58,7 +61,8 @@ class PieceCounter:
                 s = score[end - 1] + self.unknown
                 if not reached[end] or s > score[end]:
                     score[end], unknown_last[end] = s, True
-                    pieces[end] = pieces[end - 1] + (not unknown_last[end - 1])
+                    more = len(text[end - 1].encode("utf-8", "replace")) if self.byte_pieces else not unknown_last[end - 1]
+                    pieces[end] = pieces[end - 1] + more
 
         reached = [False] * (n + 1)
         for last, (length, own) in () if self.empty else self.automaton.iter(text):
@@ -83,13 +87,14 @@ def counted(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_words and n_tokens of each whole text.
 
     A text's words are what is between blanks; each is a word start and the word, cut apart on its
-    own. Null and empty texts have 0 of both. Rows with equal doc_id are each counted; other columns
-    are ignored.
+    own. Null and empty texts have 0 of both. Rows with equal doc_id (null too) are each counted;
+    other columns are ignored. Texts and words may be of any length: a place of a word remembers one
+    score and one count.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def table() -> WordTable:
-            counter = PieceCounter(unigram_vocabulary(model_file))
+            counter = PieceCounter(*unigram_vocabulary(model_file))
             return WordTable(lambda words: np.array([[counter.count(START + w)] for w in words]), 1)
 
         known = worker_table(f"pieces:{model_file}", table)
