@@ -7,9 +7,10 @@ on a whole band are candidates. Candidates are verified by their exact weighted
 and linked documents form classes.
 
 Document frequencies are counted over all documents in 2**20 hashed buckets, so the table's size is
-fixed. The inverse document frequency ln(1 + N / (df + N / 100)) tells shingles of a hundredth of
-all documents from rarer ones, but hardly a passage of a few copies from a unique one; so the size of
-a group of copies doesn't push its members below the threshold.
+fixed; what the median bucket holds is taken off, so that chance collisions don't make rare shingles
+look common. The inverse document frequency is damped, ln(1 + N / df) ** DAMPING: in a large group
+of copies the shared shingles are common and the edits unique, and the undamped one would push
+copies of similarity 0.8 and more far below it.
 """
 
 from __future__ import annotations
@@ -23,20 +24,23 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.shared import CACHE_WORDS, broadcast_if_small, in_blocks, written
+from furlong.llm.shared import CACHE_WORDS, MAX_BROADCAST_ROWS, broadcast_if_small, in_blocks, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 BUCKETS = 1 << 20
+DAMPING = 0.25
 #: Rows of the table of random variates; a shingle's hash picks one.
 POOL = 1 << 15
 SEED = 20_240_607
 #: Candidates of a group are compared by their draws in blocks of about this many; pairs with fewer
 #: agreeing draws of ``BANDS * ROWS`` are below the threshold (at 0.8, but for one in 50,000).
 BLOCK, LEAST_AGREEING = 512, 38
+#: Rows of one key, or pairs of one leader, that a task gets, at least.
+HOT_ROWS = 1_000
 WORDS = re.compile(r"\w+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -156,7 +160,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
-    return np.log1p(n / (np.maximum(df, 1) + n / 100)).astype(np.float32) if n else np.ones(BUCKETS, np.float32)
+    """The damped inverse document frequency of each bucket, 1 for a shingle of one document."""
+    if not n:
+        return np.ones(BUCKETS, np.float32)
+    own = np.maximum(df - np.median(df), 1)
+    return ((np.log1p(n / own) / np.log1p(n)) ** DAMPING).astype(np.float32)
 
 
 class Sampler:
@@ -211,7 +219,11 @@ _SAMPLER: list[Sampler] = []
 
 
 def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
-    """doc_id, a 128-bit hash of the word sequence (null without words), the band keys and a byte of each draw."""
+    """One row for each row of ``docs``: doc_id, of, same, bands and draws.
+
+    ``of`` is 128 bits of the text, ``same`` of its sequence of words (null without words); ``bands``
+    are the band keys, and ``draws`` a byte of each draw.
+    """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not _SAMPLER:
@@ -229,9 +241,29 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
                         else:
                             rows.append((None, np.zeros(0, np.int64), None))
             out = pd.DataFrame(rows, columns=["same", "bands", "draws"])
-            yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())[["doc_id", "same", "bands", "draws"]]
+            yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy(), of=batch["of"].to_numpy())[["doc_id", "of", "same", "bands", "draws"]]
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("of"), "text")
+    return keyed.mapInPandas(sign, "doc_id long, of binary, same binary, bands array<long>, draws binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, "doc_id long, same binary, bands array<long>, draws binary")
+
+def text_key(text: Column) -> Column:
+    """128 bits of a text; null is as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Each row with the columns of its group, whose size is ``n``; ``total`` bounds the number of rows.
+
+    Large groups are few, at most total / hot, so they are broadcast; rows of the others are shuffled.
+    So no task gets more than ``hot`` rows of one key, however large a group is.
+    """
+    hot = max(HOT_ROWS, total // MAX_BROADCAST_ROWS)
+    heavy, light = groups.where(F.col("n") > hot), groups.where(F.col("n") <= hot)
+    columns = [*rows.columns, *(c for c in groups.columns if c not in keys)]
+    spread = rows.join(F.broadcast(heavy), keys)  # at most MAX_BROADCAST_ROWS rows
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    return spread.select(*columns).unionByName(rest.select(*columns))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
@@ -244,7 +276,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose documents are similar enough."""
+    """The pairs (a, b), a leader and a member, whose texts (node, text) are similar enough.
+
+    A member is in few pairs. A leader of many gets a copy of its text for each ``HOT_ROWS`` of them,
+    and its members are dealt over the copies.
+    """
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -252,13 +288,15 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, threshold: floa
             good = []
             for a, b, text_a, text_b in batch.itertuples(index=False):
                 if a not in known:
-                    if len(known) > 64:
-                        known.clear()
-                    known[a] = shingles([text_a])[0]
+                    known = {a: shingles([text_a])[0]}  # rows come by leader
                 good.append(similarity(known[a], shingles([text_b])[0], idf.value) >= threshold)
             yield batch.loc[good, ["a", "b"]]
 
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    leaders = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / HOT_ROWS).cast("int"))
+    dealt = with_group(pairs, leaders, ["a"], pairs.count()).withColumn("copy", F.pmod(F.xxhash64("b"), "copies").cast("int"))
+    of_members = dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    of_leaders = texts.join(leaders, F.col("node") == F.col("a")).select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    joined = of_members.join(of_leaders, ["a", "copy"])
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(keep, "a long, b long")
 
 
@@ -275,11 +313,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before, now = None, state(edges)
-    while now != before:
+    while now != before and now[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        hung = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = with_group(both.where("v > u"), least, ["u"], 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        hung = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")  # a node has few lesser neighbours
         small = hung.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = written(small, "edges")
         before, now = now, state(edges)
@@ -348,11 +386,13 @@ def remaining_links(members: DataFrame, stands: DataFrame, roots: DataFrame, tex
     about ``BLOCK``; a group that is one class is not looked at. ``stands`` has the band keys and
     draws of each member.
     """
-    rooted = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    open_groups = rooted.groupBy("band", "key").agg(F.min("root").alias("main"), F.max("root").alias("other"), F.count("*").alias("n"))
-    rest_sizes = rooted.join(open_groups.where("main <> other"), ["band", "key"]).where("root <> main").groupBy("band", "key", "main", "n").agg(F.count("*").alias("rest"))
-    signs = stands.select(F.col("stand").alias("doc"), "bands", "draws")
-    found = rooted.join(rest_sizes, ["band", "key"]).join(signs, "doc").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    rooted = written(members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")), "rooted")
+    total, keys = rooted.count(), ["band", "key"]
+    groups = rooted.groupBy(*keys).agg(F.min("root").alias("main"), F.max("root").alias("other"), F.count("*").alias("n")).where("main <> other")
+    opened = written(with_group(rooted, groups, keys, total).drop("other"), "open-groups")
+    open_groups = opened.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when(F.col("root") != F.col("main"), 1)).alias("rest"))
+    found = with_group(opened.drop("n"), open_groups, keys, total)
+    found = found.join(stands.select(F.col("node").alias("doc"), "bands", "draws"), "doc").join(texts.withColumnRenamed("node", "doc"), "doc")
     blocks, rest_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "rest"))
     spread = F.xxhash64("doc")
     side0 = F.transform(F.sequence(F.lit(0), rest_blocks - 1), lambda y: F.struct(F.pmod(spread, blocks).cast("int").alias("x"), y.alias("y"), F.lit(0).alias("side")))
@@ -369,52 +409,77 @@ def remaining_links(members: DataFrame, stands: DataFrame, roots: DataFrame, tex
     return dealt.mapInPandas(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and class_id (the least doc_id of its class) for every row of ``docs``.
+def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, of (the text's key) and first, for every row of ``docs``.
 
-    Rows with the same sequence of words are one class whose least doc_id stands for it; only those
-    stand-ins are compared. In each group of candidates all are compared with two leaders; members
-    that this leaves in different classes are then compared in blocks by their draws and, where those
-    agree and the classes are still apart, exactly. So no group of copies is expanded into all its
-    pairs, and none is capped.
-    Documents without words (null, empty) are each a class of their own. A row with a null doc_id
-    stands for nothing: its class is that of the same words with an id, else null. Rows with equal
-    doc_id are one document. Other columns are ignored.
+    ``first`` (none, doc_id, of) tells the class's row with the least doc_id, of those the least
+    ``of``; null ids come last. It is null for a text without words.
     """
     spark = docs.sparkSession
     df, n = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(inverse_frequencies(df, n))
     signed = written(signatures(docs, idf), "signatures")
-    stands = signed.where("same is not null and doc_id is not null").groupBy("same").agg(F.min_by(F.struct("bands", "draws"), "doc_id").alias("s"), F.min("doc_id").alias("stand"))
-    stands = written(stands.select("same", "stand", "s.bands", "s.draws"), "stand-ins")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of"))
+    stands = signed.where("same is not null").groupBy("same").agg(first.alias("first"), F.any_value("bands").alias("bands"), F.any_value("draws").alias("draws"), F.count("*").alias("n"))
+    stands = written(stands.withColumn("node", F.monotonically_increasing_id()), "stand-ins")
+    most = stands.count() * BANDS
 
-    members = stands.select(F.col("stand").alias("doc"), F.posexplode("bands").alias("band", "key"))
+    members = stands.select(F.col("node").alias("doc"), F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = members.join(sizes, ["band", "key"])
+    members = with_group(members, sizes, ["band", "key"], most)
     # Who shares bands with most others is nearest to what a group's copies were made from.
     known_by = members.groupBy("doc").agg(F.sum("n").alias("known_by"))
     members = written(members.drop("n").join(known_by, "doc"), "candidates")
     order = F.xxhash64("doc")
-    heads = members.groupBy("band", "key").agg(F.max_by("doc", F.struct("known_by", order)).alias("l1"), F.min_by("doc", order).alias("l2"))
-    wanted = broadcast_if_small(written(members.select(F.col("doc").alias("doc_id")).distinct(), "wanted"))
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    pairs = members.join(heads, ["band", "key"]).select(F.explode(F.array("l1", "l2")).alias("a"), F.col("doc").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    links = written(verified(pairs, texts, idf, threshold), "links")
+    heads = written(members.groupBy("band", "key").agg(F.max_by("doc", F.struct("known_by", order)).alias("l1"), F.min_by("doc", order).alias("l2"), F.count("*").alias("n")), "heads")
+    wanted = members.select(F.col("doc").alias("node")).distinct().join(stands.select("node", "first.doc_id", "first.of"), "node")
+    wanted = broadcast_if_small(written(wanted, "wanted"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"), "text")
+    texts = keyed.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("of"))).select("node", "text").dropDuplicates(["node"])
+    texts = written(texts, "texts")
+
+    pairs = with_group(members, heads, ["band", "key"], most).select(F.explode(F.array("l1", "l2")).alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
+    links = written(verified(written(pairs, "pairs"), texts, idf, threshold), "links")
     roots = written(components(links), "classes")
     more = remaining_links(members.select("band", "key", "doc"), stands, roots, texts, idf, threshold)
     a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
     joined = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    top = written(components(joined), "classes")
+    top = broadcast_if_small(written(components(joined).select(F.col("node").alias("root"), F.col("root").alias("top")), "top-classes"))
+
+    # Nodes without a link are their own classes; those of `top` may have had none before.
+    linked = roots.unionByName(top.join(roots, "root", "left_anti").select(F.col("root").alias("node"), "root")).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("class"))
+    linked = written(linked.join(stands.select("node", "first"), "node"), "linked")
+    firsts = linked.groupBy("class").agg(F.min("first").alias("class_first"), F.count("*").alias("n"))
+    of_linked = with_group(linked.select("node", "class"), firsts, ["class"], most).select("node", "class_first")
+    told = written(stands.select("node", "same", "n", "first").join(of_linked, "node", "left").select("same", "n", F.coalesce("class_first", "first").alias("first")), "told")
+    rows = signed.select("doc_id", "of", "same")
+    known = with_group(rows.where("same is not null"), told, ["same"], most).select("doc_id", "of", "first")
+    return known.unionByName(rows.where("same is null").select("doc_id", "of", F.lit(None).cast(known.schema["first"].dataType).alias("first")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and class_id (the least doc_id of its class) for every row of ``docs``.
 
-    known = signed.select("doc_id", "same").join(stands.select("same", "stand"), "same", "left")
-    known = known.join(roots, F.col("stand") == F.col("node"), "left").select("doc_id", F.coalesce("root", "stand", "doc_id").alias("class"))
-    return known.join(top, F.col("class") == F.col("node"), "left").select("doc_id", F.coalesce("root", "class").alias("class_id"))
+    Rows with the same sequence of words are one class; one stand-in of each is compared. In each
+    group of candidates all are compared with two leaders; members that this leaves in different
+    classes are then compared in blocks by their draws and, where those agree and the classes are
+    still apart, exactly. So no group of copies is expanded into all its pairs, and none is capped.
+    Documents without words (null, empty) are each a class of their own. A row with a null doc_id is
+    compared like any other; a class of only such rows has the class_id null. Rows with equal doc_id
+    are each told by their own text. Texts may be of any length; other columns are ignored.
+    """
+    found = classified(docs, threshold)
+    return found.select("doc_id", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose class has a document with a lesser doc_id; all columns stay."""
-    others = near_duplicates(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_other")).distinct()
-    others = broadcast_if_small(written(others, "copies"))
-    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+    """``docs`` with one row of each class, that with the least doc_id, of those the text with the least MD5; all columns stay.
+
+    Rows with equal doc_id and equal text are one document and stay or go together; texts without
+    words all stay. Columns of any other names may be there.
+    """
+    others = classified(docs, threshold).where(F.col("first").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("of") == F.col("first.of"))))
+    others = broadcast_if_small(written(others.select("doc_id", "of").distinct(), "copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(others, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (text_key(F.col("row.text")) == F.col("of")), "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
