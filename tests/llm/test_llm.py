@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import Unigram
 
+import __spark_entry__ as entry
 import corpus_pipeline
 from furlong.llm import decontaminate, language_id, line_dedup, neardup, packing, quality, records, token_counts, toxicity, warc
 from furlong.llm.shared import new_folder
@@ -111,6 +112,18 @@ def test_records_round_trip(spark):
     assert [r["doc_id"] for r in sorted(rows(records.write_and_read(twice, WORD_BPE)), key=lambda r: r["start"])] == [None, 5, 5]
 
 
+def test_records_are_read_by_offset_in_any_order(spark):
+    folder = new_folder(spark, "records-test")
+    index = records.write(frame(spark, ODD), WORD_BPE, 1, folder)
+    got = rows(records.read_at(index.repartition(3, F.rand(5)), folder))
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(ODD, 1)}
+    assert [r["doc_id"] for r in rows(records.read_at(index.where("doc_id = 4"), folder))] == [4]
+    assert records.width_of(WORD_BPE, 1) == 2 and records.width_of(WORD_BPE, 70_000) == 4
+    wide = rows(records.read_at(records.write(frame(spark, ["a b"]), WORD_BPE, 70_000, f"{folder}-wide"), f"{folder}-wide"))
+    assert wide[0]["ids"][-1] == 70_000
+
+
 def test_damaged_records_are_noticed():
     data = records.frame(records.serialize(7, np.array([1, 2, 49_000]), 2))
     doc_id, ids = records.deserialize(records.unframe(data, 0)[0])
@@ -169,6 +182,24 @@ def test_forward_sums_all_segmentations():
         assert np.allclose((slope * counts).sum(0), expected[piece], atol=1e-4)
 
 
+def test_long_words_are_summed_whole():
+    vocab = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "▁ab"])}
+    probs = np.vstack([np.linspace(0.1, 0.3, 7)[:, None] * [1.0, 0.5], [[0, 0]]])
+    logs = language_id.log_probs(probs)
+    word = "abzab" * 6
+    short = language_id.word_scores([word], vocab, probs)
+    assert np.allclose(language_id.long_forward("▁" + word, vocab, logs)[-1], short[0], rtol=1e-9)
+    total = np.zeros_like(probs)
+    language_id.long_counts("▁" + word, np.array([2.0, 3.0]), vocab, logs, total)
+    assert np.allclose(total, language_id.expected_counts([word], np.array([[2.0, 3.0]]), vocab, probs), rtol=1e-6)
+    # A run of 10,000 letters: alpha[j] = alpha[j - 1] * (p(a) + p(b|a b) ...), by an exact recurrence.
+    long = "ab" * 5_000
+    pa, pb, pab, start, sa, sab = (probs[vocab[x]] for x in ("a", "b", "ab", "▁", "▁a", "▁ab"))
+    step = np.log(pa * pb + pab)
+    first = np.log((start * pa + sa) * pb + start * pab + sab)
+    assert np.allclose(language_id.word_scores([long], vocab, probs)[0], first + 4_999 * step, rtol=1e-9)
+
+
 def test_language_id(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = language_id.train(docs.where("crc32(cast(doc_id as string)) % 5 <> 0"), PIECES)
@@ -250,8 +281,9 @@ def test_piece_counts_with_ties_and_unknowns(text):
 
 
 def test_token_counts(spark):
-    vocab = token_counts.unigram_vocabulary(PIECES)
-    model = Unigram([("<unk>", 0.0), *vocab], 0, False)
+    vocab, byte_pieces = token_counts.unigram_vocabulary(PIECES)
+    assert byte_pieces
+    model = Unigram([("<unk>", 0.0), *vocab, *((f"<0x{b:02X}>", 0.0) for b in range(256))], 0, True)
     texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(30).collect()] + ODD[:7] + ["日本☃☃ \v x"]
     for i, r in enumerate(sorted(rows(token_counts.counted(frame(spark, texts), PIECES)), key=lambda r: r["doc_id"])):
         words = [w for w in re.split(r"[ \t-\r]+", texts[i] or "") if w]
@@ -367,9 +399,38 @@ def test_near_duplicates(spark):
     assert got == brute_classes(list(enumerate(docs, 1)))
     kept = rows(neardup.one_of_each(frame(spark, docs)))
     assert sorted(r["doc_id"] for r in kept) == sorted(set(got.values()))
-    assert neardup.near_duplicates(empty(spark)).count() == 0
+    assert neardup.one_of_each(empty(spark)).count() == 0
     ids = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in rows(neardup.near_duplicates(ids))) == [(0, 0), (0, 4), (4, 4), (4, 4)]
+    assert [r["doc_id"] for r in sorted(rows(neardup.one_of_each(ids)), key=str)] == [4, 4, None]
+
+
+def test_two_texts_of_one_id_join_no_groups(spark):
+    one, other = (" ".join(f"{x}{i}" for i in range(40)) for x in "pq")
+    docs = spark.createDataFrame([(1, one), (1, other), (2, f"{one} more"), (3, f"{other} more"), (None, f"{other} too")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["class_id"]) for r in rows(neardup.near_duplicates(docs))) == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+    assert sorted((r["doc_id"], r["text"]) for r in rows(neardup.one_of_each(docs))) == [(1, one), (1, other)]
+    docs = spark.createDataFrame([(1, "filler text"), (5, one), (5, other), (2, f"{one} more"), (3, f"{other} more")], "doc_id long, text string")
+    got = {(r["doc_id"], r["class_id"]) for r in rows(neardup.near_duplicates(docs))}
+    assert got == {(1, 1), (5, 2), (5, 3), (2, 2), (3, 3)}
+
+
+def test_common_shingles_weigh_less(spark):
+    """Two texts that share a frequent passage and differ otherwise are alike only if all shingles weigh the same."""
+    common = " ".join(f"c{i}" for i in range(95))
+    docs = [(i, f"{common} " + " ".join(f"u{i}x{j}" for j in range(4))) for i in range(60)] + [(100 + i, " ".join(f"o{i}x{j}" for j in range(60))) for i in range(60)]
+    df, n = neardup.document_frequencies(spark.createDataFrame(docs, "doc_id long, text string"))
+    idf = neardup.inverse_frequencies(df, n)
+    a, b = neardup.shingles([docs[0][1], docs[1][1]])
+    assert neardup.similarity(a, b, np.ones_like(idf)) > 0.9 > neardup.similarity(a, b, idf)
+    assert neardup.inverse_frequencies(np.array([0, 1, 100]), 1000)[2] < 1
+
+
+def test_rows_find_their_groups_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 3)
+    df = spark.createDataFrame([(k, i) for k in range(5) for i in range(k + 1)], "k long, i long")
+    got = rows(neardup.with_group(df, df.groupBy("k").agg(F.count("*").alias("n")), ["k"], 15))
+    assert sorted((r["k"], r["i"], r["n"]) for r in got) == [(k, i, k + 1) for k in range(5) for i in range(k + 1)]
 
 
 def test_first_shared_band_is_told_by_full_keys():
@@ -398,20 +459,33 @@ def test_components(spark):
 # --- lines -------------------------------------------------------------------------------------
 
 
+LINE_SCHEMA = "doc_id long, text string, source string, of string, at string, key string, gone string, left string, site string, `m.x` string"
+
+
+def line_docs(spark, docs):
+    """Documents with extra columns whose names the operator uses inside."""
+    return spark.createDataFrame([(*d, *"abcdefg") for d in docs], LINE_SCHEMA)
+
+
 def test_lines_of_many_sites_go(spark):
     wide, near, narrow = "this line is on every site", "this line is on ten sites.", "this line is on nine sites"
     docs = []
     for i in range(40):
         own = f"text of document {i} which is long enough to stay " * 3
-        docs.append((i, "\n".join([own, f"  {wide}\r", *([near] if i < 10 else []), *([narrow] if i < 9 else []), "short"]), f"s{i}"))
+        docs.append((i, "\n".join([own, f"  {wide}\r", *([near] if i < 10 else []), *([narrow] if i < 9 else []), "ok", ""]), f"s{i}"))
+    copied = "a copied document\nwith two lines"
     docs += [(50, wide, "s1"), (51, None, "s2"), (52, "", None), (None, f"{wide}\nand more of the text that stays here", "s3"), (1, f"x\n{wide}\nrepeated id with its own text to keep", "s4")]
-    out = rows(line_dedup.remove_spread_lines(spark.createDataFrame(docs, "doc_id long, text string, source string")))
-    assert len(out) == len(docs)
+    docs += [(60 + i, copied, f"s{i}") for i in range(12)] + [(80, "\n".join(["own", *[wide] * 5_000]), "s5")]
+    out = rows(line_dedup.remove_spread_lines(line_docs(spark, docs)))
+    assert len(out) == len(docs) and all((r["of"], r["m.x"]) == ("a", "g") for r in out)
     texts = {(r["doc_id"], r["source"]): r["text"] for r in out}
-    assert all(wide not in texts[i, f"s{i}"] and near not in texts[i, f"s{i}"] and "short" in texts[i, f"s{i}"] for i in range(40))
+    assert all(wide not in texts[i, f"s{i}"] and near not in texts[i, f"s{i}"] and "ok" not in texts[i, f"s{i}"] and texts[i, f"s{i}"].endswith("\n") for i in range(40))
     assert all(narrow in texts[i, f"s{i}"] for i in range(9))
-    assert texts[50, "s1"] == wide and texts[51, "s2"] is None and texts[52, None] == ""
+    assert texts[50, "s1"] == "" and texts[51, "s2"] is None and texts[52, None] == ""
     assert texts[None, "s3"] == "and more of the text that stays here" and texts[1, "s4"] == "x\nrepeated id with its own text to keep"
+    assert all(texts[60 + i, f"s{i}"] == copied for i in range(12)) and texts[80, "s5"] == "own"
+    spared = {(r["doc_id"], r["source"]): r["text"] for r in rows(line_dedup.remove_spread_lines(line_docs(spark, docs), max_share=0.5))}
+    assert spared[50, "s1"] == wide and wide not in spared[3, "s3"]
     assert line_dedup.remove_spread_lines(empty(spark)).count() == 0
 
 
@@ -468,6 +542,12 @@ def english():
         ("stu" + "p" * 60 + "id", "stupid"),
         (".".join("stupidmoron" * 4), "stupidmoron" * 4),
         ("1 2 3 4", "1 2 3 4"),
+        ("iiddiioott mmoorroonn", "idiot moron"),
+        ("m0r0n5 1d10t5", "morons idiots"),
+        ("$ay a l0t", "say a lot"),
+        ("s a y", "say"),
+        (".".join("idiot" * 12), "idiot" * 12),
+        ("m" * 10_000 + "oron", "moron"),
     ],
 )
 def test_disguises_at_ends_in_runs_and_in_long_words(english, text, want):
@@ -501,16 +581,80 @@ def test_toxicity(spark):
     assert toxicity.scored(empty(spark), model).count() == 0
 
 
+# --- registered queries ------------------------------------------------------------------------
+
+CONTRACTS = {
+    "op1_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op2_decontaminate": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op3_token_counts": "doc_id bigint, n_words bigint, n_tokens bigint",
+    "op4_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op5_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, content_share double, kept boolean",
+    "op6_near_duplicates": "doc_id bigint, class_id bigint",
+    "op7_records": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op8_line_dedup": "doc_id bigint, text string",
+    "op9_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op10_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_registered_query_keeps_its_contract(spark, name):
+    found = entry.queries()[name](spark, DATA)
+    assert ", ".join(f"{c} {t}" for c, t in found.dtypes) == CONTRACTS[name]
+    got = rows(found)
+    table, key = ("pages", "page_id") if name == "op4_warc" else ("documents", "doc_id")
+    texts = {r[key]: r for r in rows(spark.read.parquet(f"{DATA}/{table}.parquet"))}
+    assert {r[key] for r in got} == set(texts) and (name == "op9_packing" or len(got) == len(texts))
+    ids = {i: (r["text"] or "") for i, r in texts.items()} if table == "documents" else {}
+    for r in got if "held_out" in CONTRACTS[name] else ():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1
+    if name == "op1_language_id":
+        fair = [r for r in got if r["held_out"] and r["lang_pred"] != "und"]
+        assert sum(r["lang_pred"] == texts[r["doc_id"]]["lang"] for r in fair) >= 0.9 * len(fair)
+    elif name == "op5_quality_rules":
+        for r in got:
+            assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute_measure(ids[r["doc_id"]])
+            assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["base_failed"] and r["kept"])
+    elif name == "op6_near_duplicates":
+        assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(sorted(ids.items()))
+    elif name == "op7_records":
+        tokenizer, at = Tokenizer.from_file(WORD_BPE), 0
+        for r in sorted(got, key=lambda r: r["doc_id"]):
+            own = [*tokenizer.encode(ids[r["doc_id"]], add_special_tokens=False).ids, 1]
+            assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+            at += len(own)
+    elif name == "op9_packing":
+        fill = check_packed(got, ids.items(), 4096, 2)
+        assert sum(fill.values()) >= 0.95 * 4096 * (len(fill) - 1)
+    elif name == "op10_toxicity":
+        labels = {r["doc_id"]: r["toxic"] for r in rows(spark.read.parquet(f"{DATA}/labels.parquet"))}
+        assert all(r["predicted"] == int(r["score"] >= 0.5) for r in got)
+        assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in got if r["doc_id"] in labels]) > 0.9
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 
 
+def brute_lines(docs, min_sites=line_dedup.MIN_SITES, max_share=corpus_pipeline.MAX_SHARE):
+    """Texts without the lines of many sites and texts, unless more than ``max_share`` of a text would go."""
+    sites, texts = {}, {}
+    for text, source in docs.values():
+        for line in (text or "").split("\n"):
+            sites.setdefault(line.strip(" \t\r"), set()).add(source)
+            texts.setdefault(line.strip(" \t\r"), set()).add(text)
+    gone = {x for x in sites if x and len(sites[x] - {None}) >= min_sites and len(texts[x]) >= min_sites}
+    left = {i: None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" \t\r") not in gone) for i, (t, _) in docs.items()}
+    return {i: t if t is not None and len(left[i]) < (1 - max_share) * len(t) else left[i] for i, (t, _) in docs.items()}
+
+
 def test_pipeline_stages_and_result(spark):
     """Each stage against brute force on its own input; the result is the last stage's."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     benchmark = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     columns, result = docs.columns, None
     for name, stage in corpus_pipeline.STAGES:
-        before = {r["doc_id"]: r["text"] for r in rows(docs)}
+        before_rows = rows(docs)
+        before = {r["doc_id"]: r["text"] for r in before_rows}
         path = new_folder(spark, name)
         stage(spark, docs, DATA).write.parquet(path)
         docs = spark.read.parquet(path)
@@ -524,7 +668,7 @@ def test_pipeline_stages_and_result(spark):
             assert set(after) >= {i for i, t in before.items() if len(t) > 100 and any(c.isalpha() for c in t)}
             assert not any(i in after for i, t in before.items() if not any(c.isalpha() for c in t))
         elif name == "line_dedup":
-            assert set(after) == set(before)
+            assert after == brute_lines({r["doc_id"]: (r["text"], r["source"]) for r in before_rows})
         elif name == "near_dedup":
             assert set(after) == set(brute_classes(sorted(before.items())).values())
         elif name == "decontamination":
