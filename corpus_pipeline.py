@@ -18,6 +18,9 @@ from furlong.llm.shared import held_out, written
 
 #: A document whose likeliest language is less likely than this among the learned ones is rejected.
 MIN_SCORE = 0.5
+#: Copies of a document on many sites consist of lines that are on many sites; the near-duplicate
+#: stage tells them by whole texts, so the line stage does not cut them to pieces first.
+MAX_SHARE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +31,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take the lines that many sites share out of the texts; all documents stay."""
-    cleaned = line_dedup.remove_spread_lines(docs)
+    """Take the lines that many sites share out of the texts; all documents stay.
+
+    A document of which more than ``MAX_SHARE`` would go is a copy of others, and left whole for the next stage.
+    """
+    cleaned = line_dedup.remove_spread_lines(docs, max_share=MAX_SHARE)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
