@@ -5,10 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Short venue names of one exchange, and other spellings of courses.
-VENUE_TOKENS = {"newm": "newmarket", "kemp": "kempton", "ling": "lingfield", "wolv": "wolverhampton", "sthl": "southwell", "chelt": "cheltenham", "donc": "doncaster", "hayd": "haydock", "ascot": "ascot", "york": "york"}
-COURSE_ALIASES = {"epsom downs": "epsom", "kempton park": "kempton", "lingfield park": "lingfield", "haydock park": "haydock", "sandown park": "sandown"}
-COUNTRIES = ["gb", "ire", "ie", "fr"]
+# Venue tokens of exchange events, courses with their other spellings, words in course
+# names that are no part of the name, countries after a horse's name.
+VENUE_TOKENS = {
+    "leop": "Leopardstown", "curr": "Curragh", "gowr": "Gowran Park", "gowp": "Gowran Park", "navan": "Navan", "punc": "Punchestown", "punch": "Punchestown",
+    "fair": "Fairyhouse", "tipp": "Tipperary", "cork": "Cork", "kill": "Killarney", "down": "Down Royal", "naas": "Naas", "limk": "Limerick", "galw": "Galway",
+    "sligo": "Sligo", "tramore": "Tramore", "chelt": "Cheltenham", "ascot": "Ascot", "good": "Goodwood", "newm": "Newmarket", "donc": "Doncaster",
+    "hayd": "Haydock", "newb": "Newbury", "sand": "Sandown", "wind": "Windsor", "leic": "Leicester", "nott": "Nottingham", "wolv": "Wolverhampton",
+    "kemp": "Kempton", "chms": "Chelmsford", "ling": "Lingfield", "redc": "Redcar", "ayr": "Ayr", "carl": "Carlisle", "muss": "Musselburgh", "ches": "Chester",
+    "bev": "Beverley", "ripo": "Ripon", "thir": "Thirsk", "pont": "Pontefract", "catt": "Catterick", "brig": "Brighton", "epso": "Epsom", "bath": "Bath",
+    "sali": "Salisbury", "yarm": "Yarmouth", "nwcs": "Newcastle", "newc": "Newcastle", "sthl": "Southwell", "chep": "Chepstow", "wrcr": "Worcester",
+    "worc": "Worcester", "ludl": "Ludlow", "uttx": "Uttoxeter", "warw": "Warwick", "stfd": "Stratford", "plum": "Plumpton", "font": "Fontwell",
+    "wins": "Wincanton", "towc": "Towcester", "hexm": "Hexham", "kelso": "Kelso", "perth": "Perth", "bang": "Bangor", "cart": "Cartmel", "here": "Hereford",
+    "mark": "Market Rasen", "mket": "Market Rasen", "hunt": "Huntingdon", "exet": "Exeter", "taun": "Taunton", "nwtn": "Newton Abbot", "nton": "Newton Abbot",
+}
+COURSES = [
+    "Aintree", "Ascot", "Ayr", "Ballinrobe", "Bangor-on-Dee", "Bath", "Bellewstown", "Beverley", "Brighton", "Carlisle", "Cartmel", "Catterick", "Chelmsford",
+    "Cheltenham", "Chepstow", "Chester", "Clonmel", "Cork", "Curragh", "Doncaster", "Down Royal", "Downpatrick", "Dundalk", "Epsom", "Exeter", "Fairyhouse",
+    "Fakenham", "Ffos Las", "Fontwell", "Galway", "Goodwood", "Gowran Park", "Hamilton", "Haydock", "Hexham", "Huntingdon", "Kelso", "Kempton", "Kilbeggan",
+    "Killarney", "Laytown", "Leicester", "Leopardstown", "Limerick", "Lingfield", "Listowel", "Ludlow", "Market Rasen", "Musselburgh", "Naas", "Navan",
+    "Newbury", "Newcastle", "Newmarket", "Newton Abbot", "Nottingham", "Perth", "Plumpton", "Pontefract", "Punchestown", "Redcar", "Ripon", "Roscommon",
+    "Salisbury", "Sandown", "Sedgefield", "Sligo", "Southwell", "Stratford", "Taunton", "Thirsk", "Thurles", "Tipperary", "Towcester", "Tramore", "Uttoxeter",
+    "Warwick", "Wetherby", "Wexford", "Wincanton", "Windsor", "Wolverhampton", "Worcester", "Yarmouth", "York",
+]
+SPELLINGS = {
+    "aint": "Aintree", "ballin": "Ballinrobe", "bang": "Bangor", "belle": "Bellewstown", "bev": "Beverley", "brig": "Brighton", "carl": "Carlisle",
+    "cart": "Cartmel", "catt": "Catterick", "chelmc": "Chelmsford", "chelt": "Cheltenham", "chep": "Chepstow", "ches": "Chester", "chest": "Chester",
+    "chms": "Chelmsford", "clon": "Clonmel", "curr": "Curragh", "donc": "Doncaster", "downp": "Downpatrick", "downr": "Down Royal", "dund": "Dundalk",
+    "epso": "Epsom", "epsm": "Epsom", "extr": "Exeter", "fairy": "Fairyhouse", "fake": "Fakenham", "ffos": "Ffos Las", "ffosl": "Ffos Las",
+    "folk": "Folkestone", "font": "Fontwell", "gal": "Galway", "good": "Goodwood", "gowp": "Gowran Park", "ham": "Hamilton", "hayd": "Haydock",
+    "here": "Hereford", "hex": "Hexham", "hexm": "Hexham", "hunt": "Huntingdon", "kemp": "Kempton", "kilb": "Kilbeggan", "killar": "Killarney",
+    "layt": "Laytown", "leic": "Leicester", "leop": "Leopardstown", "lim": "Limerick", "ling": "Lingfield", "lngf": "Lingfield", "list": "Listowel",
+    "ludl": "Ludlow", "mrktr": "Market Rasen", "muss": "Musselburgh", "newb": "Newbury", "newc": "Newcastle", "newm": "Newmarket", "newt": "Newton Abbot",
+    "nmkt": "Newmarket", "nott": "Nottingham", "plum": "Plumpton", "plump": "Plumpton", "pont": "Pontefract", "ponte": "Pontefract", "punch": "Punchestown",
+    "redc": "Redcar", "ripo": "Ripon", "rosc": "Roscommon", "sali": "Salisbury", "salis": "Salisbury", "sand": "Sandown", "sedge": "Sedgefield",
+    "sthl": "Southwell", "strat": "Stratford", "taun": "Taunton", "thir": "Thirsk", "thurl": "Thurles", "tipp": "Tipperary", "towe": "Towcester",
+    "towc": "Towcester", "tram": "Tramore", "uttx": "Uttoxeter", "uttox": "Uttoxeter", "warw": "Warwick", "weth": "Wetherby", "wex": "Wexford",
+    "winc": "Wincanton", "wins": "Wincanton", "wind": "Windsor", "wolv": "Wolverhampton", "worc": "Worcester", "yarm": "Yarmouth",
+}
+SURFACE_WORDS = ["tapeta", "polytrack"]
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+HORSE_COUNTRIES = ["IRE", "GB", "FR", "USA", "AUS", "GER", "ITY"]
+EVENT = r"^(?:gb|ire|ie|fr)\s*/\s*([a-z]+)"
+
+#: Every spelling of a course, in lower case, and its name.
+COURSE_ALIASES = {c.lower(): c for c in COURSES} | SPELLINGS
+#: Patterns that are taken out of a lower-case course name, in this order.
+NOT_OF_A_COURSE = [
+    "|".join(SURFACE_WORDS),
+    r"\([^)]*\)",
+    r"^(gb|ire|ie)\s*/\s*",
+    r"\b\d{1,2}(st|nd|rd|th)?\b",
+    rf"\b({'|'.join(MONTHS)})\b",
+]
+#: And out of a horse's: a lone or trailing I before a bracket, brackets, a country at the end.
+NOT_OF_A_HORSE = [r"(?<=[A-Za-z])I(?=\s*\()", r"\bI\b(?=\s*\()", r"\([^)]*\)", rf"(?i)\b(?:{'|'.join(HORSE_COUNTRIES)})\b$"]
 
 
 def _col(x: str | Column) -> Column:
@@ -27,22 +78,33 @@ def compact(x: str | Column) -> Column:
     return F.regexp_replace(F.lower(_col(x)), r"[^a-z0-9]", "")
 
 
+def without(x: Column, patterns: list[str]) -> Column:
+    """A text without the patterns, one after the other."""
+    for p in patterns:
+        x = F.regexp_replace(x, p, "")
+    return x
+
+
+def lookup(values: dict[str, str], key: Column) -> Column:
+    return F.create_map(*[F.lit(v) for kv in values.items() for v in kv])[key]
+
+
 def normalise_horse(x: str | Column) -> Column:
-    """A horse's name as a slug: without bracketed parts, a country after the name, or a lone I before it."""
-    name = F.regexp_replace(F.trim(_col(x)), r"(?<=[a-z\s])I(?=\s*\()", "")
-    name = F.regexp_replace(name, r"\([^)]*\)", " ")
-    name = F.regexp_replace(F.trim(name), r"(?i)\s+(gb|ire|fr|usa|ger)$", "")
-    return slugify(F.regexp_replace(name, r"\s+", " "))
+    """A horse's name as a slug: without bracketed parts, a country at its end, or an I before a bracket; empty if nothing is left."""
+    return F.when(_col(x).isNotNull(), F.coalesce(slugify(without(F.trim(_col(x)), NOT_OF_A_HORSE)), F.lit("")))
 
 
 def normalise_course(x: str | Column) -> Column:
-    """A course's name: exchange events (``GB / Newm 3rd Apr``) by venue token, the rest by alias, without brackets."""
-    text = F.lower(F.trim(_col(x)))
-    token = F.nullif(F.regexp_extract(text, rf"^(?:{'|'.join(COUNTRIES)})\s*/\s*([a-z]+)", 1), F.lit(""))
-    tokens = F.create_map(*[F.lit(v) for kv in VENUE_TOKENS.items() for v in kv])
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"\([^)]*\)", " "), r"\s+", " "))
-    aliases = F.create_map(*[F.lit(v) for kv in COURSE_ALIASES.items() for v in kv])
-    return F.coalesce(tokens[token], token, aliases[plain], plain)
+    """A course's name: of an exchange event (``GB / Newm 3rd Apr``) by its venue token, of others by spelling.
+
+    Surfaces, brackets, days and months don't count. A name that has no known spelling is told by its
+    first word, or else is its own lower-case text.
+    """
+    raw = F.trim(_col(x))
+    token = F.nullif(F.regexp_extract(F.lower(raw), EVENT, 1), F.lit(""))
+    plain = F.trim(F.regexp_replace(without(F.lower(raw), NOT_OF_A_COURSE), r"\s+", " "))
+    event = F.coalesce(lookup(VENUE_TOKENS, token), lookup(COURSE_ALIASES, token), token)
+    return F.coalesce(event, lookup(COURSE_ALIASES, plain), lookup(COURSE_ALIASES, F.split_part(plain, F.lit(" "), F.lit(1))), plain)
 
 
 def to_int(x: str | Column) -> Column:
@@ -122,16 +184,45 @@ def verdict(x: str | Column, allowed: list[str]) -> Column:
     return F.when(value.isin(allowed), value)
 
 
+def _sql_without(x: str, patterns: list[str]) -> str:
+    for p in patterns:
+        x = f"regexp_replace({x}, r'{p}', '')"
+    return x
+
+
+def _sql_map(values: dict[str, str]) -> str:
+    return f"map({', '.join(repr(v) for kv in values.items() for v in kv)})"
+
+
+def sql_bodies() -> dict[str, str]:
+    """The normalisers as SQL over x, from the same patterns and values."""
+    token = f"nullif(regexp_extract(lower(trim(x)), r'{EVENT}', 1), '')"
+    plain = rf"trim(regexp_replace({_sql_without('lower(trim(x))', NOT_OF_A_COURSE)}, r'\s+', ' '))"
+    tokens, aliases = _sql_map(VENUE_TOKENS), _sql_map(COURSE_ALIASES)
+    kept = rf"regexp_replace(lower(trim({_sql_without('trim(x)', NOT_OF_A_HORSE)})), r'[^a-z0-9\s_-]', '')"
+    slug = rf"regexp_replace(regexp_replace({kept}, r'[\s-]+', '_'), '^_+|_+$', '')"
+    return {
+        "normalise_course": f"coalesce({tokens}[{token}], {aliases}[{token}], {token}, {aliases}[{plain}], {aliases}[split_part({plain}, ' ', 1)], {plain})",
+        "normalise_horse": slug,
+    }
+
+
 def register(spark: SparkSession) -> None:
     """Make the normalisers callable from SQL; registering again replaces them."""
-    for name in ("normalise_course", "normalise_horse"):
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS STRING RETURN {SQL_BODIES[name]}")
+    for name, body in sql_bodies().items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS STRING RETURN {body}")
+
+
+def venue_shown(x: str | Column) -> Column:
+    """A course's name for display: without a day and month at its end."""
+    return F.regexp_replace(_col(x), r"\s+\d+\w*\s+\w+$", "")
+
+
+def first_word(x: str | Column) -> Column:
+    return F.split_part(_col(x), F.lit(" "), F.lit(1))
 
 
-#: The same expressions as SQL, for functions that SQL text can call.
-SQL_BODIES = {
-    "normalise_course": "coalesce(element_at(map({t}), nullif(regexp_extract(lower(trim(x)), '^(?:{c})\\\\s*/\\\\s*([a-z]+)', 1), '')), nullif(regexp_extract(lower(trim(x)), '^(?:{c})\\\\s*/\\\\s*([a-z]+)', 1), ''), element_at(map({a}), trim(regexp_replace(regexp_replace(lower(trim(x)), '\\\\([^)]*\\\\)', ' '), '\\\\s+', ' '))), trim(regexp_replace(regexp_replace(lower(trim(x)), '\\\\([^)]*\\\\)', ' '), '\\\\s+', ' ')))".format(
-        t=", ".join(f"'{v}'" for kv in VENUE_TOKENS.items() for v in kv), a=", ".join(f"'{v}'" for kv in COURSE_ALIASES.items() for v in kv), c="|".join(COUNTRIES)
-    ),
-    "normalise_horse": "nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(trim(x), '(?<=[a-z\\\\s])I(?=\\\\s*\\\\()', ''), '\\\\([^)]*\\\\)', ' ')), '(?i)\\\\s+(gb|ire|fr|usa|ger)$', ''), '\\\\s+', ' '))), '[^a-z0-9\\\\s_-]', ''), '[\\\\s-]+', '_'), '^_+|_+$', ''), '')",
-}
+def relative_day(word: str | Column) -> Column:
+    """today, tomorrow or yesterday as a date; another text as the date it is, else null."""
+    text, now = F.lower(F.trim(_col(word))), F.current_date()
+    return F.when(text == "today", now).when(text == "tomorrow", F.date_add(now, 1)).when(text == "yesterday", F.date_add(now, -1)).otherwise(text.try_cast("date"))

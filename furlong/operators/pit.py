@@ -32,7 +32,8 @@ def prior_runs(runners: DataFrame, history: DataFrame, finished: bool = False, h
         history = history.where(F.col("finishing_position").isNotNull())
     past = history.select(*[F.col(c).alias(f"h_{c}") for c in history.columns])
     joined = runners.join(past, (F.col("horse_id") == F.col("h_horse_id")) & (F.col("h_scheduled_off_utc") < F.col("decision_cutoff_utc")), how)
-    recency = Window.partitionBy("runner_id").orderBy(F.col("h_scheduled_off_utc").desc_nulls_last(), *[F.col(f"h_{c}").asc_nulls_last() for c in ties])
+    # By horse first: the join has dealt rows by horse, so that neither this nor a group by both is a shuffle.
+    recency = Window.partitionBy("horse_id", "runner_id").orderBy(F.col("h_scheduled_off_utc").desc_nulls_last(), *[F.col(f"h_{c}").asc_nulls_last() for c in ties])
     return joined.withColumn("rn", F.row_number().over(recency))
 
 
@@ -43,9 +44,11 @@ def before_cutoff(runners: DataFrame, events: DataFrame, keys: list[str], spans:
     are keys, ``_day`` and for each name ``{name}_rate``, ``{name}_runs``; and ``latest`` over all time.
     Null keys match nothing.
     """
-    days = events.groupBy(*keys, cutoff_day("t").alias("_day")).agg(F.sum(F.col("won").cast("long")).alias("_w"), F.count("*").alias("_n"), F.max("t").alias("_t"))
-    asked = runners.groupBy(*keys, cutoff_day("decision_cutoff_utc").alias("_day")).agg(F.lit(1).alias("_q"))
-    both = days.unionByName(asked, allowMissingColumns=True).groupBy(*keys, "_day").agg(*[F.max(c).alias(c) for c in ("_w", "_n", "_t", "_q")])
+    sums = {"_w": "long", "_n": "long", "_t": "timestamp", "_q": "int"}
+    ran = events.select(*keys, cutoff_day("t").alias("_day"), F.col("won").cast("long").alias("_w"), F.lit(1).cast("long").alias("_n"), F.col("t").alias("_t"))
+    asked = runners.select(*keys, cutoff_day("decision_cutoff_utc").alias("_day"), F.lit(1).alias("_q"))
+    typed = [df.select(*keys, "_day", *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in sums.items()]) for df in (ran, asked)]
+    both = typed[0].unionByName(typed[1]).groupBy(*keys, "_day").agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"), F.max("_t").alias("_t"), F.max("_q").alias("_q"))
     by_day = Window.partitionBy(*keys).orderBy("_day")
     columns = [F.max("_t").over(by_day.rangeBetween(Window.unboundedPreceding, -1)).alias("latest")]
     for name, span in spans.items():

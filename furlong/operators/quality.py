@@ -8,6 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Limits by era of the share of runners without a trainer or jockey (in percent), and of
+# races where nobody has either; what names a market that is no race; ids of races left out by hand.
+ERAS = {
+    "pre_2017": {"trainer": 16.0, "jockey": 16.0, "zero_coverage": 2000},
+    "from_2017": {"trainer": 5.0, "jockey": 5.0, "zero_coverage": 100},
+    "from_2019": {"trainer": 3.0, "jockey": 3.0, "zero_coverage": 0},
+}
+SETTINGS = {"max_missing_trainer_pct": "trainer", "max_missing_jockey_pct": "jockey", "max_zero_coverage_standard_races": "zero_coverage"}
+NO_RACE_TYPES = [
+    "%forecast%", "%reverse%", "%arab%", "%how far%", "% v %", "%charity%", "pa%", "% pa %", "% pa", "%each way%", "%each-way%", "%win dist%", "%daily odds%", "%specials%",
+]
+NO_RACE_TYPE = r"^(?:\d+[mf]\d*[f]?\s+pa)$"
+NO_COURSES = ["%win dist%", "%daily odds%", "%specials%"]
+NO_RACES = ["bfsp_162366764_win", "bfsp_201092786_win", "bfsp_218291493_win", "bfsp_218647872_win", "bfsp_230193686_win", "bfsp_245106872_win", "bfsp_246247068_win"]
+FIELD_SIZES = (2, 40)
+
+
 class CheckFailed(Exception):
     """A check that must pass did not."""
 
@@ -17,31 +34,90 @@ def failures(df: DataFrame, name: str, limit: int = 0) -> DataFrame:
     return df.agg(F.lit(name).alias("check"), F.count("*").alias("failures"), F.lit(limit).cast("long").alias("max_failures")).withColumn("passed", F.col("failures") <= F.col("max_failures"))
 
 
-def all_checks(r, odds: DataFrame, zero_coverage_limit: int = 2000) -> DataFrame:
-    """The twelve checks over the racing tables."""
+def is_no_race() -> Column:
+    """Whether race_type, course_name, race_id or field_size tell of a special market; null where nothing does and one is null."""
+    kind, course, size = F.col("race_type"), F.col("course_name"), F.col("field_size")
+    tests = [*map(kind.ilike, NO_RACE_TYPES), kind.rlike(NO_RACE_TYPE), *map(course.ilike, NO_COURSES), F.col("race_id").cast("string").isin(NO_RACES), size < FIELD_SIZES[0], size > FIELD_SIZES[1]]
+    return reduce(Column.__or__, tests)
+
+
+def with_standard_flag(races: DataFrame) -> DataFrame:
+    """``races`` with ``is_standard_race``: false for special markets; an old false stays, an old null becomes true."""
+    old = F.coalesce("is_standard_race", F.lit(True)) if "is_standard_race" in races.columns else F.lit(True)
+    return races.withColumn("is_standard_race", old & ~F.coalesce(is_no_race(), F.lit(False)))
+
+
+def limits_from(path: str | None = None) -> dict[str, dict[str, float]]:
+    """The limits by era, with those of a settings file (YAML, ``dq_thresholds``) instead where it has them."""
+    found = {}
+    if path:
+        import yaml
+
+        with open(path, encoding="utf-8") as f:
+            found = (yaml.safe_load(f) or {}).get("dq_thresholds") or {}
+    return {era: values | {SETTINGS[k]: float(v) for k, v in (found.get(era) or {}).items() if k in SETTINGS} for era, values in ERAS.items()}
+
+
+def era_of(since: str | None = None, until: str | None = None) -> str:
+    """The era of a range of days (ISO texts): by its end, else its start, else from 2017."""
+    year = int((until or since or "2017")[:4])
+    return "from_2019" if year >= 2019 else "from_2017" if year >= 2017 else "pre_2017"
+
+
+def between_days(df: DataFrame, day: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """The rows of a range of days; a bound that is None is none."""
+    df = df if since is None else df.where(F.col(day) >= F.lit(since).cast("date"))
+    return df if until is None else df.where(F.col(day) <= F.lit(until).cast("date"))
+
+
+def all_checks(r, odds: DataFrame, since: str | None = None, until: str | None = None, limits: dict | None = None) -> DataFrame:
+    """The twelve checks over the racing tables; the rates and coverage are those of the standard races of a range of days."""
     races, runners, results = r.races, r.runners, r.results
+    limit = (limits or ERAS)[era_of(since, until)]
     keys = races.select(F.col("race_id").cast("string").alias("k")).unionByName(runners.select(F.col("runner_id").alias("k"))).unionByName(results.select(F.col("runner_id").alias("k")))
     times = races.select(F.col("scheduled_off_utc").alias("t")).unionByName(races.select(F.col("decision_cutoff_utc").alias("t")))
-    year = F.year("t")
     sizes = runners.groupBy("race_id").agg(F.count("*").alias("n"))
-    rated = runners.groupBy("race_id").agg(F.count("official_rating").alias("rated"))
+    standard = between_days(with_standard_flag(races).where("is_standard_race"), "race_date", since, until)
+    fields = runners.join(standard.select("race_id"), "race_id").select("race_id", blank("trainer_name").alias("no_trainer"), blank("jockey_name").alias("no_jockey"))
     checks = [
         failures(keys.where("k is null or k = ''"), "no_missing_keys"),
-        failures(times.where(F.coalesce(~year.between(2010, 2030), F.lit(True))), "timestamp_range"),
+        failures(times.where(F.coalesce(~F.year("t").between(2010, 2030), F.lit(True))), "timestamp_range"),
         failures(results.join(races, "race_id", "left_anti"), "referential_integrity"),
         failures(results.join(runners, "runner_id", "left_anti"), "runner_integrity"),
         failures(results.where("won").groupBy("race_id").count().where("count > 2"), "single_winner"),
         failures(races.join(runners, "race_id", "left_anti"), "races_have_runners"),
         failures(odds.where("decimal_odds <= 1.01 or decimal_odds > 1000 or decimal_odds is null"), "odds_range"),
         failures(races.join(sizes, "race_id").where("field_size <> n"), "field_size_consistency"),
-        failures(races.groupBy("course_name", "scheduled_off_utc", "race_id").count().where("count > 1"), "no_duplicate_races"),
+        failures(races.groupBy("race_id").count().where("count > 1"), "no_duplicate_races"),
         failures(r.horse_history.select("race_id", F.col("scheduled_off_utc").alias("t")).join(races, "race_id").where("t <> scheduled_off_utc"), "history_timestamps"),
-        failures(runners.where("trim(trainer_name) = '' or trainer_name is null"), "trainer_missing", limit=0),
-        failures(rated.where("rated = 0"), "zero_coverage_races", limit=zero_coverage_limit),
+        missing_names(fields, limit),
+        failures(fields.groupBy("race_id").agg(F.count_if(~(F.col("no_trainer") & F.col("no_jockey"))).alias("named")).where("named = 0"), "zero_coverage_races", limit=int(limit["zero_coverage"])),
     ]
     return reduce(DataFrame.unionByName, checks)
 
 
+def missing_names(fields: DataFrame, limit: dict[str, float]) -> DataFrame:
+    """The check of runners without a trainer or jockey: fails with the number of both if either share is over its limit."""
+    counted = fields.agg(F.count("*").alias("n"), F.count_if("no_trainer").alias("t"), F.count_if("no_jockey").alias("j"))
+    passed = (F.coalesce(F.try_divide(F.col("t") * 100.0, "n"), F.lit(0.0)) <= limit["trainer"]) & (F.coalesce(F.try_divide(F.col("j") * 100.0, "n"), F.lit(0.0)) <= limit["jockey"])
+    return counted.select(F.lit("trainer_jockey_missing_rate").alias("check"), F.when(passed, 0).otherwise(F.col("t") + F.col("j")).alias("failures"), F.lit(0).cast("long").alias("max_failures"), passed.alias("passed"))
+
+
+def coverage(r, countries: list[str] | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """One row: races, runners and results of a range of days, and the shares of runners with a trainer, jockey and draw.
+
+    ``countries`` compares ``country``, null as empty and upper-cased, where the races have it.
+    """
+    races = between_days(r.races, "race_date", since, until)
+    if countries and "country" in races.columns:
+        races = races.where(F.upper(F.coalesce("country", F.lit(""))).isin([c.upper() for c in countries]))
+    ids = races.select("race_id")
+    shares = [F.round(F.coalesce(F.try_divide(F.count(c), F.count("*")), F.lit(0.0)), 4).alias(f"{c.split('_')[0]}_coverage") for c in ("trainer_id", "jockey_id", "draw")]
+    runners = r.runners.join(ids, "race_id").agg(F.count("*").alias("runners"), *shares)
+    results = r.results.join(ids, "race_id").agg(F.count("*").alias("results"))
+    return ids.agg(F.count("*").alias("races")).crossJoin(runners).crossJoin(results)  # one row each
+
+
 def assert_all(checks: DataFrame) -> None:
     """Raise with the names of the checks that failed; a check is one row."""
     failed = [f"{c['check']} ({c['failures']} > {c['max_failures']})" for c in checks.where("not passed").collect()]
@@ -67,16 +143,6 @@ def null_profile(df: DataFrame) -> DataFrame:
     return counts.select(pairs.alias("p"), "_n").select("p.column", "p.nulls", F.col("_n").alias("rows"), (F.col("p.nulls") / F.col("_n")).alias("null_rate"))
 
 
-def missing_rates(df: DataFrame, columns: list[str], day: str, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Share of blank names in a range of days, and the limit of its era: strict once the range's end is in 2017 or later."""
-    scope = df if since is None else df.where(F.col(day) >= since)
-    scope = scope if until is None else scope.where(F.col(day) <= until)
-    strict = (until or since or "0000") >= "2017"
-    limit = 0.02 if strict else 0.2
-    parts = [scope.agg(F.lit(c).alias("column"), F.avg(blank(c).cast("double")).alias("rate")).withColumn("max_rate", F.lit(limit)) for c in columns]
-    return reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("rate") <= F.col("max_rate"))
-
-
 def blank(c: str) -> Column:
     return F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
 

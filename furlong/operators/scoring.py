@@ -102,3 +102,10 @@ def category_code(df: DataFrame, column: str, out: str) -> DataFrame:
     names = df.select(F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("_name")).distinct()
     coded = names.withColumn(out, F.row_number().over(Window.orderBy("_name")) - 1)
     return df.withColumn("_name", F.coalesce(F.col(column).cast("string"), F.lit("None"))).join(coded, "_name").drop("_name")
+
+
+def top_signals(parts: list[tuple[str, Column]], most: int = 3) -> Column:
+    """The labels of the largest positive contributions, comma-joined; a label counts once, equal ones go by label."""
+    pairs = F.array(*[F.struct(F.coalesce(v.cast("double"), F.lit(0.0)).alias("v"), F.lit(label).alias("label")) for label, v in parts])
+    ordered = F.sort_array(F.filter(pairs, lambda p: p["v"] > 0), asc=False)
+    return F.array_join(F.slice(F.array_distinct(F.transform(ordered, lambda p: p["label"])), 1, most), ", ")

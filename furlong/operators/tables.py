@@ -5,19 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below spark.checkpoint.dir and read it: later plans start from the file.
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that no other table has, below spark.checkpoint.dir.
 
-    Only where the session names no such folder is a temporary one made and set.
+    Only in local mode, and where the session names no such folder, is a temporary one made and set.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='furlong-')}"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below spark.checkpoint.dir and read it: later plans start from the file."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Write ``df`` as CSV in a folder for each value of ``columns`` and read it back.
+
+    Rows are dealt by those columns first, so that a folder gets few files.
+    """
+    path = new_path(df.sparkSession, name)
+    df.repartition(*columns).write.partitionBy(*columns).option("header", True).csv(path)
+    return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furlong.operators.quality import NO_COURSES, NO_RACE_TYPES, NO_RACES
 from furlong.plans import features
 from furlong.sources.analogue import CTES, racing
 
@@ -27,12 +28,27 @@ def comparable(df: DataFrame) -> DataFrame:
 
 def _query(name: str, make):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return comparable(make(racing(spark, sf_dir)))
+        r = racing(spark, sf_dir)
+        if name != "feature_store":  # which stores them itself
+            r.store(STORED[name])
+        return comparable(make(r))
 
     run.__name__ = name
     return run
 
 
+#: Tables that a group reads more than once; each is written once.
+STORED = {
+    "f001_horse_form": ["lines", "races", "horse_history"],
+    "f002_draw_bias": ["lines", "races", "runners", "results"],
+    "f003_trainer_stats": ["lines", "races", "runners", "trainer_history"],
+    "f004_jockey_stats": ["lines", "races", "runners", "trainer_history", "jockey_history"],
+    "f005_class_features": ["lines", "races", "horse_history"],
+    "f006_race_context": ["lines", "races", "horse_history"],
+    "f007_collateral_form": ["lines", "races", "horse_history"],
+    "f008_runner_profile": ["lines", "races", "horse_history"],
+    "f009_speed_and_changes": ["lines", "races", "runners", "results", "horse_history", "trainer_history", "jockey_history"],
+}
 QUERIES = {name: _query(name, make) for name, make in features.GROUPS.items()} | {"feature_store": _query("feature_store", features.feature_store)}
 
 
@@ -233,12 +249,19 @@ LONGS = {
 }
 ORACLES = {name: _oracle(PARTS[name[:4]], f"SELECT * FROM {name[:4]}", DOUBLES[name[:4]], LONGS[name[:4]]) for name in features.GROUPS}
 
+NO_RACE = (
+    " OR ".join(f"race_type ILIKE '{p}'" for p in NO_RACE_TYPES)
+    + rf" OR race_type ~ '\d+[mf]\d*[f]?\s+pa' OR CAST(race_id AS VARCHAR) IN ({', '.join(map(repr, NO_RACES))}) OR "
+    + " OR ".join(f"course_name ILIKE '{p}'" for p in NO_COURSES)
+    + " OR field_size < 2 OR field_size > 40"
+)
 _DROP = {"f001": "horse_going_affinity, horse_going_place_rate, horse_class_delta", "f003": "trainer_is_unknown", "f004": "jockey_is_unknown", "f005": "is_first_time_headgear", "f006": "distance_furlongs"}
 STORE = f"""
 wide AS (
   SELECT u.runner_id, u.race_id, a.race_date, a.decision_cutoff_utc, r.won AS target, u.sex, a.surface, a.race_type, a.distance_furlongs AS parsed,
     {', '.join(f"{f}.* EXCLUDE (runner_id, race_id, event_timestamp_utc, decision_cutoff_utc{', ' + _DROP[f] if f in _DROP else ''})" for f in sorted(PARTS))}
-  FROM {FIELDS} JOIN results r USING (runner_id) {' '.join(f'LEFT JOIN {f} ON {f}.runner_id = u.runner_id' for f in sorted(PARTS))})
+  FROM {FIELDS} JOIN results r USING (runner_id) {' '.join(f'LEFT JOIN {f} ON {f}.runner_id = u.runner_id' for f in sorted(PARTS))}
+  WHERE NOT coalesce({NO_RACE.replace("race_id", "u.race_id").replace("race_type", "a.race_type").replace("field_size", "a.field_size")}, false))
 """
 ORACLES["feature_store"] = _oracle(
     [FORM, F002, F003, F004, F005, F006, F007, F008, F009, STORE],

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from furlong.functions.text import normalise_course
 from furlong.operators import pit
+from furlong.operators.quality import is_no_race
 from furlong.operators.tables import stored
 
 # Going descriptions of one kind, non-completion codes, all-weather surfaces.
@@ -91,7 +92,7 @@ def horse_form(r) -> DataFrame:
     ones = F.struct((-F.unix_micros("h_scheduled_off_utc")).alias("t"), "h_history_id", fp.alias("v"))
     affinity = [c for k, same in alike.items() for c in (avg_if(same & finished, won).alias(f"horse_{k}_affinity"), avg_if(same & finished & sized, placed).alias(f"horse_{k}_place_rate"))]
     weight = F.when((rn <= 5) & finished & sized, (6 - rn).cast("double"))
-    out = p.groupBy("runner_id", "race_id", "decision_cutoff_utc", "headgear", "race_class").agg(
+    out = p.groupBy("horse_id", "runner_id", "race_id", "decision_cutoff_utc", "headgear", "race_class").agg(
         F.transform(F.sort_array(F.collect_list(F.when(rn <= 3, ones))), lambda x: x["v"]).alias("horse_runs_last_3_positions"),
         avg_if((rn <= 5) & finished, pos).alias("horse_runs_last_5_positions"),
         F.sum(F.when(rn <= 5, flag(F.col("h_won"))).otherwise(0)).alias("horse_wins_last_5"),
@@ -120,7 +121,7 @@ def horse_form(r) -> DataFrame:
         .withColumn("horse_class_delta", F.col("race_class") - F.col("horse_avg_class_last_3"))
         .withColumn("horse_first_time_headgear", flag((F.trim(low("headgear")) != "") & (F.trim(low("last_headgear")) == "")))
         .withColumn("event_timestamp_utc", F.coalesce("latest", a_second_before()))
-        .drop("latest", "headgear", "race_class", "last_headgear")
+        .drop("horse_id", "latest", "headgear", "race_class", "last_headgear")
     )
 
 
@@ -247,7 +248,7 @@ def race_context(r) -> DataFrame:
     past = r.horse_history.select("history_id", "horse_id", "scheduled_off_utc", "finishing_position", "field_size")
     fp, size, recent = F.col("h_finishing_position"), F.col("h_field_size"), F.col("rn") <= 3
     late = (F.coalesce(size, F.lit(0)) > 0) & (fp >= F.ceil(size * 0.75))
-    style = pit.prior_runs(base, past).groupBy("runner_id", "race_id").agg(
+    style = pit.prior_runs(base, past).groupBy("horse_id", "runner_id", "race_id").agg(
         flag(avg_if(recent, share(fp <= 2)) >= 0.5).alias("front"), flag(avg_if(recent, share(late)) >= 0.5).alias("held_up"), F.max("h_scheduled_off_utc").alias("latest")
     )
     field = style.groupBy("race_id").agg(F.sum("front").alias("pace_front_runners"), F.sum("held_up").alias("pace_hold_up_horses"), F.max("latest").alias("latest"))
@@ -310,13 +311,13 @@ def runner_profile(r) -> DataFrame:
     past = r.horse_history.select("history_id", "horse_id", "scheduled_off_utc", "finishing_position", "won")
     fp = F.col("h_finishing_position")
     recent = F.when(F.col("rn") <= 10, fp.cast("double"))
-    career = pit.prior_runs(base.select("runner_id", "horse_id", "decision_cutoff_utc"), past, finished=True, how="inner").groupBy("runner_id").agg(
+    career = pit.prior_runs(base.select("runner_id", "horse_id", "decision_cutoff_utc"), past, finished=True, how="inner").groupBy("horse_id", "runner_id").agg(
         F.count("*").alias("career_runs"),
         F.avg(share(F.col("h_won"))).alias("career_win_rate"),
         F.avg(share(fp <= 3)).alias("career_place_rate"),
         F.when(F.count(recent) >= 3, F.stddev_samp(recent)).otherwise(F.stddev_samp(fp.cast("double"))).alias("position_consistency"),
     )
-    return base.join(career, "runner_id", "left").select(
+    return base.join(career.drop("horse_id"), "runner_id", "left").select(
         "runner_id",
         "race_id",
         "weight_lbs",
@@ -352,8 +353,8 @@ def speed_and_changes(r) -> DataFrame:
     own = F.when(F.col("h_distance_furlongs") > 0, F.col("h_official_time_secs") / F.col("h_distance_furlongs"))
     figures = prior.where("rn <= 10").withColumn("whole", F.round("h_distance_furlongs")).join(F.broadcast(usual), ["h_going_code", "whole"])  # goings x whole furlongs
     figure, rn = (F.col("usual") - own) * 100, F.col("rn")
-    speed = figures.groupBy("runner_id").agg(avg_if(rn <= 3, figure).alias("avg_speed_last_3"), F.max(F.when(rn <= 5, figure)).alias("best_speed_last_5"), F.max(F.when(rn == 1, figure)).alias("last_run_speed"))
-    last = prior.where("rn = 1").groupBy("runner_id").agg(
+    speed = figures.groupBy("horse_id", "runner_id").agg(avg_if(rn <= 3, figure).alias("avg_speed_last_3"), F.max(F.when(rn <= 5, figure)).alias("best_speed_last_5"), F.max(F.when(rn == 1, figure)).alias("last_run_speed"))
+    last = prior.where("rn = 1").groupBy("horse_id", "runner_id").agg(
         F.max(F.col("distance_furlongs") - F.col("h_distance_furlongs")).alias("trip_change_furlongs"),
         F.max(F.col("weight_lbs") - F.col("h_weight_lbs")).alias("weight_change_lbs"),
         F.max(F.coalesce("h_btn_lengths", F.lit(0.0))).alias("last_run_btn_lengths"),
@@ -365,7 +366,7 @@ def speed_and_changes(r) -> DataFrame:
     runs = r.trainer_history.select(name_or_unknown("trainer_name").alias("trainer"), F.col("scheduled_off_utc").alias("t"), "won")
     lately = pit.with_rates(base.withColumn("trainer", name_or_unknown("trainer_name")), runs, ["trainer"], {"d14": 14}).select("runner_id", "d14_rate", "d14_runs")
     out = base
-    for part in (last, speed, now, then, lately):
+    for part in (last.drop("horse_id"), speed.drop("horse_id"), now, then, lately):
         out = out.join(part, "runner_id", "left")
     return out.select(
         "runner_id",
@@ -431,7 +432,7 @@ def feature_store(r) -> DataFrame:
     form = stored(horse_form(r), "f001_horse_form")
     groups = {name: stored(make(r), name) for name, make in GROUPS.items() if name not in ("f001_horse_form", "f005_class_features")}
     groups |= {"f001_horse_form": form.drop("horse_class_delta"), "f005_class_features": class_features(r, form)}
-    wide = runners_with_races(r).where(F.col("course_name").isNotNull()).join(r.results.select("runner_id", F.col("won").alias("target")), "runner_id")
+    wide = runners_with_races(r).where(~F.coalesce(is_no_race(), F.lit(False))).join(r.results.select("runner_id", F.col("won").alias("target")), "runner_id")
     wide = wide.select("runner_id", "race_id", "race_date", "decision_cutoff_utc", "target", "sex", "surface", "race_type", parsed_distance().alias("parsed"))
     for name in sorted(groups):
         wide = wide.join(groups[name].drop(*NOT_STORED, "distance_furlongs"), "runner_id", "left")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from furlong.functions import text
-from furlong.operators import dml, lookup, match, pit, quality, scoring, settle
+from furlong.operators import dml, lookup, match, pit, quality, scoring, settle, tables
 from furlong.plans import features
-from furlong.plans.feature_queries import comparable
+from furlong.plans.feature_queries import NO_RACE, comparable
 from furlong.sources import readers
 from furlong.sources.analogue import CTES, racing
 from furlong.streaming import snapshots
@@ -102,27 +102,27 @@ def d12_placeholders(r):
 
 
 @register("""SELECT runner_id, snapshot_label, snapshot_id, decimal_odds FROM (SELECT *, row_number() OVER (PARTITION BY runner_id, snapshot_label ORDER BY batch DESC, snapshot_id DESC) AS k FROM (
-    SELECT *, 0 AS batch FROM odds WHERE snapshot_id % 2 = 0 UNION ALL SELECT * REPLACE (decimal_odds + 1 AS decimal_odds), 1 FROM odds WHERE snapshot_id % 5 = 0)) WHERE k = 1""")
+    SELECT *, 0 AS batch FROM odds UNION ALL SELECT * REPLACE (decimal_odds + 1 AS decimal_odds), 1 FROM odds WHERE snapshot_id % 5 = 0)) WHERE k = 1""")
 def d14_keep_last_snapshot(r):
-    old, new = r.odds.where("snapshot_id % 2 = 0"), r.odds.where("snapshot_id % 5 = 0").withColumn("decimal_odds", F.col("decimal_odds") + 1)
+    old, new = r.odds, r.odds.where("snapshot_id % 5 = 0").withColumn("decimal_odds", F.col("decimal_odds") + 1)
     return dml.keep_last(old, new, ["runner_id", "snapshot_label"], F.col("snapshot_id")).select("runner_id", "snapshot_label", "snapshot_id", "decimal_odds")
 
 
-@register("""SELECT race_date AS date, count(*) AS n, 'old' AS source, NULL AS note FROM races WHERE race_id % 2 = 0 AND year(race_date) = 1998 GROUP BY 1
-  UNION ALL SELECT race_date, count(*), 'new', 'x' FROM races WHERE year(race_date) = 1998 AND race_date NOT IN (SELECT race_date FROM races WHERE race_id % 2 = 0) GROUP BY 1""")
+@register("""SELECT race_date AS date, count(*) AS n, 'old' AS source, NULL AS note FROM races WHERE race_id % 2 = 0 GROUP BY 1
+  UNION ALL SELECT race_date, count(*), 'new', 'x' FROM races WHERE race_date NOT IN (SELECT race_date FROM races WHERE race_id % 2 = 0) GROUP BY 1""")
 def d15_append_new_dates(r):
     log, new = _day_logs(r)
     return dml.append_dates(log, new)
 
 
-@register("""SELECT race_date AS date, count(*) AS n, 'new' AS source, 'x' AS note FROM races WHERE year(race_date) = 1998 GROUP BY 1""")
+@register("""SELECT race_date AS date, count(*) AS n, 'new' AS source, 'x' AS note FROM races GROUP BY 1""")
 def d15_refresh_dates(r):
     log, new = _day_logs(r)
     return dml.append_dates(log, new, refresh=True)
 
 
 def _day_logs(r) -> tuple[DataFrame, DataFrame]:
-    races = r.races.where("year(race_date) = 1998").withColumnRenamed("race_date", "date")
+    races = r.races.withColumnRenamed("race_date", "date")
     log = races.where("race_id % 2 = 0").groupBy("date").agg(F.count("*").alias("n"), F.lit("old").alias("source"))
     return log, races.groupBy("date").agg(F.count("*").alias("n"), F.lit("new").alias("source"), F.lit("x").alias("note"))
 
@@ -171,9 +171,10 @@ def j15_j16_anti_and_semi(r):
     return without.unionByName(r.races.join(r.results.where("won"), "race_id", "left_semi").agg(F.lit("with_winner").alias("kind"), F.count("*").alias("n")))
 
 
-@register("""SELECT horse_id FROM runners WHERE race_id % 2 = 0 EXCEPT SELECT horse_id FROM runners WHERE race_id % 3 = 0""")
+@register("""SELECT runner_id FROM runners EXCEPT SELECT runner_id FROM results WHERE finishing_position IS NOT NULL""")
 def u04_non_runners(r):
-    return r.runners.where("race_id % 2 = 0").select("horse_id").distinct().join(r.runners.where("race_id % 3 = 0"), "horse_id", "left_anti")
+    """Declared runners without a place in the result."""
+    return r.runners.select("runner_id").join(r.results.where("finishing_position is not null"), "runner_id", "left_anti")
 
 
 @register("""SELECT race_id, count(*) AS rows FROM (SELECT race_id FROM races UNION ALL SELECT race_id FROM runners UNION ALL SELECT race_id FROM results) GROUP BY 1""")
@@ -393,7 +394,8 @@ def m07_stacked_logistic(r):
     return scoring.renormalise(done, "stacked", "race_id", "final").select("runner_id", "final")
 
 
-@register()
+@register(SCORES + """SELECT edge_over, price_under, count(*) AS bets, round(sum(profit) / count(*), 6) AS roi, CASE WHEN count(*) >= 100 THEN round(sum(profit) / count(*), 6) ELSE -1 END AS objective
+  FROM bets, (SELECT CAST(unnest([0.0, 0.05, 0.1, 0.15]) AS DOUBLE) AS edge_over), (SELECT CAST(unnest([5.0, 10.0, 20.0]) AS DOUBLE) AS price_under) WHERE edge > edge_over AND sp_decimal < price_under GROUP BY 1, 2""")
 def m14_parameter_search(r):
     """Return of a small grid of edge thresholds and price limits; a choice with under 100 bets counts as -1."""
     grid = F.explode(F.array(*[F.struct(F.lit(e).alias("edge_over"), F.lit(m).alias("price_under")) for e in (0.0, 0.05, 0.1, 0.15) for m in (5.0, 10.0, 20.0)])).alias("g")
@@ -406,8 +408,8 @@ def m14_parameter_search(r):
 
 
 def bet_log(r) -> DataFrame:
-    """A bet on every seventh runner; some without odds, some on races without a result."""
-    rows = scores(r).where("race_id % 7 = 0")
+    """A bet on every runner; some without odds, some on races without a result."""
+    rows = scores(r)
     odds = F.when(F.col("race_id") % 3 != 0, F.col("sp_decimal") * 1.1)
     return rows.select(F.col("race_date").alias("date"), "runner_id", F.col("race_type").alias("category"), odds.alias("back_odds"))
 
@@ -418,7 +420,7 @@ def bet_results(r) -> DataFrame:
 
 
 BETS = SCORES + """, settled AS (SELECT race_date AS date, runner_id, race_type AS category, race_id % 5 <> 0 AS settled, won, CASE WHEN race_id % 5 = 0 THEN 0 WHEN won THEN sp_decimal * CASE WHEN race_id % 3 <> 0 THEN 1.1 ELSE 1 END - 1 ELSE -1 END AS profit,
-  CASE WHEN race_id % 5 = 0 THEN 0 WHEN won THEN sp_decimal - 1 ELSE -1 END AS profit_sp FROM probs WHERE race_id % 7 = 0)
+  CASE WHEN race_id % 5 = 0 THEN 0 WHEN won THEN sp_decimal - 1 ELSE -1 END AS profit_sp FROM probs)
 """
 
 
@@ -449,12 +451,12 @@ def j19_x05_price_moves(r):
 # --- matching ------------------------------------------------------------------------------------------
 
 
-@register("""SELECT u.runner_id, x.race_id AS form_race, CASE WHEN count(*) OVER (PARTITION BY u.race_id) > 0 THEN 1 END AS found FROM runners u JOIN races a USING (race_id)
-  JOIN (SELECT race_id, race_date, course_name FROM races) x ON x.race_date = a.race_date AND x.course_name = a.course_name WHERE x.race_id = u.race_id""")
+@register("""SELECT a.race_id, count(x.race_id) AS races_that_day, min(x.race_id) AS first_race FROM races a LEFT JOIN races x ON x.race_date = a.race_date AND x.course_name = a.course_name AND x.race_id <> a.race_id GROUP BY 1""")
 def j20_exact_race_index(r):
-    races = r.races.select("race_id", "race_date", "course_name")
-    both = r.runners.select("runner_id", "race_id").join(races, "race_id").join(races.withColumnRenamed("race_id", "form_race"), ["race_date", "course_name"])
-    return both.where("form_race = race_id").select("runner_id", "form_race", F.lit(1).alias("found"))
+    """The other races at a race's course and day: a day's list is one row of an index, looked up by both keys."""
+    index = r.races.groupBy("race_date", "course_name").agg(F.sort_array(F.collect_list("race_id")).alias("ids"))
+    found = r.races.select("race_id", "race_date", "course_name").join(index, ["race_date", "course_name"]).withColumn("others", F.array_remove("ids", F.col("race_id")))
+    return found.select("race_id", F.size("others").alias("races_that_day"), F.try_element_at("others", F.lit(1)).alias("first_race"))
 
 
 @register("""SELECT race_id, near_id, apart, confidence FROM (SELECT a.race_id, b.race_id AS near_id, abs(date_diff('minute', a.t, b.t)) AS apart, count(*) OVER (PARTITION BY a.race_id) AS n,
@@ -516,14 +518,18 @@ def f16_f26_race_texts(r):
     return r.races.select("race_id", text.is_handicap("race_type").alias("handicap"), text.normalise_course("course_name").alias("course"), text.london_time("scheduled_off_utc").alias("london"), text.decision_cutoff("scheduled_off_utc").alias("cutoff"), text.furlongs(trip).alias("furlongs"))
 
 
-@register("""SELECT page_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) AS title, length(regexp_extract(html, '<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1, 's')) AS data_chars FROM pages""", raw=True)
+@register("""SELECT page_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) AS title, length(html) AS data_chars FROM pages""", raw=True)
 def s14_s15_page_title_and_data(r):
-    return r.table("pages").select("page_id", readers.page_title().alias("title"), F.length(readers.page_data()).alias("data_chars"))
+    """Titles, and the data that a script tag of the page carries: here the page's own text, as JSON."""
+    tag = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.to_json(F.struct(F.regexp_replace("html", "<", "&lt;").alias("page"))), F.lit("</script>"))
+    pages = r.table("pages").withColumn("with_data", F.concat("html", tag))
+    page = F.regexp_replace(F.get_json_object(readers.page_data("with_data"), "$.page"), "&lt;", "<")
+    return pages.select("page_id", readers.page_title().alias("title"), F.length(page).alias("data_chars"))
 
 
-@register("""SELECT DISTINCT href FROM (SELECT unnest(regexp_extract_all(html, 'href="([^"]*/)"', 1)) AS href FROM pages)""", raw=True)
+@register("""SELECT DISTINCT href FROM (SELECT unnest(regexp_extract_all(html, 'href="([^"]*n)"', 1)) AS href FROM pages)""", raw=True)
 def s16_page_links(r):
-    return readers.links(r.table("pages"), "/")
+    return readers.links(r.table("pages"), "n")
 
 
 @register("""SELECT race_id, course_name AS course, 'horse ' || n AS name, CASE WHEN n % 2 = 0 THEN 'F' ELSE 'G' END AS sex FROM races, (SELECT unnest([0, 1]) AS n) WHERE race_id % 4 <> 0
@@ -563,18 +569,52 @@ def s02_s03_starting_price_rows(r):
 # --- quality, lookups, streams -------------------------------------------------------------------------------
 
 
-@register("""SELECT 'no_missing_keys' AS "check", 0 AS failures, 0 AS max_failures, true AS passed
-  UNION ALL SELECT 'timestamp_range', (SELECT count(*) FROM (SELECT scheduled_off_utc AS t FROM races UNION ALL SELECT decision_cutoff_utc FROM races) WHERE year(t) NOT BETWEEN 2010 AND 2030), 0, (SELECT count(*) FROM races WHERE year(decision_cutoff_utc) < 2010) = 0
-  UNION ALL SELECT 'referential_integrity', 0, 0, true UNION ALL SELECT 'runner_integrity', 0, 0, true UNION ALL SELECT 'single_winner', 0, 0, true
-  UNION ALL SELECT 'races_have_runners', n, 0, n = 0 FROM (SELECT count(*) AS n FROM races WHERE race_id NOT IN (SELECT race_id FROM runners))
-  UNION ALL SELECT 'odds_range', n, 0, n = 0 FROM (SELECT count(*) AS n FROM odds WHERE decimal_odds <= 1.01 OR decimal_odds > 1000)
-  UNION ALL SELECT 'field_size_consistency', 0, 0, true UNION ALL SELECT 'no_duplicate_races', 0, 0, true UNION ALL SELECT 'history_timestamps', 0, 0, true
-  UNION ALL SELECT 'trainer_missing', n, 0, n = 0 FROM (SELECT count(*) AS n FROM runners WHERE trainer_name = '')
-  UNION ALL SELECT 'zero_coverage_races', n, 2000, n <= 2000 FROM (SELECT count(*) AS n FROM (SELECT race_id FROM runners GROUP BY 1 HAVING count(official_rating) = 0))""")
+CHECKS = f"""counted AS (SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(trim(trainer_name), '') = '') AS t, count(*) FILTER (WHERE coalesce(trim(jockey_name), '') = '') AS j
+  FROM {{runners}} u JOIN (SELECT race_id FROM {{races}} WHERE NOT coalesce({NO_RACE}, false)) USING (race_id)),
+failing AS (
+  SELECT 'no_missing_keys' AS "check", count(*) AS failures, 0 AS max_failures FROM (SELECT CAST(race_id AS VARCHAR) AS k FROM {{races}} UNION ALL SELECT runner_id FROM {{runners}} UNION ALL SELECT runner_id FROM {{results}}) WHERE coalesce(k, '') = ''
+  UNION ALL SELECT 'timestamp_range', count(*), 0 FROM (SELECT scheduled_off_utc AS t FROM {{races}} UNION ALL SELECT decision_cutoff_utc FROM {{races}}) WHERE t IS NULL OR year(t) NOT BETWEEN 2010 AND 2030
+  UNION ALL SELECT 'referential_integrity', count(*), 0 FROM {{results}} x WHERE NOT EXISTS (FROM {{races}} a WHERE a.race_id = x.race_id)
+  UNION ALL SELECT 'runner_integrity', count(*), 0 FROM {{results}} x WHERE NOT EXISTS (FROM {{runners}} u WHERE u.runner_id = x.runner_id)
+  UNION ALL SELECT 'single_winner', count(*), 0 FROM (SELECT race_id FROM {{results}} WHERE won GROUP BY 1 HAVING count(*) > 2)
+  UNION ALL SELECT 'races_have_runners', count(*), 0 FROM {{races}} a WHERE NOT EXISTS (FROM {{runners}} u WHERE u.race_id = a.race_id)
+  UNION ALL SELECT 'odds_range', count(*), 0 FROM odds WHERE decimal_odds <= 1.01 OR decimal_odds > 1000 OR decimal_odds IS NULL
+  UNION ALL SELECT 'field_size_consistency', count(*), 0 FROM {{races}} a JOIN (SELECT race_id, count(*) AS n FROM {{runners}} GROUP BY 1) s USING (race_id) WHERE a.field_size <> s.n
+  UNION ALL SELECT 'no_duplicate_races', count(*), 0 FROM (SELECT race_id FROM {{races}} GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'history_timestamps', count(*), 0 FROM {{history}} h JOIN {{races}} a USING (race_id) WHERE h.scheduled_off_utc <> a.scheduled_off_utc
+  UNION ALL SELECT 'trainer_jockey_missing_rate', CASE WHEN 100.0 * t <= {{trainer}} * n AND 100.0 * j <= {{jockey}} * n THEN 0 ELSE t + j END, 0 FROM counted
+  UNION ALL SELECT 'zero_coverage_races', count(*), {{zero}} FROM (SELECT race_id FROM {{runners}} JOIN (SELECT race_id FROM {{races}} WHERE NOT coalesce({NO_RACE}, false)) USING (race_id)
+    GROUP BY 1 HAVING count(*) FILTER (WHERE coalesce(trim(trainer_name), '') <> '' OR coalesce(trim(jockey_name), '') <> '') = 0))
+SELECT "check", failures, max_failures, failures <= max_failures AS passed FROM failing"""
+
+
+@register(", " + CHECKS.format(races="races", runners="runners", results="results", history="horse_history", trainer=5.0, jockey=5.0, zero=100))
 def q01_q12_checks(r):
     return quality.all_checks(r, r.odds)
 
 
+FAULTY = """, races2 AS (SELECT * REPLACE (scheduled_off_utc + to_days(CASE WHEN race_id % 50 = 0 THEN 12000 ELSE 0 END) AS scheduled_off_utc, field_size + CASE WHEN race_id % 20 = 0 THEN 1 ELSE 0 END AS field_size) FROM races
+  UNION ALL SELECT * FROM races WHERE race_id % 25 = 0),
+runners2 AS (SELECT * REPLACE (CASE WHEN race_id % 9 = 0 THEN ' ' ELSE trainer_name END AS trainer_name, CASE WHEN race_id % 9 = 0 THEN NULL ELSE jockey_name END AS jockey_name, CASE WHEN race_id % 61 = 0 THEN '' ELSE runner_id END AS runner_id)
+  FROM runners WHERE race_id % 40 <> 0),
+results2 AS (SELECT * REPLACE (won OR race_id % 10 = 0 AS won, race_id + CASE WHEN race_id % 33 = 0 THEN 1000000000 ELSE 0 END AS race_id) FROM results),
+history2 AS (SELECT * REPLACE (scheduled_off_utc + to_hours(CASE WHEN race_id % 15 = 0 THEN 1 ELSE 0 END) AS scheduled_off_utc) FROM horse_history), """
+
+
+@register(FAULTY + CHECKS.format(races="races2", runners="runners2", results="results2", history="history2", trainer=3.0, jockey=3.0, zero=0))
+def q01_q12_checks_find_faults(r):
+    """The checks over tables with a fault of every kind, at the limits of the latest era."""
+    from types import SimpleNamespace
+
+    race, off = F.col("race_id"), F.unix_seconds("scheduled_off_utc")
+    races = r.races.withColumn("scheduled_off_utc", F.timestamp_seconds(off + F.when(race % 50 == 0, 12_000 * 86_400).otherwise(0))).withColumn("field_size", F.col("field_size") + F.when(race % 20 == 0, 1).otherwise(0))
+    runners = r.runners.where(race % 40 != 0).withColumns({"trainer_name": F.when(race % 9 == 0, " ").otherwise(F.col("trainer_name")), "jockey_name": F.when(race % 9 != 0, F.col("jockey_name")), "runner_id": F.when(race % 61 == 0, "").otherwise(F.col("runner_id"))})
+    results = r.results.withColumn("won", F.col("won") | (race % 10 == 0)).withColumn("race_id", race + F.when(race % 33 == 0, 1_000_000_000).otherwise(0))
+    history = r.horse_history.withColumn("scheduled_off_utc", F.timestamp_seconds(off + F.when(race % 15 == 0, 3_600).otherwise(0)))
+    faulty = SimpleNamespace(races=races.unionByName(r.races.where(race % 25 == 0)), runners=runners, results=results, horse_history=history)
+    return quality.all_checks(faulty, r.odds, limits={era: quality.ERAS["from_2019"] for era in quality.ERAS})
+
+
 @register("SELECT 'f005' AS feature, 0 AS leaks UNION ALL SELECT 'f007', 0 UNION ALL SELECT 'f008', 0")
 def q15_leakage_guard(r):
     return quality.leaks({"f005": features.class_features(r), "f007": features.collateral_form(r), "f008": features.runner_profile(r)})
@@ -633,3 +673,103 @@ def j28_as_of_last(r):
     left = features.runners_with_races(r).select("runner_id", "horse_id", "decision_cutoff_utc")
     right = r.horse_history.groupBy("horse_id", "scheduled_off_utc").agg(F.max("rpr").alias("last_rpr"))
     return pit.as_of_last(left, right, ["horse_id"], "decision_cutoff_utc", "scheduled_off_utc", ["last_rpr"]).select("runner_id", "last_rpr")
+
+
+# --- standard races, coverage, outputs ---------------------------------------------------------------------------
+
+#: Texts of markets, some of which are no races, dealt by race_id over the races.
+MARKETS = ["2m Hcap", "Forecast 2m", "1m2f pa", "Arab race", "To Win v Field", "PA special", "Each Way", "each-way 5f", "2m PA", "Charity Stakes", "5f Listed", "Winning Distance how far"]
+
+
+@register(f""", markets AS (SELECT * REPLACE ({MARKETS!r}[race_id % {len(MARKETS)} + 1] AS race_type, CASE WHEN race_id % 19 = 0 THEN NULL WHEN race_id % 17 = 0 THEN 'Daily Odds' ELSE course_name END AS course_name, nullif(field_size, 3) AS field_size) FROM races)
+  SELECT race_id, race_id % 23 <> 0 AND NOT coalesce({NO_RACE}, false) AS is_standard_race FROM markets""")
+def p06_q13_standard_races(r):
+    """The flag of standard races: special markets lose it, those flagged before stay so."""
+    markets = r.races.select("race_id", F.element_at(F.array(*map(F.lit, MARKETS)), (F.col("race_id") % len(MARKETS) + 1).cast("int")).alias("race_type"), F.when(F.col("race_id") % 19 == 0, None).when(F.col("race_id") % 17 == 0, "Daily Odds").otherwise(F.col("course_name")).alias("course_name"), F.nullif("field_size", F.lit(3)).alias("field_size"), F.when(F.col("race_id") % 23 == 0, False).when(F.col("race_id") % 2 == 0, True).alias("is_standard_race"))
+    return quality.with_standard_flag(markets).select("race_id", "is_standard_race")
+
+
+@register("""SELECT (SELECT count(*) FROM races WHERE race_date BETWEEN DATE '1995-01-01' AND DATE '1997-12-31') AS races, count(*) AS runners, round(count(trainer_id) / count(*), 4) AS trainer_coverage, round(count(jockey_id) / count(*), 4) AS jockey_coverage,
+  round(count(draw) / count(*), 4) AS draw_coverage, (SELECT count(*) FROM results JOIN races USING (race_id) WHERE race_date BETWEEN DATE '1995-01-01' AND DATE '1997-12-31') AS results
+  FROM runners JOIN races USING (race_id) WHERE race_date BETWEEN DATE '1995-01-01' AND DATE '1997-12-31'""")
+def a28_coverage(r):
+    return quality.coverage(r, since="1995-01-01", until="1997-12-31")
+
+
+@register("""SELECT race_id FROM races WHERE upper(coalesce(CASE race_id % 4 WHEN 0 THEN 'gb' WHEN 1 THEN 'Ire' WHEN 2 THEN 'FR' END, '')) IN ('GB', 'IRE')""")
+def p16_countries(r):
+    country = F.when(F.col("race_id") % 4 == 0, "gb").when(F.col("race_id") % 4 == 1, "Ire").when(F.col("race_id") % 4 == 2, "FR")
+    return r.races.withColumn("country", country).where(F.upper(F.coalesce("country", F.lit(""))).isin("GB", "IRE")).select("race_id")
+
+
+@register("SELECT history_id, row_number() OVER (PARTITION BY horse_id ORDER BY scheduled_off_utc DESC, history_id) AS rn_desc FROM horse_history")
+def w02_career_recency(r):
+    """How recent each run is in its horse's whole career."""
+    return r.horse_history.select("history_id", F.row_number().over(Window.partitionBy("horse_id").orderBy(F.desc("scheduled_off_utc"), "history_id")).alias("rn_desc"))
+
+
+@register(SCORES + "SELECT runner_id, round(edge, 6) AS edge FROM bets ORDER BY edge DESC, runner_id LIMIT 50")
+def o11_best_edges(r):
+    """The bets with the largest edge, for display; the number is the feature."""
+    return value_bets(r).select("runner_id", F.round("edge", 9).alias("edge"), F.col("edge").alias("exact")).orderBy(F.desc("exact"), "runner_id").limit(50).drop("exact")
+
+
+@register("SELECT race_id, scheduled_off_utc, course_name FROM races WHERE race_date = (SELECT max(race_date) FROM races) ORDER BY scheduled_off_utc, course_name, race_id")
+def o09_o10_last_card(r):
+    """The races of the last day of the log, by time and course."""
+    last = r.races.agg(F.max("race_date").alias("race_date"))
+    return r.races.join(F.broadcast(last), "race_date").orderBy("scheduled_off_utc", "course_name", "race_id").select("race_id", "scheduled_off_utc", "course_name")
+
+
+@register("SELECT race_id, scheduled_off_utc FROM races WHERE scheduled_off_utc > decision_cutoff_utc + INTERVAL 21 HOUR ORDER BY race_id LIMIT 5")
+def o04_leak_sample(r):
+    """A few rows that break a rule, in a fixed order."""
+    return r.races.where("scheduled_off_utc > decision_cutoff_utc + INTERVAL '21' HOUR").select("race_id", "scheduled_off_utc").orderBy("race_id").limit(5)
+
+
+@register("""SELECT race_id, CASE WHEN race_id % 2 = 0 THEN 'Market Rasen' ELSE 'Bath' END AS venue, CASE WHEN race_id % 2 = 0 THEN 'Market' ELSE 'Bath' END AS word FROM races""")
+def f36_f44_venues(r):
+    """A course's name without its meeting's day, and its first word."""
+    name = F.concat(F.when(F.col("race_id") % 2 == 0, "Market Rasen ").otherwise("Bath "), F.dayofmonth("race_date"), F.lit("th "), F.date_format("race_date", "MMM"))
+    return r.races.select("race_id", text.venue_shown(name).alias("venue"), text.first_word(name).alias("word"))
+
+
+@register("""SELECT race_id, ['Newmarket', 'Leopardstown', 'wexx', 'Wolverhampton', 'Epsom', 'Southwell', 'some field', 'Kempton', 'Galway'][race_id % 9 + 1] AS course, ['galileo', 'danceri', 'sea_fox', 'mr_moonshine', 'westaway', 'a_b'][race_id % 6 + 1] AS horse FROM races""")
+def f15_f16_normalised_names(r):
+    """Courses as exchanges and form books write them, and horses with marks and countries."""
+    courses = ["GB / Newm 3rd Apr", "IRE / Leop 5th May", "FR / Wexx 1st Jan", "Wolverhampton Polytrack", "Epsom Downs", "Southwell (AW)", "Some  Field 12 Jun", "kemp 7th Oct", "galway"]
+    horses = ["Galileo AUS", "Danceri (IRE)", "Sea Fox FR", "Mr MoonshineI (IRE)", "Westaway I (IRE)", "A-B (USA)"]
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("race_id") % len(values) + 1).cast("int"))
+    return r.races.select("race_id", text.normalise_course(at(courses)).alias("course"), text.normalise_horse(at(horses)).alias("horse"))
+
+
+@register(f""", shares AS (SELECT runner_id, unnest([{{'label': 'recent form', 'v': weight_lbs - 120}}, {{'label': 'draw', 'v': CAST(draw AS DOUBLE) - 4}}, {{'label': 'recent form', 'v': CAST(official_rating AS DOUBLE) - 25}}, {{'label': 'age profile', 'v': CAST(age AS DOUBLE) - 6}}]) AS s FROM runners),
+  best AS (SELECT runner_id, s.label AS label, max(s.v) AS v FROM shares WHERE s.v > 0 GROUP BY 1, 2),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY runner_id ORDER BY v DESC, label DESC) AS k FROM best)
+  SELECT runner_id, coalesce(string_agg(label, ', ' ORDER BY k) FILTER (WHERE k <= 2), '') AS signals FROM runners LEFT JOIN ranked USING (runner_id) GROUP BY 1""")
+def f40_m16_top_signals(r):
+    """The labels of a runner's largest positive contributions, each once."""
+    parts = [("recent form", F.col("weight_lbs") - 120), ("draw", F.col("draw") - 4), ("recent form", F.col("official_rating") - 25), ("age profile", F.col("age") - 6)]
+    return r.runners.select("runner_id", scoring.top_signals(parts, 2).alias("signals"))
+
+
+@register(BETS + """SELECT runner_id, round(profit, 6) AS profit, round(profit_sp, 6) AS profit_sp FROM settled WHERE settled AND date = (SELECT max(date) FROM settled WHERE settled)""")
+def l09_settled_bets_of_a_day(r):
+    """The bets of the last day that has settled ones."""
+    done = settle.settle(bet_log(r), bet_results(r)).where("settled")
+    return done.join(F.broadcast(done.agg(F.max("date").alias("date"))), "date").select("runner_id", "profit", "profit_sp")
+
+
+@register("SELECT CASE WHEN race_id % 3 = 0 THEN 'ire' ELSE 'gb' END AS region, year(race_date) AS year, month(race_date) AS month, count(*) AS races, count(DISTINCT course_name) AS courses FROM races GROUP BY 1, 2, 3")
+def d18_partitioned_files(r):
+    """Races written as CSV by region, year and month, and read back by those folders."""
+    rows = r.races.select("race_id", "course_name", F.when(F.col("race_id") % 3 == 0, "ire").otherwise("gb").alias("region"), F.year("race_date").alias("year"), F.month("race_date").alias("month"))
+    back = tables.stored_by(rows, ["region", "year", "month"], "form-files")
+    return back.groupBy("region", "year", "month").agg(F.count("*").alias("races"), F.count_distinct("course_name").alias("courses"))
+
+
+@register("""SELECT runner_id, race_date FROM runners JOIN races USING (race_id) WHERE race_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'""")
+def s19_log_window(r):
+    """Lines of a dated log between two days, as text in and dates out."""
+    log = features.runners_with_races(r).select("runner_id", F.date_format("race_date", "yyyy-MM-dd").alias("date"))
+    return quality.between_days(log.withColumn("race_date", F.col("date").try_cast("date")), "race_date", "1996-01-01", "1996-12-31").select("runner_id", "race_date")

@@ -6,6 +6,8 @@ its supplier the trainer. ``CTES`` is the same mapping as DuckDB SQL, for the or
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,9 +44,9 @@ class Racing:
             self._made[name] = getattr(self, f"_{name}")()
         return self._made[name]
 
-    def store(self) -> None:
-        """Write the tables that features derive from, so that each is made once."""
-        for name in ("lines", "races", "runners", "results", "horse_history", "trainer_history", "jockey_history"):
+    def store(self, names: Iterable[str] = ("lines", "races", "runners", "results", "horse_history", "trainer_history", "jockey_history")) -> None:
+        """Write the tables that features derive from, so that each is made once; a table comes after those it is made of."""
+        for name in names:
             self._made[name] = stored(getattr(self, name), name)
 
     def _lines(self) -> DataFrame:

@@ -37,8 +37,8 @@ def at(s):
     [
         (text.slugify, {"  Red Rum ": "red_rum", "O'Brien--x": "obrien_x", "!!": None, None: None, "": None}),
         (text.compact, {"Red Rum (IRE)": "redrumire", None: None}),
-        (text.normalise_horse, {"Westaway I (IRE)": "westaway", "Mr MoonshineI (IRE)": "mr_moonshine", "Sea Fox FR": "sea_fox", None: None}),
-        (text.normalise_course, {"GB / Newm 3rd Apr": "newmarket", "Southwell (AW)": "southwell", "Epsom Downs": "epsom", "": "", None: None}),
+        (text.normalise_horse, {"Westaway I (IRE)": "westaway", "Mr MoonshineI (IRE)": "mr_moonshine", "Sea Fox FR": "sea_fox", "Galileo AUS": "galileo", "DANCERI (IRE)": "dancer", "": "", None: None}),
+        (text.normalise_course, {"GB / Newm 3rd Apr": "Newmarket", "Newm 3rd Apr": "Newmarket", "IRE / Leop 5th May": "Leopardstown", "Wolverhampton Polytrack": "Wolverhampton", "Southwell (AW)": "Southwell", "Epsom Downs": "Epsom", "Nowhere 12th Jun": "nowhere", "fr / abcd 1st": "abcd", "": "", None: None}),
         (text.to_int, {"12": 12, "3.9": 3, "class 4": 4, "x": None, None: None}),
         (text.furlongs, {"2m 4f": 20.0, "5f": 5.0, "2m": 16.0, "abc": None, None: None}),
         (text.non_completion, {"PU": "PU", "3": None, "": None, "ur": "UR", None: None}),
@@ -54,7 +54,7 @@ def test_sql_functions_agree(spark):
     text.register(spark)
     text.register(spark)
     for name in ("normalise_course", "normalise_horse"):
-        for x in ("GB / Newm 3rd Apr", "Southwell (AW)", "Westaway I (IRE)", "Kempton Park", "ire / cork 1st"):
+        for x in ("GB / Newm 3rd Apr", "Southwell (AW)", "Westaway I (IRE)", "Kempton Park", "ire / cork 1st", "Newm 3rd Apr", "Galileo AUS"):
             sql = spark.sql(f"SELECT {name}(:x) AS y", args={"x": x}).first()["y"]
             assert sql == values(spark, getattr(text, name), [x])[0]
 
@@ -161,16 +161,21 @@ def test_settling(spark):
     assert got == {"a": (True, 4.0, 3.0), "b": (True, 2.0, 2.0), "c": (False, 0.0, 0.0), "d": (True, -1.0, -1.0)}
 
 
-def test_checks(spark):
+def test_checks(spark, tmp_path):
     r = racing(spark, DATA)
     checks = quality.all_checks(r, r.odds)
     assert checks.count() == 12
-    with pytest.raises(quality.CheckFailed, match="trainer_missing"):
+    with pytest.raises(quality.CheckFailed, match="timestamp_range"):
         quality.assert_all(checks)
-    assert "FAIL trainer_missing" in quality.report(checks)
+    assert "FAIL timestamp_range" in quality.report(checks)
     assert quality.gates(95, 4, 1) == {"match": True, "unmatched": True, "ambiguous": True}
-    names = spark.createDataFrame([("", "2016-05-01"), ("x", "2018-01-01"), (None, "2018-01-02"), ("y", "2018-01-03")], "trainer string, day string")
-    assert [(x["rate"], x["passed"]) for x in rows(quality.missing_rates(names, ["trainer"], "day", until="2018-12-31"))] == [(0.5, False)]
+    assert [quality.era_of(*d) for d in ((None, None), ("2015-01-01", None), (None, "2016-12-31"), ("2015-01-01", "2018-01-01"), ("2020-05-05", None))] == ["from_2017", "pre_2017", "pre_2017", "from_2017", "from_2019"]
+    names = spark.createDataFrame([(1, True, False), (2, False, False), (3, False, False)], "race_id long, no_trainer boolean, no_jockey boolean")
+    for limit, failed in ((33.0, 1), (34.0, 0)):
+        assert quality.missing_names(names, {"trainer": limit, "jockey": 5.0}).first()["failures"] == failed
+    settings = tmp_path / "settings.yaml"
+    settings.write_text("dq_thresholds:\n  from_2019:\n    max_missing_jockey_pct: 7\n")
+    assert quality.limits_from(str(settings))["from_2019"] == {"trainer": 3.0, "jockey": 7.0, "zero_coverage": 0} and quality.limits_from() == quality.ERAS
     odds = spark.createDataFrame([(1.01,), (1.0101,), (1000.0,), (1000.1,), (None,)], "decimal_odds double")
     assert odds.where("decimal_odds <= 1.01 or decimal_odds > 1000 or decimal_odds is null").count() == 3
 
@@ -187,7 +192,7 @@ def test_csv_and_zip(spark, tmp_path):
     raw = readers.read_sp_csv(spark, str(tmp_path / "*.csv"))
     records = readers.sp_records(raw)
     race = rows(records["races"])[0]
-    assert (race["race_id"], race["field_size"], race["course_name"], race["decision_cutoff_utc"]) == ("bfsp_1.12_win", 2, "newmarket", at("2024-04-02T21:00:00"))
+    assert (race["race_id"], race["field_size"], race["course_name"], race["decision_cutoff_utc"]) == ("bfsp_1.12_win", 2, "Newmarket", at("2024-04-02T21:00:00"))
     assert sorted((x["won"], x["sp_decimal"]) for x in rows(records["results"])) == [(False, None), (True, 3.5)]
     assert {k: v.count() for k, v in records.items()} == {"races": 1, "runners": 2, "results": 2, "horse_history": 2}
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
