@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 DAY_SECONDS = 86_400
 
@@ -37,32 +37,42 @@ def prior_runs(runners: DataFrame, history: DataFrame, finished: bool = False, h
     return joined.withColumn("rn", F.row_number().over(recency))
 
 
-def before_cutoff(runners: DataFrame, events: DataFrame, keys: list[str], spans: dict[str, int | None]) -> DataFrame:
+def sum_before(column: str, ordered: WindowSpec, span: int | None) -> Column:
+    """Sum of whole numbers over the rows before this one, or only those at most ``span`` before, in the window's order.
+
+    As the difference of two running sums, which take a step a row; a sliding frame would add up all
+    its rows for each.
+    """
+    upto = [F.coalesce(F.sum(column).over(ordered.rangeBetween(Window.unboundedPreceding, end)), F.lit(0)) for end in (-1, -1 - (span or 0))]
+    return upto[0] if span is None else upto[0] - upto[1]
+
+
+def before_cutoff(runners: DataFrame, events: DataFrame, keys: list[str], spans: dict[str, int | None], only: dict[str, Column] | None = None) -> DataFrame:
     """For each key and cutoff day of ``runners``: wins, runs and the latest run within spans of days before.
 
-    ``events`` has the keys, ``t`` and ``won``. ``spans`` names each span; None is all time. Columns
-    are keys, ``_day`` and for each name ``{name}_rate``, ``{name}_runs``; and ``latest`` over all time.
-    Null keys match nothing.
+    ``events`` has the keys, ``t`` and ``won``. ``spans`` names each span; None is all time. ``only``
+    has a condition on the events for some of the names. Columns are keys, ``_day`` and for each name
+    ``{name}_rate``, ``{name}_runs`` (0 or null without runs); and ``latest`` over all time. Null keys match nothing.
     """
-    sums = {"_w": "long", "_n": "long", "_t": "timestamp", "_q": "int"}
-    ran = events.select(*keys, cutoff_day("t").alias("_day"), F.col("won").cast("long").alias("_w"), F.lit(1).cast("long").alias("_n"), F.col("t").alias("_t"))
-    asked = runners.select(*keys, cutoff_day("decision_cutoff_utc").alias("_day"), F.lit(1).alias("_q"))
-    typed = [df.select(*keys, "_day", *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in sums.items()]) for df in (ran, asked)]
-    both = typed[0].unionByName(typed[1]).groupBy(*keys, "_day").agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"), F.max("_t").alias("_t"), F.max("_q").alias("_q"))
+    tests = {"": F.lit(True)} | {f"_{name}": c for name, c in (only or {}).items()}
+    ran = {f"{x}{of}": F.when(test, value).cast("long") for of, test in tests.items() for x, value in (("_w", F.col("won").cast("long")), ("_n", F.lit(1)))}
+    ran |= {"_t": F.col("t"), "_q": F.lit(None).cast("int")}
+    asked = {c: F.lit(None).cast("timestamp" if c == "_t" else "long") for c in ran} | {"_q": F.lit(1)}
+    rows = events.select(*keys, cutoff_day("t").alias("_day"), *[v.alias(c) for c, v in ran.items()])
+    rows = rows.unionByName(runners.select(*keys, cutoff_day("decision_cutoff_utc").alias("_day"), *[v.alias(c) for c, v in asked.items()]))
+    days = rows.groupBy(*keys, "_day").agg(*[(F.max if c in ("_t", "_q") else F.sum)(c).alias(c) for c in ran])
     by_day = Window.partitionBy(*keys).orderBy("_day")
     columns = [F.max("_t").over(by_day.rangeBetween(Window.unboundedPreceding, -1)).alias("latest")]
     for name, span in spans.items():
-        frame = by_day.rangeBetween(Window.unboundedPreceding if span is None else -span, -1)
-        columns += [F.sum("_w").over(frame).alias(f"_w_{name}"), F.sum("_n").over(frame).alias(f"{name}_runs")]
-    out = both.select("*", *columns).where("_q = 1")
-    for name in spans:
-        out = out.withColumn(f"{name}_rate", F.col(f"_w_{name}") / F.col(f"{name}_runs"))
-    return out.select(*keys, "_day", "latest", *[f"{n}_{x}" for n in spans for x in ("rate", "runs")])
+        of = f"_{name}" if f"_{name}" in tests else ""
+        columns += [sum_before(f"{x}{of}", by_day, span).alias(f"{name}_{to}") for x, to in (("_w", "wins"), ("_n", "runs"))]
+    out = days.select(*keys, "_day", "_q", *columns).where("_q = 1")
+    return out.select(*keys, "_day", "latest", *[c for n in spans for c in (F.try_divide(F.col(f"{n}_wins"), F.col(f"{n}_runs")).alias(f"{n}_rate"), F.col(f"{n}_runs"))])
 
 
-def with_rates(runners: DataFrame, events: DataFrame, keys: list[str], spans: dict[str, int | None], latest: bool = False) -> DataFrame:
+def with_rates(runners: DataFrame, events: DataFrame, keys: list[str], spans: dict[str, int | None], latest: bool = False, only: dict[str, Column] | None = None) -> DataFrame:
     """``runners`` with the columns of ``before_cutoff`` for their keys and cutoff."""
-    rates = before_cutoff(runners, events, keys, spans)
+    rates = before_cutoff(runners, events, keys, spans, only)
     rates = rates if latest else rates.drop("latest")
     return runners.withColumn("_day", cutoff_day("decision_cutoff_utc")).join(rates, [*keys, "_day"], "left").drop("_day")
 

@@ -41,8 +41,8 @@ def _query(name: str, make):
 STORED = {
     "f001_horse_form": ["lines", "races", "horse_history"],
     "f002_draw_bias": ["lines", "races", "runners", "results"],
-    "f003_trainer_stats": ["lines", "races", "runners", "trainer_history"],
-    "f004_jockey_stats": ["lines", "races", "runners", "trainer_history", "jockey_history"],
+    "f003_trainer_stats": ["lines", "races"],
+    "f004_jockey_stats": ["lines", "races"],
     "f005_class_features": ["lines", "races", "horse_history"],
     "f006_race_context": ["lines", "races", "horse_history"],
     "f007_collateral_form": ["lines", "races", "horse_history"],

@@ -89,11 +89,11 @@ def horse_form(r) -> DataFrame:
         "distance": near,
         "course": F.col("h_venue") == F.col("venue"),
     }
-    ones = F.struct((-F.unix_micros("h_scheduled_off_utc")).alias("t"), "h_history_id", fp.alias("v"))
     affinity = [c for k, same in alike.items() for c in (avg_if(same & finished, won).alias(f"horse_{k}_affinity"), avg_if(same & finished & sized, placed).alias(f"horse_{k}_place_rate"))]
     weight = F.when((rn <= 5) & finished & sized, (6 - rn).cast("double"))
     out = p.groupBy("horse_id", "runner_id", "race_id", "decision_cutoff_utc", "headgear", "race_class").agg(
-        F.transform(F.sort_array(F.collect_list(F.when(rn <= 3, ones))), lambda x: x["v"]).alias("horse_runs_last_3_positions"),
+        # Numbers only, without lists or texts: so groups are hashed in place.
+        F.slice(F.array(*[F.max(F.when(rn == k, fp)) for k in (1, 2, 3)]), F.lit(1), F.least(F.count("*"), F.lit(3)).cast("int")).alias("horse_runs_last_3_positions"),
         avg_if((rn <= 5) & finished, pos).alias("horse_runs_last_5_positions"),
         F.sum(F.when(rn <= 5, flag(F.col("h_won"))).otherwise(0)).alias("horse_wins_last_5"),
         avg_if(rn <= 10, won).alias("horse_win_rate_last_10"),
@@ -112,16 +112,16 @@ def horse_form(r) -> DataFrame:
         F.max(F.when(rn == 1, F.col("h_rpr"))).alias("horse_last_rpr"),
         avg_if(rn <= 3, F.col("h_race_class").cast("double")).alias("horse_avg_class_last_3"),
         F.when(F.count_if((rn <= 5) & finished) >= 3, F.regr_slope(F.when((rn <= 5) & finished, pos), F.when((rn <= 5) & finished, rn.cast("double")))).alias("horse_form_trend"),
-        F.max(F.when(rn == 1, F.col("h_headgear"))).alias("last_headgear"),
+        F.max(F.when(rn == 1, flag(F.trim(low("h_headgear")) == ""))).alias("bare_before"),
         (F.sum(flag(F.col("h_non_completion").isin(NOT_COMPLETED))) / F.count("*")).alias("horse_pu_rate"),
         F.count_if((rn <= 5) & F.col("h_non_completion").isNotNull()).alias("horse_nc_last_5"),
     )
     return (
         out.withColumn("horse_days_since_last_run", F.date_diff(F.to_date("decision_cutoff_utc"), F.to_date("latest")))
         .withColumn("horse_class_delta", F.col("race_class") - F.col("horse_avg_class_last_3"))
-        .withColumn("horse_first_time_headgear", flag((F.trim(low("headgear")) != "") & (F.trim(low("last_headgear")) == "")))
+        .withColumn("horse_first_time_headgear", flag((F.trim(low("headgear")) != "") & (F.col("bare_before") == 1)))
         .withColumn("event_timestamp_utc", F.coalesce("latest", a_second_before()))
-        .drop("horse_id", "latest", "headgear", "race_class", "last_headgear")
+        .drop("horse_id", "latest", "headgear", "race_class", "bare_before")
     )
 
 
@@ -152,8 +152,10 @@ def draw_bias(r) -> DataFrame:
     )
 
 
-def _course_key() -> Column:
-    return F.lower(normalise_course("course_name")).alias("course")
+def _with_course(r, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``course``, the key of their course_name; each distinct name is normalised once."""
+    names = r.races.select("course_name").distinct().withColumn("course", F.lower(normalise_course("course_name")))
+    return rows.join(names, "course_name", "left")
 
 
 def _distance() -> Column:
@@ -162,10 +164,10 @@ def _distance() -> Column:
 
 def trainer_stats(r) -> DataFrame:
     """f003: the trainer's win rates in the last 90 days and ever, by course, going and distance."""
-    base = runners_with_races(r).select("runner_id", "race_id", name_or_unknown("trainer_name").alias("trainer"), _course_key(), F.coalesce("going_code", F.lit("")).alias("going"), _distance(), "decision_cutoff_utc")
-    events = r.trainer_history.select(name_or_unknown("trainer_name").alias("trainer"), _course_key(), F.coalesce("going_code", F.lit("")).alias("going"), _distance(), "days_since_last_run", F.col("scheduled_off_utc").alias("t"), "won")
-    out = pit.with_rates(base, events, ["trainer"], {"d90": 90}, latest=True)
-    out = pit.with_rates(out, events.where("days_since_last_run > 60"), ["trainer"], {"fresh": None})
+    base = _with_course(r, runners_with_races(r)).select("runner_id", "race_id", name_or_unknown("trainer_name").alias("trainer"), "course", F.coalesce("going_code", F.lit("")).alias("going"), _distance(), "decision_cutoff_utc")
+    events = _with_course(r, r.trainer_history).select(name_or_unknown("trainer_name").alias("trainer"), "course", F.coalesce("going_code", F.lit("")).alias("going"), _distance(), "days_since_last_run", F.col("scheduled_off_utc").alias("t"), "won")
+    base, events = stored(base, "trainer-base"), stored(events, "trainer-runs")
+    out = pit.with_rates(base, events, ["trainer"], {"d90": 90, "fresh": None}, latest=True, only={"fresh": F.col("days_since_last_run") > 60})
     out = pit.with_rates(out, events, ["trainer", "course"], {"course90": 90, "course_ever": None})
     out = pit.with_rates(out, events, ["trainer", "going"], {"going90": 90})
     out = pit.with_rates(out, events, ["trainer", "course", "going"], {"course_going": None})
@@ -193,9 +195,10 @@ def jockey_stats(r) -> DataFrame:
 
     A ride counts once for each runner that its trainer has in the race, as in the definition.
     """
-    base = runners_with_races(r).select("runner_id", "race_id", name_or_unknown("jockey_name").alias("jockey"), name_or_unknown("trainer_name").alias("trainer"), _course_key(), _distance(), "decision_cutoff_utc")
+    base = _with_course(r, runners_with_races(r)).select("runner_id", "race_id", name_or_unknown("jockey_name").alias("jockey"), name_or_unknown("trainer_name").alias("trainer"), "course", _distance(), "decision_cutoff_utc")
     rode = r.jockey_history.join(r.trainer_history.select("race_id", "trainer_id", "trainer_name"), ["race_id", "trainer_id"], "left")
-    events = rode.select(name_or_unknown("jockey_name").alias("jockey"), name_or_unknown("trainer_name").alias("trainer"), _course_key(), _distance(), F.col("scheduled_off_utc").alias("t"), "won")
+    events = _with_course(r, rode).select(name_or_unknown("jockey_name").alias("jockey"), name_or_unknown("trainer_name").alias("trainer"), "course", _distance(), F.col("scheduled_off_utc").alias("t"), "won")
+    base, events = stored(base, "jockey-base"), stored(events, "jockey-runs")
     out = pit.with_rates(base, events, ["jockey"], {"d90": 90}, latest=True)
     out = pit.with_rates(out, events, ["jockey", "course"], {"course90": 90, "course_ever": None})
     out = pit.with_rates(out, events, ["jockey", "trainer"], {"combo": 90})
@@ -390,13 +393,13 @@ def speed_and_changes(r) -> DataFrame:
 def _usual_jockeys(past: DataFrame, rides: DataFrame) -> DataFrame:
     """Mean over a runner's last rides of their jockey's win rate in the 90 days before the ride.
 
-    A ride's time of day matters here, so rides are summed by jockey and second, and the frame is in seconds.
+    A ride's time of day matters here, so rides are summed by jockey and second, and the span is in seconds.
     """
     at = rides.groupBy("jockey", F.unix_seconds("t").alias("s")).agg(F.sum(F.col("won").cast("long")).alias("w"), F.count("*").alias("n"))
-    frame = Window.partitionBy("jockey").orderBy("s").rangeBetween(-90 * pit.DAY_SECONDS, -1)
+    ordered = Window.partitionBy("jockey").orderBy("s")
     asked = past.select("jockey", F.unix_seconds("off").alias("s")).distinct()
     both = at.unionByName(asked.withColumn("q", F.lit(1)), allowMissingColumns=True).groupBy("jockey", "s").agg(*[F.max(c).alias(c) for c in ("w", "n", "q")])
-    rate = both.withColumn("rate", F.sum("w").over(frame) / F.sum("n").over(frame)).where("q = 1").select("jockey", "s", "rate")
+    rate = both.withColumn("rate", F.try_divide(*[pit.sum_before(c, ordered, 90 * pit.DAY_SECONDS) for c in "wn"])).where("q = 1").select("jockey", "s", "rate")
     return past.withColumn("s", F.unix_seconds("off")).join(rate, ["jockey", "s"], "left").groupBy("runner_id").agg(F.avg("rate").alias("usual_quality"))
 
 
