@@ -23,6 +23,8 @@ from furlong.llm.shared import WordTable, in_blocks, worker_table
 START = "▁"
 BLANK = re.compile(r"[ \t-\r]+")
 UNKNOWN_PENALTY = 10.0
+#: Words that a worker remembers: one number each, so more of them than of other operators' rows.
+REMEMBERED = 500_000
 
 
 def unigram_vocabulary(model_file: str) -> tuple[list[tuple[str, float]], bool]:
@@ -95,7 +97,7 @@ def counted(docs: DataFrame, model_file: str) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def table() -> WordTable:
             counter = PieceCounter(*unigram_vocabulary(model_file))
-            return WordTable(lambda words: np.array([[counter.count(START + w)] for w in words]), 1)
+            return WordTable(lambda words: np.array([[counter.count(START + w)] for w in words]), 1, REMEMBERED)
 
         known = worker_table(f"pieces:{model_file}", table)
         for batch in batches:
