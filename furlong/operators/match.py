@@ -44,23 +44,55 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, minutes: Column, order: str, high: int = 25) -> DataFrame:
+def _at_times(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct keys and times (``_t``) of ``left``, and those of ``right`` with the row ``_r`` that is first in ``order`` and the count ``_n``."""
+    rest = [c for c in right.columns if c not in keys]
+    asked = left.select(*keys, F.col(left_time).alias("_t")).distinct()
+    return asked, right.groupBy(*keys, F.col(right_time).alias("_t")).agg(F.min_by(F.struct(*rest), order).alias("_r"), F.count("*").alias("_n"))
+
+
+def _rejoined(left: DataFrame, found: DataFrame, keys: list[str], left_time: str, *more: str) -> DataFrame:
+    """``left`` with the columns of ``_r`` that were found for its keys and time, and ``more``."""
+    found = found.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_t", "_r", *more)
+    same = F.col(left_time).eqNullSafe(F.col("_t"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_of_{k}"))
+    return left.join(found, same).select(*left.columns, "_r.*", *more)
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, order: str, high: float = 25) -> DataFrame:
     """For each left row the right row of its key that is nearest in time, the first in ``order`` on ties.
 
-    ``confidence`` is high for a lone candidate or one within ``high`` minutes, low without a time, else medium.
+    Times are numbers (``high`` is in their unit); ``apart`` is their distance, and ``confidence`` high for a lone candidate
+    or one within ``high``, low without a time, else medium. Without a time the first in ``order`` is taken. Both sides are
+    reduced to one row a key and time, and the nearest ones are the last before and after it: no left row meets all right ones.
+    """
+    asked, at = _at_times(left, right, keys, left_time, right_time, order)
+    both = at.unionByName(asked.withColumn("_q", F.lit(1)), allowMissingColumns=True).groupBy(*keys, "_t").agg(F.any_value("_r", True).alias("_r"), F.max("_n").alias("_n"), F.max("_q").alias("_q"))
+    key, timed = Window.partitionBy(*keys), F.when(F.col("_t").isNotNull(), F.col("_r"))
+    # Descending rather than unbounded following: a frame that only grows takes one step a row.
+    sides = {"_before": key.orderBy("_t"), "_after": key.orderBy(F.desc("_t"))}
+    seen = both.withColumns({c: F.last(timed, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c, w in sides.items()})
+    seen = seen.withColumn("_any", F.min_by("_r", F.col(f"_r.{order}")).over(key)).withColumn("_all", F.sum("_n").over(key)).where("_q = 1 and _all > 0")
+    gap = {c: F.abs(F.col("_t") - F.col(f"{c}.{right_time}")) for c in sides}
+    tie = (gap["_before"] == gap["_after"]) & (F.col(f"_before.{order}") <= F.col(f"_after.{order}"))
+    nearer = F.when(F.col("_t").isNull(), F.col("_any")).when(gap["_after"].isNull() | (gap["_before"] < gap["_after"]) | tie, F.col("_before")).otherwise(F.col("_after"))
+    found = seen.withColumn("_r", F.coalesce(nearer, "_any")).withColumn("apart", F.abs(F.col("_t") - F.col(f"_r.{right_time}")))
+    sure = F.when((F.col("_all") == 1) | (F.col("apart") <= high), "high").when(F.col("apart").isNull(), "low").otherwise("medium")
+    return _rejoined(left, found.withColumn("confidence", sure), keys, left_time, "apart", "confidence")
+
+
+def first_within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, order: str, most: float = 5) -> DataFrame:
+    """For each left row the first right row in ``order`` at its exact time, else the first at most ``most`` apart.
+
+    Distinct times meet those of the same and the neighbouring spans of ``most``, by an equi-join.
     """
-    joined = left.join(right, keys).withColumn("apart", F.abs(minutes))
-    alone = F.count("*").over(Window.partitionBy(left_id)) == 1
-    rank = F.row_number().over(Window.partitionBy(left_id).orderBy(F.col("apart").asc_nulls_last(), order))
-    sure = F.when(alone | (F.col("apart") <= high), "high").when(F.col("apart").isNull(), "low").otherwise("medium")
-    return joined.withColumn("confidence", sure).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-
-
-def first_within(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, minutes: Column, order: str, most: int = 5) -> DataFrame:
-    """For each left row the first right row at its exact time, else the first within ``most`` minutes."""
-    joined = left.join(right, keys).withColumn("apart", F.abs(minutes)).where(F.col("apart") <= most)
-    rank = F.row_number().over(Window.partitionBy(left_id).orderBy(F.when(F.col("apart") == 0, 0).otherwise(1), order))
-    return joined.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    asked, at = _at_times(left, right, keys, left_time, right_time, order)
+    span = F.floor(F.col("_t") / most)
+    near = at.withColumn("_span", F.explode(F.array(span - 1, span, span + 1))).withColumnRenamed("_t", "_at")
+    pairs = asked.withColumn("_span", span).join(near, [*keys, "_span"]).withColumn("apart", F.abs(F.col("_t") - F.col("_at"))).where(F.col("apart") <= most)
+    first = F.min_by(F.struct("_r", "apart"), F.struct(F.col("apart") > 0, F.col(f"_r.{order}"))).alias("_first")
+    return _rejoined(left, pairs.groupBy(*keys, "_t").agg(first).select(*keys, "_t", "_first.*"), keys, left_time, "apart")
 
 
 def by_either(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_id: str, order: str, on: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from furlong.operators.tables import stored
+
 
 def softmax(df: DataFrame, score: str, group: str, out: str) -> DataFrame:
     """Exponentials of the scores over their sum in the group; the greatest score is taken off first."""
@@ -57,16 +59,16 @@ def ndcg(df: DataFrame, score: str, group: str, gain: str, tie: str, k: int) ->
     return ranked.groupBy(group).agg(total("_s").alias("dcg"), total("_g").alias("best")).where("best > 0").agg(F.avg(F.col("dcg") / F.col("best")).alias(f"ndcg_{k}"))
 
 
-def quantile_edges(df: DataFrame, column: str, q: int) -> Column:
-    """Distinct exact quantiles from 0 to 1 in q steps, as one array."""
-    return F.array_distinct(F.percentile(column, F.array(*[F.lit(i / q) for i in range(q + 1)])))
+def quantile_edges(df: DataFrame, column: str, q: int) -> DataFrame:
+    """One row: ``_edges``, the distinct exact quantiles from 0 to 1 in q steps. Equal values are counted before they meet."""
+    steps = F.array(*[F.lit(i / q) for i in range(q + 1)])
+    return df.groupBy(column).agg(F.count("*").alias("_n")).agg(F.array_distinct(F.percentile(column, steps, F.col("_n"))).alias("_edges"))
 
 
 def quantile_bins(df: DataFrame, column: str, q: int, out: str) -> DataFrame:
     """Number from 0 of the bin (edge, edge] that a value is in, edges being distinct quantiles; the least value is in the first."""
-    edges = df.agg(quantile_edges(df, column, q).alias("_edges"))
     above = F.size(F.filter("_edges", lambda e: e < F.col(column)))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.greatest(above - 1, F.lit(0))).drop("_edges")  # one row of q + 1 numbers
+    return df.crossJoin(F.broadcast(quantile_edges(df, column, q))).withColumn(out, F.greatest(above - 1, F.lit(0))).drop("_edges")  # one row of q + 1 numbers
 
 
 def edge(p: str, sp: str) -> Column:
@@ -98,10 +100,17 @@ def curve(df: DataFrame, order: list[str], value: str, window: int, least: int)
 
 
 def category_code(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Place of a value's text among the sorted distinct texts, from 0; the distinct values are joined, not all rows sorted."""
-    names = df.select(F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("_name")).distinct()
-    coded = names.withColumn(out, F.row_number().over(Window.orderBy("_name")) - 1)
-    return df.withColumn("_name", F.coalesce(F.col(column).cast("string"), F.lit("None"))).join(coded, "_name").drop("_name")
+    """Place of a value's text among the sorted distinct texts, from 0; the distinct values are joined, not all rows sorted.
+
+    The distinct texts are dealt by ranges and numbered within each; a range starts after the sizes of those before it.
+    """
+    named = df.withColumn("_name", F.coalesce(F.col(column).cast("string"), F.lit("None")))
+    names = stored(named.select("_name").distinct().repartitionByRange("_name").withColumn("_range", F.spark_partition_id()), "names")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = names.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_start"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_name")) - 1
+    coded = names.withColumn("_place", place).join(F.broadcast(starts), "_range").select("_name", (F.col("_start") + F.col("_place")).alias(out))
+    return named.join(coded, "_name").drop("_name")
 
 
 def top_signals(parts: list[tuple[str, Column]], most: int = 3) -> Column:

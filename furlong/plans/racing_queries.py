@@ -40,11 +40,11 @@ def register(sql: str | None = None, raw: bool = False):
 
 
 @register("""SELECT race_id, course_name, 1 AS source FROM races WHERE race_id % 3 <> 0
-  UNION ALL SELECT race_id, min(upper(course_name)), 2 FROM races WHERE race_id % 3 = 0 AND race_id % 2 = 0 GROUP BY 1""")
+  UNION ALL SELECT race_id, min(upper(course_name)), 2 FROM races WHERE race_id % 3 = 0 GROUP BY 1""")
 def d03_upsert_ignore(r):
     """New races are added once, known ones stay."""
     have = r.races.where("race_id % 3 <> 0").select("race_id", "course_name", F.lit(1).alias("source"))
-    new = r.races.where("race_id % 2 = 0").select("race_id", F.upper("course_name").alias("course_name"), F.lit(2).alias("source"))
+    new = r.races.where("race_id % 3 = 0 or race_id % 2 = 0").select("race_id", F.upper("course_name").alias("course_name"), F.lit(2).alias("source"))
     return dml.upsert_ignore(have, new.unionByName(new), ["race_id"], F.col("course_name"))
 
 
@@ -92,13 +92,13 @@ def d11_first_match_update(r):
     return r.runners.withColumn("k", text.compact("horse_name")).join(first, ["k", "race_id"], "left").select("runner_id", "horse_name", "sp_decimal")
 
 
-@register("""SELECT runner_id, false AS won, (SELECT min(scheduled_off_utc) FROM races WHERE race_date = DATE '1998-01-05') AS scheduled_off_utc
-  FROM runners JOIN races USING (race_id) WHERE race_date = DATE '1998-01-05'""")
+@register("""SELECT runner_id, false AS won, first_off AS scheduled_off_utc FROM runners JOIN races USING (race_id)
+  JOIN (SELECT race_date, min(scheduled_off_utc) AS first_off FROM races GROUP BY 1) USING (race_date)""")
 def d12_placeholders(r):
-    """Runners of a day's card before their results; all take the first race's time, as in the definition."""
-    card = r.runners.join(r.races.where("race_date = '1998-01-05'"), "race_id")
-    first = card.agg(F.min("scheduled_off_utc").alias("scheduled_off_utc"))
-    return card.select("runner_id", F.lit(False).alias("won")).crossJoin(F.broadcast(first))
+    """Runners of each day's card before their results; all take the day's first race's time, as in the definition."""
+    first = r.races.groupBy("race_date").agg(F.min("scheduled_off_utc").alias("scheduled_off_utc"))
+    card = r.races.select("race_id", "race_date").join(first, "race_date")
+    return r.runners.select("runner_id", "race_id", F.lit(False).alias("won")).join(card, "race_id").select("runner_id", "won", "scheduled_off_utc")
 
 
 @register("""SELECT runner_id, snapshot_label, snapshot_id, decimal_odds FROM (SELECT *, row_number() OVER (PARTITION BY runner_id, snapshot_label ORDER BY batch DESC, snapshot_id DESC) AS k FROM (
@@ -345,12 +345,11 @@ def m15_category_codes(r):
 
 
 @register(SCORES + """SELECT runner_id, round(prob, 4) AS prob, round(1 / prob, 2) AS fair_odds, round(edge, 4) AS edge, k = 1 AS top_pick, edge > 0.1 AS value_bet FROM (
-  SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY round(prob, 9) DESC, runner_id) AS k FROM bets WHERE race_date = DATE '1998-01-05')""")
+  SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY round(prob, 9) DESC, runner_id) AS k FROM bets)""")
 def m18_daily_picks(r):
-    """A day's runners with probability, fair odds, edge, the top pick and the value bets."""
-    day = value_bets(r).where("race_date = '1998-01-05'")
+    """The runners of every day with probability, fair odds, edge, the top pick and the value bets."""
     first = F.row_number().over(Window.partitionBy("race_id").orderBy(F.desc(F.round("prob", 9)), "runner_id")) == 1
-    return day.select("runner_id", F.round("prob", 4).alias("prob"), F.round(1 / F.col("prob"), 2).alias("fair_odds"), F.round("edge", 4).alias("edge"), first.alias("top_pick"), (F.col("edge") > 0.1).alias("value_bet"))
+    return value_bets(r).select("runner_id", F.round("prob", 4).alias("prob"), F.round(1 / F.col("prob"), 2).alias("fair_odds"), F.round("edge", 4).alias("edge"), first.alias("top_pick"), (F.col("edge") > 0.1).alias("value_bet"))
 
 
 @register()
@@ -462,22 +461,22 @@ def j20_exact_race_index(r):
 @register("""SELECT race_id, near_id, apart, confidence FROM (SELECT a.race_id, b.race_id AS near_id, abs(date_diff('minute', a.t, b.t)) AS apart, count(*) OVER (PARTITION BY a.race_id) AS n,
     row_number() OVER (PARTITION BY a.race_id ORDER BY abs(date_diff('minute', a.t, b.t)), b.race_id) AS k,
     CASE WHEN count(*) OVER (PARTITION BY a.race_id) = 1 OR abs(date_diff('minute', a.t, b.t)) <= 25 THEN 'high' ELSE 'medium' END AS confidence
-  FROM (SELECT race_id, race_date, scheduled_off_utc + to_minutes(CAST(race_id % 50 AS INTEGER)) AS t FROM races WHERE race_id % 2 = 0) a
-  JOIN (SELECT race_id, race_date, scheduled_off_utc AS t FROM races WHERE race_id % 2 = 1) b USING (race_date)) WHERE k = 1""")
+  FROM (SELECT race_id, race_date, scheduled_off_utc + to_minutes(CAST(race_id % 50 AS INTEGER)) AS t FROM races) a
+  JOIN (SELECT race_id, race_date, scheduled_off_utc AS t FROM races) b USING (race_date)) WHERE k = 1""")
 def j22_nearest_time(r):
-    left = r.races.where("race_id % 2 = 0").select("race_id", "race_date", (F.unix_seconds("scheduled_off_utc") / 60 + F.col("race_id") % 50).alias("m1"))
-    right = r.races.where("race_id % 2 = 1").select(F.col("race_id").alias("near_id"), "race_date", (F.unix_seconds("scheduled_off_utc") / 60).alias("m2"))
-    found = match.nearest_in_time(left, right, ["race_date"], "race_id", F.col("m1") - F.col("m2"), "near_id")
+    left = r.races.select("race_id", "race_date", (F.unix_seconds("scheduled_off_utc") / 60 + F.col("race_id") % 50).alias("m1"))
+    right = r.races.select(F.col("race_id").alias("near_id"), "race_date", (F.unix_seconds("scheduled_off_utc") / 60).alias("m2"))
+    found = match.nearest_in_time(left, right, ["race_date"], "m1", "m2", "near_id")
     return found.select("race_id", "near_id", F.col("apart").cast("long").alias("apart"), "confidence")
 
 
 @register("""SELECT race_id, near_id, apart FROM (SELECT a.race_id, b.race_id AS near_id, abs(a.m - b.m) AS apart, row_number() OVER (PARTITION BY a.race_id ORDER BY CASE WHEN a.m = b.m THEN 0 ELSE 1 END, b.race_id) AS k
-  FROM (SELECT race_id, race_date, hour(scheduled_off_utc) * 60 + race_id % 7 AS m FROM races WHERE race_id % 2 = 0) a JOIN (SELECT race_id, race_date, hour(scheduled_off_utc) * 60 AS m FROM races) b
+  FROM (SELECT race_id, race_date, hour(scheduled_off_utc) * 60 + race_id % 7 AS m FROM races) a JOIN (SELECT race_id, race_date, hour(scheduled_off_utc) * 60 AS m FROM races) b
   ON a.race_date = b.race_date AND abs(a.m - b.m) <= 5) WHERE k = 1""")
 def j23_first_within_minutes(r):
-    left = r.races.where("race_id % 2 = 0").select("race_id", "race_date", (F.hour("scheduled_off_utc") * 60 + F.col("race_id") % 7).alias("m1"))
+    left = r.races.select("race_id", "race_date", (F.hour("scheduled_off_utc") * 60 + F.col("race_id") % 7).alias("m1"))
     right = r.races.select(F.col("race_id").alias("near_id"), "race_date", (F.hour("scheduled_off_utc") * 60).alias("m2"))
-    return match.first_within(left, right, ["race_date"], "race_id", F.col("m1") - F.col("m2"), "near_id").select("race_id", "near_id", F.col("apart").cast("long").alias("apart"))
+    return match.first_within(left, right, ["race_date"], "m1", "m2", "near_id").select("race_id", "near_id", F.col("apart").cast("long").alias("apart"))
 
 
 @register("""SELECT runner_id, other, matched_on FROM (SELECT u.runner_id, b.runner_id AS other, 0 AS matched_on FROM runners u JOIN runners b ON b.race_id = u.race_id AND b.horse_name = u.horse_name

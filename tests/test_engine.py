@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 import zipfile
 
 import pytest
@@ -105,6 +106,37 @@ def test_as_of_last(spark):
     assert {r["id"]: r["v"] for r in rows(pit.as_of_last(left, right, ["k"], "t", "u", ["v"]))} == {1: "nine", 2: None, 3: None}
 
 
+def test_nearest_and_first_within_match_brute_force(spark):
+    """Ties, repeated times, times and keys that are null, lone candidates, keys without a partner."""
+    drawn = random.Random(5)
+    left = [(i, drawn.choice(["a", "b", "c", None]), drawn.choice([None, *range(0, 90, 3)])) for i in range(120)] + [(500, "z", 4), (501, "lone", 90), (502, "lone", None), (503, "timeless", 7)]
+    right = [(1000 + i, drawn.choice(["a", "b", "c", None]), drawn.choice([None, *range(0, 90, 5)]), f"r{i}") for i in range(60)] + [(2000, "lone", 1, "x"), (2001, "timeless", None, "y"), (2002, "timeless", None, "z")]
+    lefts, rights = spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "rid int, k string, u int, v string")
+    nearest, within = {}, {}
+    for i, k, t in left:
+        here = [r for r in right if k is not None and r[1] == k]
+        apart = {r[0]: None if t is None or r[2] is None else abs(t - r[2]) for r in here}
+        if here:
+            best = min(here, key=lambda r: (apart[r[0]] is None, apart[r[0]] or 0, r[0]))
+            d = apart[best[0]]
+            nearest[i] = (best[0], best[3], d, "high" if len(here) == 1 or (d is not None and d <= 25) else "low" if d is None else "medium")
+        close = [r for r in here if apart[r[0]] is not None and apart[r[0]] <= 5]
+        if close:
+            best = min(close, key=lambda r: (apart[r[0]] > 0, r[0]))
+            within[i] = (best[0], best[3], apart[best[0]])
+    assert {r["id"]: (r["rid"], r["v"], r["apart"], r["confidence"]) for r in rows(match.nearest_in_time(lefts, rights, ["k"], "t", "u", "rid"))} == nearest
+    assert {r["id"]: (r["rid"], r["v"], r["apart"]) for r in rows(match.first_within(lefts, rights, ["k"], "t", "u", "rid"))} == within
+    assert {"high", "low"} <= {r[3] for r in nearest.values()}
+
+
+def test_codes_follow_the_order_of_texts(spark):
+    names = ["b", None, "a", "b", "None", "c", ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "i int, x string")
+    place = {x: k for k, x in enumerate(sorted({x or ("None" if x is None else "") for x in names}))}
+    assert {r["i"]: r["code"] for r in rows(scoring.category_code(df, "x", "code"))} == {i: place["None" if x is None else x] for i, x in enumerate(names)}
+    assert rows(scoring.category_code(df.where("i < 0"), "x", "code")) == []
+
+
 def test_updates(spark):
     have = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
     new = spark.createDataFrame([(2, "x"), (3, "z"), (3, "y")], "k int, v string")
