@@ -58,6 +58,16 @@ NOT_OF_A_COURSE = [
     r"\b\d{1,2}(st|nd|rd|th)?\b",
     rf"\b({'|'.join(MONTHS)})\b",
 ]
+# Words in a market's name by kind of race, in order; words in the names of Irish courses.
+RACE_KINDS = {
+    "Chase": ["chase", "steeple", "steeplechase", "chs"],
+    "Hurdle": ["hurdle", "hdle", "hrd"],
+    "NH Flat": ["nh flat", "nhf", "inhf", "bumper", "national hunt flat"],
+}
+IRISH_COURSES = [
+    "cork", "navan", "leopardstown", "curragh", "galway", "fairyhouse", "punchestown", "dundalk", "limerick", "tipperary", "killarney", "listowel", "gowran", "wexford",
+    "sligo", "clonmel", "thurles", "downpatrick", "down royal", "kilbeggan", "ballinrobe", "roscommon", "naas", "tramore", "laytown", "bellewstown",
+]
 #: And out of a horse's: a lone or trailing I before a bracket, brackets, a country at the end.
 NOT_OF_A_HORSE = [r"(?<=[A-Za-z])I(?=\s*\()", r"\bI\b(?=\s*\()", r"\([^)]*\)", rf"(?i)\b(?:{'|'.join(HORSE_COUNTRIES)})\b$"]
 
@@ -110,7 +120,7 @@ def normalise_course(x: str | Column) -> Column:
 def to_int(x: str | Column) -> Column:
     """The whole part of the first number in a text, else null."""
     number = F.nullif(F.regexp_extract(_col(x), r"(-?\d+(?:\.\d+)?)", 1), F.lit(""))
-    return F.coalesce(_col(x).try_cast("double"), number.try_cast("double")).cast("int")
+    return F.coalesce(_col(x).try_cast("double"), number.try_cast("double")).try_cast("int")
 
 
 def to_number(x: str | Column) -> Column:
@@ -119,6 +129,35 @@ def to_number(x: str | Column) -> Column:
     return F.coalesce(_col(x).try_cast("double"), number.try_cast("double"))
 
 
+def whole(x: str | Column) -> Column:
+    """The whole part of a text that is a number, else null."""
+    return _col(x).try_cast("double").try_cast("int")
+
+
+def race_class(x: str | Column) -> Column:
+    """A race's class: a text that is a number, else the first digits in it, else null."""
+    return F.coalesce(whole(x), F.nullif(F.regexp_extract(_col(x), r"(\d+)", 1), F.lit("")).try_cast("int"))
+
+
+def free_time(x: str | Column) -> Column:
+    """A time as people write it, in UTC: ISO, or with the month's number first unless it can't be, or its name."""
+    said = F.initcap(F.regexp_replace(F.trim(_col(x)), r"[\s./-]+", " "))
+    patterns = [f"{day}[ H:mm[:ss]]" for day in ("M d yyyy", "d M yyyy", "d MMM yyyy", "MMM d yyyy", "d MMMM yyyy", "MMMM d yyyy")]
+    return F.coalesce(F.trim(_col(x)).try_cast("timestamp"), *[F.try_to_timestamp(said, F.lit(p)) for p in patterns])
+
+
+def race_kind(market: str | Column) -> Column:
+    """Chase, Hurdle, NH Flat or Flat, by words in a market's name."""
+    low = F.lower(F.coalesce(_col(market), F.lit("")))
+    found = [F.when(low.rlike("|".join(words)), kind) for kind, words in RACE_KINDS.items()]
+    return F.coalesce(*found, F.lit("Flat"))
+
+
+def course_country(course: str | Column) -> Column:
+    """IE for a course whose name has that of an Irish one, else GB."""
+    return F.when(F.lower(_col(course)).rlike("|".join(IRISH_COURSES)), "IE").otherwise("GB")
+
+
 def is_handicap(x: str | Column) -> Column:
     text = F.lower(F.coalesce(_col(x), F.lit("")))
     return text.contains("hcap") | text.contains("handicap")

@@ -64,3 +64,13 @@ def append_dates(log: DataFrame, new: DataFrame, date: str = "date", refresh: bo
     days = (new if refresh else log).select(date).distinct()
     kept, added = (log.join(days, date, "left_anti"), new) if refresh else (log, new.join(days, date, "left_anti"))
     return kept.unionByName(added, allowMissingColumns=True)
+
+
+def without_decided(queue: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
+    """What is left of a queue when the decided rows are taken out; rows with a null key stay."""
+    return delete_where_in(queue, decided, keys)
+
+
+def enqueued(queue: DataFrame, new: DataFrame) -> DataFrame:
+    """The queue with new rows after its own; only its columns are kept, missing ones are null."""
+    return queue.unionByName(new.select(*[c for c in queue.columns if c in new.columns]), allowMissingColumns=True)

@@ -129,3 +129,16 @@ def cascade(missing: DataFrame, found: DataFrame, jaccard_over: float = 0.70, li
     every = exact.unionByName(off).unionByName(card).unionByName(fuzzy)
     rank = F.row_number().over(Window.partitionBy("runner_id").orderBy("priority", F.desc("score"), "f_row_id"))
     return every.withColumn("_rank", rank).where("_rank = 1").select("runner_id", F.col("f_row_id").alias("row_id"), "match_type", "score")
+
+
+def audit(asked: DataFrame, candidates: DataFrame, on: list[str], asked_id: str, sample: int = 20) -> dict[str, DataFrame]:
+    """What a match by ``on`` leaves to be looked at: rows without a candidate, those with several and how many, and a sample.
+
+    Candidates are counted by key before they meet the rows. The sample is of those with one candidate, by id.
+    """
+    counted = asked.join(candidates.groupBy(*on).agg(F.count("*").alias("candidates")), on, "left")
+    return {
+        "unmatched": counted.where("candidates is null").drop("candidates"),
+        "ambiguous": counted.where("candidates > 1"),
+        "sample": counted.where("candidates = 1").orderBy(asked_id).limit(sample),
+    }

@@ -151,3 +151,28 @@ def gates(matched: int, unmatched: int, ambiguous: int, least: float = 0.90, mos
     """Whether a backfill's match rates allow it to go on."""
     total = max(1, matched + unmatched + ambiguous)
     return {"match": matched / total >= least, "unmatched": unmatched / total <= most_unmatched, "ambiguous": ambiguous / total <= most_ambiguous}
+
+
+def registry_from(path: str) -> dict[str, dict]:
+    """The feature registry of a YAML file: feature to its definition, expected range, null policy and so on."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f) or {}
+
+
+def registry_faults(df: DataFrame, registry: dict[str, dict]) -> DataFrame:
+    """feature, out_of_range and forbidden_nulls of the registered features that the table has, in one pass.
+
+    Nulls are forbidden where the null policy begins with ``never null``.
+    """
+    parts = []
+    for name in sorted(registry.keys() & set(df.columns)):
+        value, (low, high) = F.col(f"`{name}`"), registry[name].get("expected_range") or (None, None)
+        outside = ([] if low is None else [value < low]) + ([] if high is None else [value > high])
+        never = str(registry[name].get("null_policy", "")).lower().startswith("never null")
+        wrong = F.coalesce(reduce(Column.__or__, outside), F.lit(False)) if outside else F.lit(False)
+        parts.append(F.struct(F.lit(name).alias("feature"), F.count_if(wrong).alias("out_of_range"), F.count_if(value.isNull() & F.lit(never)).alias("forbidden_nulls")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "feature string, out_of_range long, forbidden_nulls long")
+    return df.agg(F.array(*parts).alias("faults")).select(F.explode("faults").alias("f")).select("f.*")

@@ -99,17 +99,37 @@ def curve(df: DataFrame, order: list[str], value: str, window: int, least: int)
     return out.withColumn("drawdown", F.col("cumulative") - F.col("peak")).withColumn("moving", F.when(F.count(value).over(moving) >= least, F.avg(value).over(moving)))
 
 
-def category_code(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Place of a value's text among the sorted distinct texts, from 0; the distinct values are joined, not all rows sorted.
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``df``, written, with the place of each row in an order of all rows, from 0.
 
-    The distinct texts are dealt by ranges and numbered within each; a range starts after the sizes of those before it.
+    Rows are dealt by ranges and numbered within each; a range starts after the sizes of those before it.
     """
-    named = df.withColumn("_name", F.coalesce(F.col(column).cast("string"), F.lit("None")))
-    names = stored(named.select("_name").distinct().repartitionByRange("_name").withColumn("_range", F.spark_partition_id()), "names")
+    dealt = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = names.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_start"))  # one row a range
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("_name")) - 1
-    coded = names.withColumn("_place", place).join(F.broadcast(starts), "_range").select("_name", (F.col("_start") + F.col("_place")).alias(out))
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_start"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_place", place).join(F.broadcast(starts), "_range").withColumn(out, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
+
+
+def moving_mean(df: DataFrame, order: list[str], value: str, out: str, most: int = 500, least: int = 50) -> DataFrame:
+    """The mean of the last min(most, a third of all rows) values in an order of all rows, null before there are ``least``.
+
+    Rows are numbered by ranges and go to the block of their number and, as what came before, to the
+    next one; so a task needs one block and no window spans all rows.
+    """
+    rows = numbered(df, order, "_at")
+    window = max(1, min(most, rows.count() // 3))
+    block = F.floor(F.col("_at") / window)
+    dealt = rows.withColumn("_own", block).withColumn("_block", F.explode(F.array(block, block + 1)))
+    last = Window.partitionBy("_block").orderBy("_at").rowsBetween(-(window - 1), 0)
+    means = dealt.withColumn(out, F.when(F.count(value).over(last) >= least, F.avg(value).over(last)))
+    return means.where("_own = _block").drop("_own", "_block", "_at")
+
+
+def category_code(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Place of a value's text among the sorted distinct texts, from 0; the distinct values are joined, not all rows sorted."""
+    named = df.withColumn("_name", F.coalesce(F.col(column).cast("string"), F.lit("None")))
+    coded = numbered(named.select("_name").distinct(), ["_name"], out)
     return named.join(coded, "_name").drop("_name")
 
 

@@ -37,3 +37,17 @@ def stored_by(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.repartition(*columns).write.partitionBy(*columns).option("header", True).csv(path)
     return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+
+
+def create(spark: SparkSession, folder: str, tables: dict[str, DataFrame], reset: bool = False) -> None:
+    """An empty table of the schema of each frame below ``folder``, where there is none; with ``reset`` also where there is."""
+    for name, df in tables.items():
+        spark.createDataFrame([], df.schema).write.mode("overwrite" if reset else "ignore").parquet(f"{folder}/{name}")
+
+
+def write_sinks(sinks: dict[str, DataFrame], folder: str, dry_run: bool = False) -> dict[str, DataFrame]:
+    """Write each frame as CSV below ``folder`` and return the frames; a dry run only returns them."""
+    if not dry_run:
+        for name, df in sinks.items():
+            df.write.option("header", True).csv(f"{folder}/{name}")
+    return sinks

@@ -12,7 +12,7 @@ from furlong.functions import text
 from furlong.operators import dml, lookup, match, pit, quality, scoring, settle, tables
 from furlong.plans import features
 from furlong.plans.feature_queries import NO_RACE, comparable
-from furlong.sources import readers
+from furlong.sources import files, readers
 from furlong.sources.analogue import CTES, racing
 from furlong.streaming import snapshots
 
@@ -772,3 +772,135 @@ def s19_log_window(r):
     """Lines of a dated log between two days, as text in and dates out."""
     log = features.runners_with_races(r).select("runner_id", F.date_format("race_date", "yyyy-MM-dd").alias("date"))
     return quality.between_days(log.withColumn("race_date", F.col("date").try_cast("date")), "race_date", "1996-01-01", "1996-12-31").select("runner_id", "race_date")
+
+
+# --- files, records, queues --------------------------------------------------------------------------------------
+
+
+@register("""SELECT u.runner_id AS own_id, 'bf_' || u.race_id AS race_id, 'bf_' || u.race_id || '_' || 'horse_' || u.runner_id AS runner_id, CASE WHEN u.race_id % 3 = 0 THEN 'unknown' ELSE a.course_name END AS course_name,
+  CASE WHEN u.race_id % 2 = 0 THEN 'trainer_' || u.trainer_id END AS trainer_id, CASE WHEN x.finishing_position > 0 THEN x.finishing_position END AS finishing_position, coalesce(x.finishing_position = 1, false) AS won,
+  CASE WHEN x.finishing_position > 0 THEN CAST(x.finishing_position AS VARCHAR) ELSE 'REMOVED' END AS finishing_position_raw, round(x.sp_decimal, 6) AS sp_decimal, a.decision_cutoff_utc
+  FROM runners u JOIN races a USING (race_id) JOIN results x USING (runner_id) WHERE u.race_id % 11 <> 0""")
+def s05_exchange_records(r):
+    """Exchange records whose fields go by several names, made of the runners and split into the four kinds of record."""
+    rows = features.runners_with_races(r).join(r.results.select("runner_id", "finishing_position", "sp_decimal"), "runner_id")
+    even, id_ = F.col("race_id") % 2 == 0, F.when(F.col("race_id") % 11 != 0, F.col("race_id").cast("string"))
+    place = F.when(F.col("finishing_position") > 0, F.col("finishing_position"))
+    fields = {
+        "marketId": F.when(even, id_), "id": F.when(~even, id_), "marketStartTime": F.date_format("scheduled_off_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "venue": F.when(even, "").otherwise(F.lit(None)),
+        "eventName": F.when(F.col("race_id") % 3 != 0, F.col("course_name")), "runnerName": F.concat(F.lit("Horse "), "runner_id"), "trainer_name": F.when(even, F.concat(F.lit("Trainer "), "trainer_id")),
+        "finishing_position": place, "status": F.when(place.isNull(), "REMOVED"), "sp_decimal": F.when(even, 0.0), "bsp": F.col("sp_decimal"),
+    }
+    lines = rows.select(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("line"))
+    made = readers.exchange_records(lines)
+    own = F.regexp_extract("horse_id", r"^horse_(.*)$", 1).alias("own_id")
+    runners = made["runners"].select("runner_id", "race_id", "trainer_id", own).join(made["races"].select("race_id", "course_name", "decision_cutoff_utc"), "race_id")
+    out = runners.join(made["results"].select("runner_id", "finishing_position", "won", "finishing_position_raw", "sp_decimal"), "runner_id")
+    return out.join(made["horse_history"].select(F.regexp_replace("history_id", "_hist$", "").alias("runner_id")), "runner_id", "left_semi")
+
+
+@register("""SELECT race_id FROM races WHERE race_date BETWEEN DATE '1994-03-01' AND DATE '1996-02-29' AND race_id % 4 IN (0, 1) AND race_id % 5 <> 0""")
+def s06_s09_files_to_read(r):
+    """The files of a range of days and of two countries that were not read before."""
+    token = F.element_at(F.array(*[F.lit(t) for t in ("PricesUK", "pricesire", "pricesaus", "pricesusa")]), (F.col("race_id") % 4 + 1).cast("int"))
+    name = F.concat(F.lit("/in/pricesuk/"), F.col("race_id"), F.lit("/dwbf"), token, F.lit("win"), F.date_format("race_date", "ddMMyyyy"), F.lit(".csv"))
+    found = r.races.select("race_id", name.alias("file"))
+    wanted = files.chosen(found, "1994-03-01", "1996-02-29", ("pricesuk", "pricesire"))
+    return files.unread(wanted, found.where("race_id % 5 = 0")).select("race_id")
+
+
+@register("""SELECT horse_name AS horse, CAST(race_date AS VARCHAR) AS date, course_name AS course, nullif(trainer_name, '') AS trainer, nullif(jockey_name, '') AS jockey FROM runners JOIN races USING (race_id) WHERE race_id % 3 <> 2""")
+def s10_s12_raw_form_files(r):
+    """Runners written as CSV files of three layouts, one of which lacks a needed column, and read back."""
+    rows = features.runners_with_races(r).select("race_id", "horse_name", F.date_format("race_date", "yyyy-MM-dd").alias("day"), "course_name", "trainer_name", "jockey_name")
+    names = [{"horse_name": "Horse", "day": "Date", "course_name": "Course", "trainer_name": "Trainer", "jockey_name": "Jockey"}, {"jockey_name": "JOCKEY", "course_name": "course", "day": "date", "trainer_name": "trainer", "horse_name": "horse"}, {"horse_name": "horse", "day": "date"}]
+    folder = tables.new_path(r.spark, "form")
+    for i, layout in enumerate(names):
+        rows.where(F.col("race_id") % 3 == i).select(*[F.col(c).alias(n) for c, n in layout.items()]).write.option("header", True).csv(f"{folder}/{i}")
+    return files.raw_form(r.spark, f"{folder}/*/*.csv").select(*readers.RAW)
+
+
+@register("""SELECT race_id, race_date, CASE race_id % 4 WHEN 0 THEN 7 WHEN 1 THEN NULL WHEN 2 THEN 3 END AS finishing_position, race_id % 4 = 3 AND race_id % 2 = 1 AS won, CASE WHEN race_id % 4 = 1 THEN 'PU' END AS non_completion,
+  CASE WHEN race_id % 2 = 0 THEN 1200.5 END AS prize_money_gbp, CAST(CASE WHEN race_id % 3 = 0 THEN 4 END AS INTEGER) AS race_class FROM races WHERE race_id % 7 <> 0""")
+def s11_f22_form_values(r):
+    """Values of form files as typed columns: days in four ways of writing, places, prizes, classes."""
+    day = F.element_at(F.array(F.date_format("race_date", "yyyy-MM-dd"), F.date_format("race_date", "d MMM yyyy"), F.date_format("race_date", "MM/dd/yyyy"), F.date_format("race_date", "yyyy-MM-dd'T'HH:mm:ss")), (F.col("race_id") % 4 + 1).cast("int"))
+    pos = F.element_at(F.array(F.lit("7"), F.lit(" pu"), F.lit("3.0"), F.lit("")), (F.col("race_id") % 4 + 1).cast("int"))
+    raw = r.races.select(
+        "race_id", day.alias("Date"), F.when(F.col("race_id") % 7 == 0, " ").otherwise(F.col("race_id").cast("string")).alias("Horse"), F.lit("Newmarket").alias("track"), pos.alias("Pos"), F.when(F.col("race_id") % 4 == 3, "W").alias("win"),
+        F.when(F.col("race_id") % 2 == 0, "\u00a31,200.50").alias("prize"), F.when(F.col("race_id") % 3 == 0, "Class 4").alias("class"),
+    )
+    out = readers.form_rows(readers.aliased(raw))
+    return out.select(F.col("horse_name").cast("long").alias("race_id"), "race_date", "finishing_position", F.coalesce("won", F.lit(False)).alias("won"), "non_completion", "prize_money_gbp", "race_class")
+
+
+@register("""SELECT race_id, ['Flat', 'Chase', 'Hurdle', 'NH Flat', 'Flat'][race_id % 5 + 1] AS kind, ['GB', 'IE', 'IE'][race_id % 3 + 1] AS country FROM races""")
+def f43_kinds_and_countries(r):
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("race_id") % len(values) + 1).cast("int"))
+    return r.races.select("race_id", text.race_kind(at(["2m Hcap", "3m Hcap Chs", "2m Nov HRD", "2m INHF", ""])).alias("kind"), text.course_country(at(["York", "Down Royal", "The Curragh"])).alias("country"))
+
+
+@register("""SELECT runner_id, race_id, CASE WHEN race_id % 3 = 0 THEN 'FADE' END AS verdict FROM runners WHERE race_id % 3 = 0 AND NOT race_id % 2 = 0 UNION ALL SELECT runner_id, race_id, NULL FROM runners WHERE race_id % 3 = 1 AND NOT race_id % 2 = 0""")
+def d17_review_queue(r):
+    """A queue that gets new rows and loses those that were decided."""
+    queue = r.runners.where("race_id % 3 = 0").select("runner_id", "race_id", F.lit("FADE").alias("verdict"))
+    grown = dml.enqueued(queue, r.runners.where("race_id % 3 = 1").select("race_id", "runner_id", "horse_name"))
+    return dml.without_decided(grown, r.races.where("race_id % 2 = 0"), ["race_id"])
+
+
+@register("""SELECT 'unmatched' AS sink, runner_id, NULL AS candidates FROM runners WHERE race_id % 4 = 0 UNION ALL SELECT 'ambiguous', runner_id, 2 FROM runners WHERE race_id % 4 = 1
+  UNION ALL SELECT * FROM (SELECT 'sample', runner_id, 1 FROM runners WHERE race_id % 4 > 1 ORDER BY runner_id LIMIT 20)""")
+def d20_d24_audit_sinks(r):
+    """What a match leaves to be looked at, written as CSV and read back; a dry run writes nothing."""
+    candidates = r.races.where("race_id % 4 <> 0").select("race_id").unionByName(r.races.where("race_id % 4 = 1").select("race_id"))
+    sinks = match.audit(r.runners.select("runner_id", "race_id"), candidates, ["race_id"], "runner_id")
+    folder = tables.new_path(r.spark, "audit")
+    tables.write_sinks(sinks, folder, dry_run=True)
+    tables.write_sinks(sinks, folder)
+    read = [r.spark.read.schema(df.schema).option("header", True).csv(f"{folder}/{name}").select(F.lit(name).alias("sink"), "runner_id", (F.col("candidates") if "candidates" in df.columns else F.lit(None).cast("long")).alias("candidates")) for name, df in sinks.items()]
+    return reduce(DataFrame.unionByName, read)
+
+
+REGISTRY = {"draw": {"expected_range": [2, 5], "null_policy": "never null"}, "official_rating": {"expected_range": [None, 30], "null_policy": "impute"}, "trainer_name": {"null_policy": "never null - may be empty"}, "absent": {"expected_range": [0, 1]}}
+
+
+@register("""SELECT 'draw' AS feature, count(*) FILTER (WHERE draw < 2 OR draw > 5) AS out_of_range, count(*) FILTER (WHERE draw IS NULL) AS forbidden_nulls FROM runners
+  UNION ALL SELECT 'official_rating', count(*) FILTER (WHERE official_rating > 30), 0 FROM runners UNION ALL SELECT 'trainer_name', 0, count(*) FILTER (WHERE trainer_name IS NULL) FROM runners""")
+def s22_registry_faults(r):
+    """Values out of a registered range and nulls against a registered policy."""
+    return quality.registry_faults(r.runners, REGISTRY)
+
+
+@register(SCORES + """, sized AS (SELECT race_date, runner_id, profit, greatest(1, least(500, count(*) OVER () // 3)) AS w FROM bets)
+  SELECT runner_id, CASE WHEN count(*) OVER m >= 50 THEN round(avg(profit) OVER m, 6) END AS moving FROM sized WINDOW m AS (ORDER BY race_date, runner_id ROWS BETWEEN w - 1 PRECEDING AND CURRENT ROW)""")
+def w08_moving_return(r):
+    """The mean profit of the last 500 bets, or a third of all if those are fewer."""
+    return scoring.moving_mean(value_bets(r).select("race_date", "runner_id", "profit"), ["race_date", "runner_id"], "profit", "moving").select("runner_id", "moving")
+
+
+@register()
+def m12_retrained_walk_forward(r):
+    """For each window a logistic model of the runs before the calibration year, calibrated on that year, measured on the window.
+
+    A window without a winner to learn from or to calibrate by is left out.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    names = ["official_rating", "weight_lbs", "draw", "field_size", "distance_furlongs"]
+    rows = features.runners_with_races(r).join(r.results.select("runner_id", "won"), "runner_id")
+    rows = tables.stored(rows.select("runner_id", "race_id", "race_date", "won", F.col("won").cast("double").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in names]), "walk-forward")
+    parts = []
+    for name, start, stop in WINDOWS:  # four windows
+        first, last = F.lit(start).cast("date"), F.lit(stop).cast("date")
+        day, year_before = F.col("race_date"), F.add_months(first, -12)
+        winners = rows.where("won").agg(F.count_if(day < year_before).alias("train"), F.count_if((day >= year_before) & (day < first)).alias("calibrate")).first()
+        if not all(winners):
+            continue
+        vectors = VectorAssembler(inputCols=names, outputCol="x")
+        model = LogisticRegression(featuresCol="x", labelCol="y", maxIter=20).fit(vectors.transform(rows.where(day < year_before)))
+        scored = model.transform(vectors.transform(rows.where((day >= year_before) & (day < last)))).withColumn("raw", F.element_at(_array("probability"), 2)).select("runner_id", "race_id", "race_date", "won", "raw")
+        final = scoring.renormalise(scoring.isotonic(scored.where(day < first), scored.where(day >= first), "raw", "won", "calibrated"), "calibrated", "race_id", "final")
+        measured = final.agg(F.count("*").alias("test_rows"), F.count_distinct("race_id").alias("test_races"), scoring.brier("final", "won").alias("brier"))
+        parts.append(measured.crossJoin(F.broadcast(scoring.top_pick_rate(final, "final", "race_id", "won", "runner_id").select("top_pick"))).withColumn("test_window", F.lit(name)))  # one row each
+    return reduce(DataFrame.unionByName, parts)

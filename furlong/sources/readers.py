@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,24 +15,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furlong.functions import text
+from furlong.operators import dml
+
+#: Lines of a zipped file that a batch has.
+ZIP_LINES = 10_000
 
 SP_COLUMNS = ["event_id", "menu_hint", "event_name", "event_dt", "selection_id", "selection_name", "win_lose", "bsp"]
 
-# The names under which form files have a column.
+# The names under which form files have a column; the columns that a raw form file must
+# have; the country that the name of a price file tells.
 ALIASES = {
-    "race_date": ["date", "race_date", "racedate"],
+    "race_date": ["race_date", "date", "racedate"],
     "course": ["course", "course_name", "track", "venue", "meeting"],
     "horse": ["horse", "horse_name", "runner", "selection_name"],
     "off_time": ["off_time", "off", "race_time", "scheduled_off", "event_dt"],
-    "position": ["pos", "finishing_position", "position", "finish_pos"],
+    "position": ["finishing_position", "position", "pos", "finish_pos"],
+    "position_text": ["pos", "finishing_position", "position"],
     "won": ["won", "win", "win_flag", "win_lose"],
     "trainer": ["trainer", "trainer_name"],
     "jockey": ["jockey", "jockey_name", "rider"],
     "draw": ["draw", "stall", "stall_draw"],
     "weight_lbs": ["weight_lbs", "weight", "lbs"],
+    "age": ["age"],
     "official_rating": ["official_rating", "or", "rating"],
+    "headgear": ["headgear", "hg"],
+    "race_type": ["race_type", "type"],
+    "race_class": ["race_class", "class", "class_band"],
+    "race_name": ["race_name", "race_type", "type"],
     "distance": ["dist_f", "distance_furlongs", "distance", "trip", "dist"],
+    "surface": ["surface"],
+    "going": ["going", "going_code"],
+    "prize": ["prize_money", "prize_money_gbp", "prize"],
+    "beaten": ["btn", "btn_lengths", "ovr_btn"],
+    "seconds": ["secs", "official_time_secs", "time_secs"],
+    "rpr": ["rpr"],
+    "sex": ["sex"],
 }
+RAW = ("horse", "date", "course", "trainer", "jockey")
+COUNTRIES = {"pricesuk": "GB", "pricesire": "IE", "pricesaus": "AUS", "pricesusa": "USA"}
 
 RACECARD = "array<struct<course:string,off_time:string,going:string,distance_f:double,race_class:int,runners:array<struct<name:string,sex_code:string>>>>"
 
@@ -42,16 +64,27 @@ def read_sp_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("enforceSchema", True).csv(path)
 
 
+def is_sp_row() -> Column:
+    """Whether a starting-price row has the ids and the time that a record needs."""
+    named = [F.coalesce(F.trim(c) != "", F.lit(False)) for c in ("event_id", "selection_id", "selection_name")]
+    return named[0] & named[1] & named[2] & F.try_to_timestamp(F.trim("event_dt"), F.lit("dd-MM-yyyy HH:mm")).isNotNull()
+
+
+def sp_counts(rows: DataFrame) -> DataFrame:
+    """One row: how many starting-price rows there are, and how many of them make no record."""
+    return rows.agg(F.count("*").alias("read"), F.count_if(~is_sp_row()).alias("failed"))
+
+
 def sp_records(rows: DataFrame) -> dict[str, DataFrame]:
-    """Races, runners, results and history rows of starting-price rows that have the ids they need.
+    """Races, runners, results and history rows of starting-price rows that have the ids and the time they need.
 
     The field's size is the number of rows of the race.
     """
     event = F.regexp_replace(F.trim("event_id"), r"^(?:1\.)?", "1.")
     race = F.concat(F.lit("bfsp_"), event, F.lit("_win"))
     horse = F.coalesce(text.slugify("selection_name"), F.concat(F.lit("sel_"), F.trim("selection_id")))
-    off = F.try_to_timestamp("event_dt", F.lit("dd-MM-yyyy HH:mm"))
-    ok = rows.where("nullif(trim(event_id), '') is not null and nullif(trim(selection_id), '') is not null and nullif(trim(selection_name), '') is not null")
+    off = F.try_to_timestamp(F.trim("event_dt"), F.lit("dd-MM-yyyy HH:mm"))
+    ok = rows.where(is_sp_row())
     base = ok.select(
         race.alias("race_id"), horse.alias("horse_id"), F.trim("selection_name").alias("horse_name"), off.alias("scheduled_off_utc"),
         text.normalise_course("menu_hint").alias("course_name"), F.col("event_name").alias("race_type"), (F.trim("win_lose") == "1").alias("won"), F.col("bsp").try_cast("double").alias("sp_decimal"),
@@ -73,46 +106,117 @@ def file_date(name: str | Column = "file") -> Column:
 
 
 def file_market(name: str | Column = "file") -> Column:
-    """country and market type that a file name tells."""
+    """country (GB if the name tells none) and market type that a file name tells."""
     low = F.lower(F.col(name) if isinstance(name, str) else name)
-    country = F.when(low.contains("uk") | low.contains("gb"), "GB").when(low.contains("ire"), "IE").otherwise("GB")
+    country = F.coalesce(*[F.when(low.contains(token), code) for token, code in COUNTRIES.items()], F.lit("GB"))
     return F.struct(country.alias("country"), F.when(low.contains("place"), "PLACE").otherwise("WIN").alias("market_type"))
 
 
+def alias_columns(names: dict[str, str], wanted: dict[str, list[str]]) -> list[Column]:
+    """String columns under the wanted names: of the aliases the first that ``names`` (column to name) has, in any case; null without any."""
+    have: dict[str, str] = {}
+    for column, name in names.items():
+        have.setdefault(name.lower().strip(), column)
+    found = {name: next((have[n] for n in aliases if n in have), None) for name, aliases in wanted.items()}
+    return [(F.lit(None) if column is None else F.col(f"`{column}`")).cast("string").alias(name) for name, column in found.items()]
+
+
 def aliased(df: DataFrame, wanted: dict[str, list[str]] | None = None) -> DataFrame:
-    """String columns under fixed names: the first alias that the file has, whatever its case; null without any."""
-    have = {c.lower().strip(): c for c in df.columns}
-    out = []
-    for name, names in (wanted or ALIASES).items():
-        found = next((have[n] for n in names if n in have), None)
-        out.append((F.lit(None).cast("string") if found is None else F.col(f"`{found}`").cast("string")).alias(name))
-    return df.select(*out)
+    """The columns of a table under fixed names."""
+    return df.select(*alias_columns({c: c for c in df.columns}, wanted or ALIASES))
+
+
+def form_rows(raw: DataFrame) -> DataFrame:
+    """Form rows (under the names of ``ALIASES``) as typed values; rows without a day, course or horse are left out."""
+    said = {c: F.nullif(F.trim(c), F.lit("")) for c in raw.columns}
+    number = {c: text.to_number(F.regexp_replace(said[c], ",", "")) for c in ("weight_lbs", "distance", "prize", "beaten", "seconds", "rpr")}
+    place = text.whole(said["position"])
+    won = F.when(said["won"].isNotNull(), F.lower(said["won"]).isin("1", "true", "win", "w")).otherwise(place == 1)
+    kept = raw.select(
+        F.to_date(text.free_time("race_date")).alias("race_date"), said["course"].alias("course_name"), text.normalise_course("course").alias("course_norm"), said["horse"].alias("horse_name"),
+        text.normalise_horse("horse").alias("horse_norm"), text.compact("horse").alias("horse_compact"), text.free_time("off_time").alias("off_time_utc"), said["trainer"].alias("trainer_name"),
+        said["jockey"].alias("jockey_name"), text.whole(said["draw"]).alias("draw"), number["weight_lbs"].alias("weight_lbs"), text.whole(said["age"]).alias("age"),
+        text.whole(said["official_rating"]).alias("official_rating"), said["headgear"].alias("headgear"), said["race_type"].alias("race_type"), text.race_class(said["race_class"]).alias("race_class"),
+        text.is_handicap("race_name").alias("is_handicap"), number["distance"].alias("distance_furlongs"), said["surface"].alias("surface"), said["going"].alias("going_code"), number["prize"].alias("prize_money_gbp"),
+        place.alias("finishing_position"), won.alias("won"), number["beaten"].alias("btn_lengths"), number["seconds"].alias("official_time_secs"), number["rpr"].alias("rpr"),
+        text.non_completion(said["position_text"]).alias("non_completion"), F.upper(said["sex"]).alias("sex"),
+    )
+    return kept.where("race_date is not null and course_name is not null and horse_name is not null")
 
 
 def read_zip_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, member and JSON line of each well-formed line in zip files; malformed lines are left out."""
+    """file, member and line of zip files: the JSON objects of .json and .jsonl members, and the rows of .csv members as such.
+
+    Malformed lines and other members are left out. A member is unpacked as it is read, ``ZIP_LINES`` lines at a time.
+    """
+
+    def objects(name: str, lines: Iterable[str]) -> Iterator[str]:
+        if name.lower().endswith(".csv"):
+            yield from (json.dumps({k: v for k, v in row.items() if k is not None}) for row in csv.DictReader(lines))
+            return
+        for line in lines:
+            try:
+                if isinstance(json.loads(line), dict):
+                    yield line.strip()
+            except ValueError:
+                continue
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for member in z.namelist():
-                        good = []
+                        if not member.lower().endswith((".json", ".jsonl", ".csv")):
+                            continue
                         with z.open(member) as f:
-                            for raw in io.TextIOWrapper(f, "utf-8", errors="replace"):
-                                try:
-                                    if isinstance(json.loads(raw), dict):
-                                        good.append(raw.strip())
-                                except ValueError:
-                                    continue
-                        yield pd.DataFrame({"file": file, "member": member, "line": good})
+                            found = objects(member, io.TextIOWrapper(f, "utf-8", errors="ignore"))
+                            while some := list(islice(found, ZIP_LINES)):
+                                yield pd.DataFrame({"file": file, "member": member, "line": some})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, member string, line string")
 
 
 def first_of(*columns: Column) -> Column:
-    """The first value that is neither null nor empty."""
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+    """The first value of JSON that is neither null, empty, zero nor false."""
+    return F.coalesce(*[F.when(~c.isin("", "0", "0.0", "false"), c) for c in columns])
+
+
+def exchange_records(lines: DataFrame) -> dict[str, DataFrame]:
+    """Races, runners, results and history rows of exchange records (JSON in ``line``), whose fields go by several names.
+
+    Records without a market's id or a readable time are left out. Of several records of one race or
+    runner the one of the least horse, then the least text, is taken.
+    """
+    get = lambda *names: first_of(*[F.get_json_object("line", f"$.{n}") for n in names])
+    plain = lambda name: F.get_json_object("line", f"$.{name}")
+    number, whole = (lambda name: plain(name).try_cast("double").alias(name)), (lambda name: text.whole(plain(name)).alias(name))
+    texts = lambda *names: [plain(n).alias(n) for n in names]
+    course, horse = F.coalesce(get("venue", "course_name", "eventName"), F.lit("unknown")), F.coalesce(get("runnerName", "horse_name"), F.lit("unknown_horse"))
+    trainer, jockey, place = get("trainer", "trainer_name"), get("jockey", "jockey_name"), get("finishingPosition", "finishing_position")
+    base = lines.select(
+        "line", get("marketId", "market_id", "id").alias("source_race_id"), course.alias("course_name"), F.coalesce(text.slugify(course), F.lit("unknown_course")).alias("course_id"),
+        get("marketStartTime", "scheduled_off_utc", "off_time").try_cast("timestamp").alias("scheduled_off_utc"), horse.alias("horse_name"), F.coalesce(text.slugify(horse), F.lit("unknown_horse")).alias("horse_id"),
+        trainer.alias("trainer_name"), text.slugify(trainer).alias("trainer_id"), jockey.alias("jockey_name"), text.slugify(jockey).alias("jockey_id"),
+        F.when(place.rlike(r"^\d+$"), place.try_cast("int")).alias("finishing_position"), F.coalesce(get("status"), place, F.lit("")).alias("finishing_position_raw"),
+        get("sp_decimal", "bsp", "sp").try_cast("double").alias("sp_decimal"), text.whole(get("numberOfRunners", "field_size")).alias("field_size"), F.coalesce(get("country"), F.lit("GB")).alias("country"),
+        get("headgear_first_time").isNotNull().alias("headgear_first_time"), plain("is_handicap").try_cast("boolean").alias("is_handicap"), *texts("going_code", "going_description", "race_type", "race_grade", "surface", "headgear"),
+        *map(number, ("distance_furlongs", "prize_money_gbp", "weight_lbs", "btn_lengths", "official_time_secs")), *map(whole, ("race_class", "draw", "age", "official_rating", "days_since_last_run", "career_runs")),
+    )
+    base = base.where("source_race_id is not null and scheduled_off_utc is not null").withColumn("race_id", F.concat(F.lit("bf_"), "source_race_id"))
+    base = base.withColumn("runner_id", F.concat_ws("_", "race_id", "horse_id")).withColumn("race_date", F.to_date("scheduled_off_utc")).withColumn("decision_cutoff_utc", text.decision_cutoff("scheduled_off_utc"))
+    base = base.withColumn("won", F.coalesce(F.col("finishing_position") == 1, F.lit(False)))
+    times = ["scheduled_off_utc", "decision_cutoff_utc"]
+    races = dml.first_by(base, ["race_id"], F.col("horse_id"), F.col("line"))
+    each = dml.first_by(base, ["runner_id"], F.col("line"))
+    return {
+        "races": races.select("race_id", "source_race_id", "course_id", "course_name", "race_date", *times, "distance_furlongs", "going_code", "going_description", "race_type", "race_class", "race_grade", "prize_money_gbp", "field_size", "is_handicap", "surface", "country"),
+        "runners": each.select("runner_id", "race_id", "horse_id", "horse_name", "trainer_id", "trainer_name", "jockey_id", "jockey_name", "draw", "weight_lbs", "age", "official_rating", "headgear", "headgear_first_time", "days_since_last_run", "career_runs", *times),
+        "results": each.select(F.concat("runner_id", F.lit("_res")).alias("result_id"), "race_id", "runner_id", "horse_id", "finishing_position", "finishing_position_raw", "btn_lengths", "official_time_secs", "sp_decimal", "won", *times),
+        "horse_history": each.select(
+            F.concat("runner_id", F.lit("_hist")).alias("history_id"), "horse_id", "horse_name", "race_id", "race_date", "course_id", "distance_furlongs", "going_code", "race_type", "race_class", "is_handicap", "field_size",
+            "finishing_position", "won", "btn_lengths", "trainer_id", "jockey_id", "weight_lbs", "official_rating", "headgear", F.col("days_since_last_run").alias("days_since_prev_run"), *times,
+        ),
+    }
 
 
 def api_runners(lines: DataFrame) -> DataFrame:

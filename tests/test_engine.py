@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from furlong.functions import text
-from furlong.operators import dml, lookup, match, pit, quality, scoring, settle
+from furlong.operators import dml, lookup, match, pit, quality, scoring, settle, tables
 from furlong.operators.match import jaro_winkler_of
-from furlong.sources import readers
+from furlong.sources import files, readers
 from furlong.sources.analogue import racing
 from furlong.streaming import snapshots
 
@@ -263,3 +263,100 @@ def test_sessions(spark):
     data = [(i, 1, t + dt.timedelta(minutes=m), "near_off", 2.0) for i, m in enumerate((0, 10, 70, 75))]
     got = rows(snapshots.by_session(spark.createDataFrame(data, snapshots.SCHEMA)).orderBy("start"))
     assert [r["n"] for r in got] == [2, 2]
+
+
+def test_free_times_and_kinds(spark):
+    got = values(spark, text.free_time, ["2024-04-03", "03-04-2024 13:05", "13/04/2024", "3 Apr 2024", "Apr 3 2024 1:05:09", "apr 31 2024", "x", "", None])
+    assert got == [at("2024-04-03T00:00:00"), at("2024-03-04T13:05:00"), at("2024-04-13T00:00:00"), at("2024-04-03T00:00:00"), at("2024-04-03T01:05:09"), None, None, None, None]
+    assert values(spark, text.race_kind, ["2m NHF", "Steeplechase", "Hrd Chs", None]) == ["NH Flat", "Chase", "Chase", "Flat"]
+    assert values(spark, text.whole, ["3.9", "1st", "nan", "1e99", None]) == [3, None, None, None, None]
+    assert values(spark, text.to_int, ["99999999999"]) == [None]
+
+
+def test_file_names(spark):
+    names = ["dwbfpricesuswin03042024.csv", "dwbfpricesuswin31022024.csv", "dwbfPricesAUSplace03042024.csv", "dwbfpricesirewin03042024.csv"]
+    got = rows(spark.createDataFrame([(n,) for n in names], "file string").select(readers.file_date().alias("d"), readers.file_market().alias("m")))
+    assert [(r["d"] is not None, r["m"]["country"], r["m"]["market_type"]) for r in got] == [(True, "GB", "WIN"), (False, "GB", "WIN"), (True, "AUS", "PLACE"), (True, "IE", "WIN")]
+
+
+def test_files_are_read_once(spark, tmp_path):
+    for day in ("01042024", "02042024", "03052024"):
+        (tmp_path / f"pricesukwin{day}.csv").write_text("a\n1\n")
+    found = files.listed(spark, str(tmp_path / "*.csv"))
+    done = str(tmp_path / "done")
+    first = files.chosen(found, "2024-04-01", "2024-04-01")
+    files.mark_done(first, done)
+    rest = files.unread(files.chosen(found, until="2024-04-30", tokens=("UKwin", "ire")), spark.read.parquet(done))
+    assert [r["file"].rsplit("/", 1)[1] for r in rows(rest)] == ["pricesukwin02042024.csv"]
+
+
+def test_form_files_of_several_layouts(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text('Horse,Date,Course,Trainer,Jockey,Horse\n"Red, Rum",2024-04-03,York,,J,other\n')
+    (tmp_path / "c.csv").write_bytes(b"\xef\xbb\xbfdate,HORSE,jockey,trainer,course\r\n2024-04-04,Bold,,T,Ayr\r\n")
+    (tmp_path / "d.csv").write_text("horse,date\nNo,2024-04-05\n")
+    (tmp_path / "e.csv").write_bytes(b"\xff\xfe\x00bad\n")
+    (tmp_path / "f.csv").write_text("")
+    got = rows(files.raw_form(spark, str(tmp_path / "*.csv")))
+    assert sorted((r["horse"], r["date"], r["course"], r["trainer"], r["jockey"]) for r in got) == [("Bold", "2024-04-04", "Ayr", "T", None), ("Red, Rum", "2024-04-03", "York", None, "J")]
+    assert all(r["source_file"].endswith(".csv") and r["loaded_at_utc"] for r in got)
+    assert rows(files.read_layouts(spark, str(tmp_path / "f.csv"), readers.ALIASES)) == []
+
+
+def test_form_rows(spark):
+    raw = spark.createDataFrame([("2024-04-03", "York", "Red Rum (IRE)", "PU", "£1,200", "Class 4", None), ("2024-04-03", "York", "Bold", "1", None, "x", " "), ("never", "York", "Late", "2", None, None, None), ("2024-04-03", " ", "Lost", "2", None, None, None)], "date string, track string, horse string, pos string, prize string, class string, trainer string")
+    got = {r["horse_name"]: r for r in rows(readers.form_rows(readers.aliased(raw)))}
+    assert set(got) == {"Red Rum (IRE)", "Bold"}
+    assert (got["Red Rum (IRE)"]["non_completion"], got["Red Rum (IRE)"]["prize_money_gbp"], got["Red Rum (IRE)"]["race_class"], got["Red Rum (IRE)"]["won"]) == ("PU", 1200.0, 4, None)
+    assert (got["Bold"]["won"], got["Bold"]["non_completion"], got["Bold"]["trainer_name"], got["Bold"]["race_class"]) == (True, None, None, None)
+
+
+def test_starting_price_counts(spark):
+    schema = "event_id string, selection_id string, selection_name string, event_dt string"
+    df = spark.createDataFrame([("1", "2", "a", "03-04-2024 13:05"), ("1", "2", "a", "late"), (None, "2", "a", "03-04-2024 13:05"), ("1", " ", "a", "03-04-2024 13:05")], schema)
+    assert rows(readers.sp_counts(df)) == [{"read": 4, "failed": 3}]
+
+
+def test_zip_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "y.zip", "w") as z:
+        z.writestr("a.csv", "market_id,horse_name\n1.5,Bold\n")
+        z.writestr("b.txt", '{"market_id": "no"}\n')
+        z.writestr("c.JSONL", '{"id": "1.6", "runnerName": "Red", "btn_lengths": 0, "marketStartTime": "2024-04-03T13:05:00Z", "finishingPosition": 1}\n\n{"id": "1.6", "runnerName": "Red", "marketStartTime": "soon"}\n')
+    lines = readers.read_zip_lines(spark, str(tmp_path / "*.zip"))
+    assert lines.count() == 3
+    got = readers.exchange_records(lines)
+    assert {k: v.count() for k, v in got.items()} == {"races": 1, "runners": 1, "results": 1, "horse_history": 1}
+    result = rows(got["results"])[0]
+    assert (result["result_id"], result["won"], result["btn_lengths"], result["decision_cutoff_utc"]) == ("bf_1.6_red_res", True, 0.0, at("2024-04-02T21:00:00"))
+
+
+def test_tables_and_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    folder = str(tmp_path / "tables")
+    tables.create(spark, folder, {"t": df})
+    df.write.mode("append").parquet(f"{folder}/t")
+    tables.create(spark, folder, {"t": df})
+    assert spark.read.parquet(f"{folder}/t").count() == 1
+    tables.create(spark, folder, {"t": df}, reset=True)
+    assert spark.read.parquet(f"{folder}/t").count() == 0 and spark.read.parquet(f"{folder}/t").schema == df.schema
+    tables.write_sinks({"s": df}, str(tmp_path / "sinks"), dry_run=True)
+    assert not (tmp_path / "sinks").exists()
+
+
+def test_moving_mean_matches_brute_force(spark):
+    drawn = random.Random(3)
+    for n in (0, 1, 2, 7, 200):
+        data = [(i, float(drawn.randint(-5, 5))) for i in range(n)]
+        drawn.shuffle(data)
+        got = {r["i"]: r["m"] for r in rows(scoring.moving_mean(spark.createDataFrame(data, "i int, v double"), ["i"], "v", "m", most=40, least=3))}
+        ordered, w = [v for _, v in sorted(data)], max(1, min(40, n // 3))
+        want = {i: (sum(part) / len(part) if len(part := ordered[max(0, i - w + 1) : i + 1]) >= 3 else None) for i in range(n)}
+        assert got == pytest.approx(want)
+
+
+def test_registry(spark, tmp_path):
+    path = tmp_path / "registry.yaml"
+    path.write_text("a:\n  expected_range: [0.0, 1.0]\n  null_policy: impute\nb:\n  null_policy: never null\nc:\n  expected_range: [0, 1]\n")
+    df = spark.createDataFrame([(0.5, None), (1.5, 1), (None, 2)], "a double, b int")
+    got = {r["feature"]: (r["out_of_range"], r["forbidden_nulls"]) for r in rows(quality.registry_faults(df, quality.registry_from(str(path))))}
+    assert got == {"a": (1, 0), "b": (0, 1)}
+    assert rows(quality.registry_faults(df, {})) == []
