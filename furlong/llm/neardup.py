@@ -167,6 +167,12 @@ def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
     return ((np.log1p(n / own) / np.log1p(n)) ** DAMPING).astype(np.float32)
 
 
+def parts(x: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """``x`` in pieces."""
+    for start in range(0, len(x), size):
+        yield x[start : start + size]
+
+
 class Sampler:
     """Improved consistent weighted sampling with variates from a fixed pool."""
 
@@ -182,30 +188,48 @@ class Sampler:
         self.salt = mixed(np.arange(1, k + 1, dtype=np.uint64) * ODD)
 
     def samples(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """A 64-bit value for each of the draws; two sets agree on it if their draws do."""
+        """A 64-bit value for each of the draws; two sets agree on it if their draws do.
+
+        ln a is ``base`` for a weight of 1 and at least that for a lesser one. So most shingles are only
+        looked at more closely in the draws where ``base`` is not above the least ln a so far.
+        """
         pool = (hashes >> np.uint64(64 - 15)).astype(np.int64)
         logs = np.log(weights).astype(np.float32)
-        best = chosen = level = None
-        for at in range(0, len(hashes), 1024):
-            rows = pool[at : at + 1024]
-            t = self.inverse[rows]
-            t *= logs[at : at + 1024, None]
-            t += self.beta[rows]
-            np.floor(t, out=t)
-            a = self.r[rows]
-            a *= t
-            np.subtract(self.base[rows], a, out=a)
-            low = a.min(0)
-            i, k = np.nonzero(a == low)
-            i, k = i[::-1], k[::-1]  # of equal draws the first stays
-            own, top = np.zeros(len(low), np.uint64), np.zeros(len(low), np.float32)
-            own[k], top[k] = hashes[at + i], t[i, k]
-            if best is None:
-                best, chosen, level = low, own, top
-            else:
-                better = low < best
-                best, chosen, level = np.where(better, low, best), np.where(better, own, chosen), np.where(better, top, level)
-        return mixed(chosen ^ mixed(level.astype(np.int64).view(np.uint64) + self.salt))
+        draws = np.arange(self.bands * self.rows)
+        best, at, level = np.full(len(draws), np.inf, np.float32), np.zeros(len(draws), np.int64), np.zeros(len(draws), np.float32)
+
+        def least(i: np.ndarray, a: np.ndarray, t: np.ndarray | None = None) -> None:
+            """Take the least of all draws of the shingles ``i``; of equal ones the first stays."""
+            low, first = a.min(0), np.empty(len(draws), np.int64)
+            row, draw = np.divmod(np.flatnonzero(a == low), len(draws))
+            first[draw[::-1]] = row[::-1]
+            who = i[first]
+            better = (low < best) | ((low == best) & (who < at))
+            best[better], at[better] = low[better], who[better]
+            level[better] = 0 if t is None else t[first, draws][better]
+
+        def all_draws(i: np.ndarray) -> None:
+            rows = pool[i]
+            t = np.floor(self.inverse[rows] * logs[i, None] + self.beta[rows])
+            least(i, self.base[rows] - self.r[rows] * t, t)
+
+        one, more, less = np.flatnonzero(logs == 0), np.flatnonzero(logs > 0), np.flatnonzero(logs < 0)
+        for i in parts(one, 1024):
+            least(i, self.base.take(pool[i], 0))
+        some = max(0, 16 - len(one) - len(more))
+        for i in parts(np.concatenate([more, less[:some]]), 1024):
+            all_draws(i)
+        for i in parts(less[some:], 1024):
+            near, draw = np.divmod(np.flatnonzero(self.base.take(pool[i], 0) <= best), len(draws))
+            near = i[near]
+            rows = pool[near]
+            t = np.floor(self.inverse[rows, draw] * logs[near] + self.beta[rows, draw])
+            a = self.base[rows, draw] - self.r[rows, draw] * t
+            left = a <= best[draw]
+            for x, j, y, z in zip(near[left].tolist(), draw[left].tolist(), a[left], t[left], strict=True):
+                if y < best[j] or (y == best[j] and x < at[j]):
+                    best[j], at[j], level[j] = y, x, z
+        return mixed(hashes[at] ^ mixed(level.astype(np.int64).view(np.uint64) + self.salt))
 
     def band_keys(self, samples: np.ndarray) -> np.ndarray:
         """A hash for each band; equal if all draws of the band are."""
