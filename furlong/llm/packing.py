@@ -10,7 +10,7 @@ counts allow. Executors then give each piece the next place of its length.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -114,8 +114,8 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first_rank", "each", "sequence_id", "offset"]).sort_values(["length", "first_rank"])
 
 
-def place(cut: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Give each piece its ``sequence_id`` and ``offset``. Sequences are gapless from offset 0.
+def place(cut: DataFrame, window: int = WINDOW, planned: Callable[[dict[int, int], int], pd.DataFrame] = plan) -> DataFrame:
+    """Give each piece its ``sequence_id`` and ``offset``, as ``planned`` lays the lengths out. Sequences are gapless from offset 0.
 
     Pieces of one length are numbered in salted shares, one for each ``SHARE`` pieces, whose offsets
     come from the shares' sizes; so a length that a third of all pieces have is spread over as many
@@ -128,7 +128,7 @@ def place(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     salted = cut.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), "_salts"))
     shares = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n"))
     shares = broadcast_if_small(written(shares.select("length", "_salt", "_before"), "shares"))
-    todo = plan(counts, window)
+    todo = planned(counts, window)
     by = {k: g.drop(columns="length").to_numpy() for k, g in todo.groupby("length")}
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import decontaminate, language_id, line_dedup, neardup, packing, quality, records, token_counts, toxicity, warc
+from furlong.llm import bestfit, conversations, decontaminate, language_id, line_dedup, neardup, packing, quality, records, token_counts, toxicity, warc
 from furlong.llm.shared import held_out
 
 
@@ -67,6 +67,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = bestfit.pack_whole(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packed.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.audited(conversations.damaged(rows), rows)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
@@ -78,6 +88,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_best_fit": op11_best_fit,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
