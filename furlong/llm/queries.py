@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import bestfit, conversations, decontaminate, language_id, line_dedup, neardup, packing, quality, records, token_counts, toxicity, warc
+from furlong.llm import bestfit, conversations, decontaminate, language_id, line_dedup, neardup, packing, quality, records, token_counts, toxicity, variants, warc
 from furlong.llm.shared import held_out
 
 
@@ -72,6 +72,10 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return conversations.audited(conversations.damaged(rows), rows)
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op11_best_fit": op11_best_fit,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
