@@ -109,26 +109,83 @@ def by_either(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], le
     return parts.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+#: Letters from rare to frequent, for picking the letters by which names are looked up; any order gives the same pairs.
+RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
+
+
+def letters_of(name: str | Column) -> Column:
+    """A name's characters, each with its number among equal ones, rare letters first."""
+    name = F.col(name) if isinstance(name, str) else name
+    order = F.translate(name, RARE_FIRST, "".join(chr(1 + i) for i in range(len(RARE_FIRST))))
+    sorted_ = F.array_sort(F.filter(F.split(order, ""), lambda c: c != ""))
+    return F.transform(sorted_, lambda c, i: F.concat_ws("#", c, (i - F.array_position(sorted_, c)).cast("string")))
+
+
+def least_shared(name: str, jaro: float) -> Column:
+    """How many characters a name shares at least with one whose Jaro likeness is ``jaro`` or more.
+
+    Jaro is at most (m / a + m / b + 1) / 3 for m shared characters, and m is at most the shorter length b;
+    so m / a >= 3 jaro - 2, whichever of the two names is the longer one.
+    """
+    return F.ceil((3 * jaro - 2) * F.length(name) - 1e-9)
+
+
+def like_pairs(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, likeness: float) -> DataFrame:
+    """Pairs within ``on`` whose Jaro-Winkler likeness may reach ``likeness``: none that does is missing.
+
+    Both sides have ``name``. Names of one first letter gain by a common beginning of up to four, others
+    don't; so a name is looked up with its first letter and as many of its rare letters as one of them
+    must be shared, and without the first letter by fewer, since more must be. What is found is held
+    against the bound with the letters that the two share.
+    """
+    enough = {True: (likeness - 0.4) / 0.6, False: likeness}  # the Jaro likeness needed, with a common beginning or none
+
+    tokens, n, first = letters_of("name"), F.length("name"), F.substring("name", 1, 1)
+
+    def keys(begins: bool) -> Column:
+        rarest = F.slice(tokens, 1, (n - least_shared("name", enough[begins]) + 1).cast("int"))
+        return F.transform(rarest, lambda t: F.concat(first if begins else F.lit(""), F.lit("|"), t))
+
+    def keyed(side: DataFrame, own_id: str, side_name: str) -> DataFrame:
+        row = F.struct(F.col(own_id).alias("id"), F.col("name"), tokens.alias("tokens")).alias(side_name)
+        return side.where(n > 0).select(*on, row, F.explode(F.concat(keys(True), keys(False))).alias("_key"))
+
+    pairs = keyed(left, left_id, "l").join(keyed(right, right_id, "r"), [*on, "_key"])
+    shared = F.size(F.array_intersect("l.tokens", "r.tokens"))
+    a, b = F.length("l.name"), F.length("r.name")
+    begins = F.substring("l.name", 1, 1) == F.substring("r.name", 1, 1)
+    could = (shared / a + shared / b + 1) / 3 >= F.when(begins, enough[True]).otherwise(enough[False]) - 1e-9
+    return pairs.where(could).select(*on, F.col("l.id").alias(left_id), F.col("r.id").alias(right_id), F.col("l.name").alias("name"), F.col("r.name").alias("f_name")).distinct()
+
+
 def cascade(missing: DataFrame, found: DataFrame, jaccard_over: float = 0.70, likeness: float = 0.93) -> DataFrame:
-    """Second chance for unmatched runners, in order of trust: exact; a day off; same card; like name.
+    """Second chance for unmatched runners, in order of trust: exact; a day on, a day back; same card; like name.
 
     ``missing`` has runner_id, day, course, name, card (array of names); ``found`` has row_id, day,
-    course, name, card and detail columns. Ties go to the better score, then to the lesser row_id.
-    Names are compared only within one day and course.
+    course, name, card and perhaps trainer and jockey. Of several rows of a day, course and name the one
+    that knows more of trainer and jockey is taken, then that of the least row_id; of like names the
+    likest, then the least row_id. ``found`` is reduced to a row a day, course and name first, and
+    only runners that are still unmatched are compared by likeness, within a day and course.
     """
-    right = found.select(*[F.col(c).alias(f"f_{c}") for c in found.columns])
-    same_name = (F.col("name") == F.col("f_name")) & (F.col("course") == F.col("f_course"))
-    here = (F.col("day") == F.col("f_day")) & (F.col("course") == F.col("f_course"))
-    exact = missing.join(right, here & (F.col("name") == F.col("f_name"))).select("runner_id", "f_row_id", F.lit("exact").alias("match_type"), F.lit(0).alias("priority"), F.lit(1.0).alias("score"))
-    shifted = missing.withColumn("_shift", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("_day", F.date_add("day", F.col("_shift")))
-    off = shifted.join(right, same_name & (F.col("_day") == F.col("f_day"))).select("runner_id", "f_row_id", F.lit("day_off").alias("match_type"), F.when(F.col("_shift") == 1, 1).otherwise(2).alias("priority"), F.lit(1.0).alias("score"))
-    pairs = missing.join(right, here)
+    known = sum([(F.coalesce(F.col(c), F.lit("")) != "").cast("int") for c in ("trainer", "jockey") if c in found.columns], F.lit(0))
+    best = found.groupBy("day", "course", "name").agg(F.min(F.struct((-known).alias("less"), "row_id"))["row_id"].alias("row_id"))
+    cards = found.groupBy("day", "course").agg(F.any_value("card").alias("f_card"))
+    days = [("exact", 0, 1.0), ("day_off", 1, 0.98), ("day_off", -1, 0.98)]
+    tiers = F.explode(F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(t).alias("match_type"), F.date_add("day", d).alias("on"), F.lit(c).alias("confidence")) for i, (t, d, c) in enumerate(days)])).alias("tier")
+    asked = missing.select("runner_id", "course", "name", tiers).select("runner_id", "course", "name", "tier.*").withColumnRenamed("on", "day")
+    named = asked.join(best, ["day", "course", "name"]).withColumn("score", F.lit(1.0))
     like = jaccard("card", "f_card")
-    card = pairs.where((like > jaccard_over) & (F.col("name") == F.col("f_name"))).select("runner_id", "f_row_id", F.lit("card").alias("match_type"), F.lit(3).alias("priority"), like.alias("score"))
-    fuzzy = pairs.withColumn("score", jaro_winkler("name", "f_name")).where(F.col("score") >= likeness).select("runner_id", "f_row_id", F.lit("fuzzy").alias("match_type"), F.lit(4).alias("priority"), "score")
-    every = exact.unionByName(off).unionByName(card).unionByName(fuzzy)
-    rank = F.row_number().over(Window.partitionBy("runner_id").orderBy("priority", F.desc("score"), "f_row_id"))
-    return every.withColumn("_rank", rank).where("_rank = 1").select("runner_id", F.col("f_row_id").alias("row_id"), "match_type", "score")
+    # A card is asked for by day and course, like the exact match; it decides only where that is switched off.
+    card = missing.join(cards, ["day", "course"]).where(like > jaccard_over).join(best, ["day", "course", "name"])
+    card = card.select("runner_id", F.lit(3).alias("priority"), F.lit("card").alias("match_type"), F.least(F.lit(0.99), F.greatest(F.lit(0.93), like)).alias("confidence"), "row_id", like.alias("score"))
+    columns = ["runner_id", "priority", "match_type", "confidence", "row_id", "score"]
+    sure = named.select(*columns).unionByName(card.select(*columns)).groupBy("runner_id").agg(F.min_by(F.struct(*columns[1:]), F.struct("priority", "row_id")).alias("best")).select("runner_id", "best.*")
+    left = missing.join(sure, "runner_id", "left_anti")
+    score = jaro_winkler("name", "f_name")
+    fuzzy = like_pairs(left, found, ["day", "course"], "runner_id", "row_id", likeness).withColumn("score", score).where(F.col("score") >= likeness)
+    fuzzy = fuzzy.groupBy("runner_id").agg(F.min_by(F.struct("row_id", "score"), F.struct(-F.col("score"), F.col("row_id"))).alias("best")).select("runner_id", "best.*")
+    fuzzy = fuzzy.withColumn("match_type", F.lit("fuzzy")).withColumn("confidence", F.col("score"))
+    return sure.unionByName(fuzzy, allowMissingColumns=True).select("runner_id", "row_id", "match_type", "score", "confidence")
 
 
 def audit(asked: DataFrame, candidates: DataFrame, on: list[str], asked_id: str, sample: int = 20) -> dict[str, DataFrame]:

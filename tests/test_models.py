@@ -211,8 +211,10 @@ def test_objective_of_a_trial_by_sql(spark, rows):
     train, calibrate, test = model_queries.split(rows)
     model = model_queries.trained(rows, "lambda")
     bets = model_queries.bets_of(model, calibrate, test)
-    probs = bets.select("runner_id", "race_id", "p", "won", "sp_decimal").toPandas()  # noqa: F841 - read by the SQL
-    want = duckdb.sql("SELECT count(*) AS bets, coalesce(avg(CASE WHEN won THEN sp_decimal - 1 ELSE -1 END), 0) AS roi FROM probs WHERE sp_decimal > 1 AND p - 1 / sp_decimal > 0.05").fetchone()
+    probs = bets.select("p", "won", "sp_decimal").toPandas()
+    db = duckdb.connect()
+    db.register("probs", probs)
+    want = db.execute("SELECT count(*) AS bets, coalesce(avg(CASE WHEN won THEN sp_decimal - 1 ELSE -1 END), 0) AS roi FROM probs WHERE sp_decimal > 1 AND p - 1 / sp_decimal > 0.05").fetchone()
     got = model_queries.objective(bets)
     assert (got["bets"], round(got["roi"], 9)) == (want[0], round(want[1], 9)) and want[0] == len(probs)
     assert got["objective"] == (got["roi"] if got["bets"] >= 100 else -1.0)

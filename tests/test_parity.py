@@ -11,11 +11,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from furlong.plans import feature_queries, racing_queries
+from furlong.plans import feature_queries, model_queries, racing_queries
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = feature_queries.QUERIES | racing_queries.QUERIES
-ORACLES = feature_queries.ORACLES | racing_queries.ORACLES
+ORACLES = feature_queries.ORACLES | racing_queries.ORACLES | model_queries.ORACLES
+# Trained models without an oracle have tests of their own.
+QUERIES = {k: q for k, q in (feature_queries.QUERIES | racing_queries.QUERIES | model_queries.QUERIES).items() if k in ORACLES or k not in model_queries.QUERIES}
 
 
 @pytest.fixture(scope="module")
