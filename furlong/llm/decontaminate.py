@@ -144,23 +144,30 @@ def _judged(docs: DataFrame, bench: Benchmark) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size: int = SIZE, max_set: int = MAX_SET) -> DataFrame:
     """``docs`` without contaminated rows (``remove="documents"``) or without the words that windows cover (``"spans"``).
 
-    Clean rows and all columns stay as they are, null and empty texts too.
+    Clean rows and all columns stay as they are, null and empty texts too. Columns of any names may be there.
     """
     bench = Benchmark(benchmark, size, max_set)
+    # The input as one struct, so that no name of its columns can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"))
     if bench.texts is None:
-        numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        judged = _judged(numbered.select("doc_id", "text", "_row"), bench)
+        numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        judged = _judged(numbered.select("doc.doc_id", "text", "_row"), bench)
         if remove == "documents":
-            return numbered.join(judged.where("contaminated").select("_row"), "_row", "left_anti").select(*docs.columns)
+            return _unwrapped(numbered.join(judged.where("contaminated").select("_row"), "_row", "left_anti"), docs)
         hits = numbered.join(judged.select("_row", F.col("hits").alias("_hits")), "_row")
     else:
-        hits = with_hits(docs, bench)
+        hits = with_hits(rows, bench)
         if remove == "documents":
-            return hits.where(~_is_contaminated(_n_hit(F.col("_hits")), F.col("_n")) & (F.col("_at") >= 0)).select(*docs.columns)
+            return _unwrapped(hits.where(~_is_contaminated(_n_hit(F.col("_hits")), F.col("_n")) & (F.col("_at") >= 0)), docs)
     covered = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.sequence(h["at"], h["at"] + h["k"] - 1))))
     left = F.array_join(F.filter(F.regexp_extract_all("text", F.lit(f"({WORD_AND_BEFORE})"), F.lit(1)), lambda x, i: ~F.array_contains(F.col("_covered"), i)), "")
     text = F.when(F.size("_covered") > 0, F.concat(left, F.regexp_extract("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0))).otherwise(F.col("text"))
-    return hits.withColumn("_covered", covered).withColumn("text", text).select(*docs.columns)
+    return _unwrapped(hits.withColumn("_covered", covered).withColumn("text", text), docs)
+
+
+def _unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, of which ``text`` may have changed."""
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL for the judged rows of {docs} against ``benchmark``: plain windows and joins.
