@@ -22,9 +22,20 @@ MIN_SCORE = 0.5
 #: stage tells them by whole texts, so the line stage does not cut them to pieces first.
 MAX_SHARE = 0.5
 
+#: Bytes from which a Python worker's arrays are mapped by themselves, and so given back once they are freed. Without
+#: it the C library raises the limit as arrays grow, and idle workers hold a stage's peak through the stages after it.
+MAPPED_BYTES = 256 * 1024
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """Have Python workers that start from now on give back what they free; the same for all stages, which share workers."""
+    for name in ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_"):
+        spark.sparkContext.environment.setdefault(name, str(MAPPED_BYTES))
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter, and those that no learned language fits well."""
+    lean_workers(spark)
     model = language_id.train(docs.where(~held_out("doc_id")), public_tokenizers.path("piece_bpe_32k.model"))
     known = language_id.identify(docs, model).where((F.col("language.lang_pred") != "und") & (F.col("language.score") >= MIN_SCORE))
     return known.select(*docs.columns)
@@ -41,6 +52,7 @@ def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least doc_id of each group of copies."""
+    lean_workers(spark)
     return neardup.one_of_each(docs)
 
 
@@ -51,6 +63,7 @@ def remove_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place all token ids in sequences of 4096."""
+    lean_workers(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
