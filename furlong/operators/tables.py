@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of one folder that a task writes, about.
+FOLDER_ROWS = 1_000_000
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -29,16 +33,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_by(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """Write ``df`` as CSV in a folder for each value of ``columns`` and read it back.
+def dealt_by(df: DataFrame, columns: list[str], most: int = FOLDER_ROWS) -> DataFrame:
+    """``df`` dealt by ``columns``, so that a folder gets few files; what one of over ``most`` rows has goes to several tasks.
 
-    Rows are dealt by those columns first, so that a folder gets few files.
+    Rows are counted by folder before the shuffle; the large folders (at most rows / ``most``) are broadcast.
     """
+    large = df.groupBy(*[F.col(c).alias(f"_of_{c}") for c in columns]).agg(F.ceil(F.count("*") / most).alias("_shares")).where("_shares > 1")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in columns]
+    share = F.pmod(F.xxhash64(*df.columns), F.coalesce("_shares", F.lit(1)))
+    return df.join(F.broadcast(large), same, "left").withColumn("_share", share).repartition(*columns, "_share").select(*df.columns)
+
+
+def stored_by(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Write ``df`` as CSV in a folder for each value of ``columns`` and read it back."""
     path = new_path(df.sparkSession, name)
-    df.repartition(*columns).write.partitionBy(*columns).option("header", True).csv(path)
+    dealt_by(df, columns).write.partitionBy(*columns).option("header", True).csv(path)
     return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
 
 
+def replace_folders(df: DataFrame, columns: list[str], path: str, most: int = FOLDER_ROWS) -> None:
+    """Write ``df`` to the Parquet table at ``path``, which has a folder for each value of ``columns``.
+
+    Folders that ``df`` has rows for are replaced as a whole, the others keep their files; so a day's
+    refresh may be repeated. There need be no table yet.
+    """
+    dealt_by(df, columns, most).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+
+
 def create(spark: SparkSession, folder: str, tables: dict[str, DataFrame], reset: bool = False) -> None:
     """An empty table of the schema of each frame below ``folder``, where there is none; with ``reset`` also where there is."""
     for name, df in tables.items():

@@ -121,6 +121,16 @@ def d15_refresh_dates(r):
     return dml.append_dates(log, new, refresh=True)
 
 
+@register("""SELECT strftime(race_date, '%Y-%m') AS month, CASE WHEN month(race_date) IN (1, 7) THEN 'new' ELSE 'old' END AS source, count(*) AS races, sum(race_id) AS ids FROM races GROUP BY 1, 2""")
+def d15_x06_replaced_on_disk(r):
+    """A table on disk with a folder a month; the Januaries and Julys are written again, and the whole is read back."""
+    rows = r.races.select("race_id", F.lit("old").alias("source"), F.date_format("race_date", "yyyy-MM").alias("month"), F.month("race_date").alias("of_year"))
+    path = tables.new_path(r.spark, "months")
+    tables.replace_folders(rows, ["month"], path)
+    tables.replace_folders(rows.where("of_year in (1, 7)").withColumn("source", F.lit("new")), ["month"], path)
+    return r.spark.read.schema(rows.schema).parquet(path).groupBy("month", "source").agg(F.count("*").alias("races"), F.sum("race_id").alias("ids"))
+
+
 def _day_logs(r) -> tuple[DataFrame, DataFrame]:
     races = r.races.withColumnRenamed("race_date", "date")
     log = races.where("race_id % 2 = 0").groupBy("date").agg(F.count("*").alias("n"), F.lit("old").alias("source"))
@@ -762,6 +772,18 @@ def f15_f16_normalised_names(r):
     return r.races.select("race_id", text.normalise_course(at(courses)).alias("course"), text.normalise_horse(at(horses)).alias("horse"))
 
 
+@register("""SELECT race_id, CASE race_id % 5 WHEN 0 THEN true WHEN 2 THEN true WHEN 3 THEN race_id % 4 IN (0, 3) ELSE false END AS won, CASE WHEN race_id % 4 IN (0, 2) THEN 'AW' ELSE 'Turf' END AS surface,
+  'bfsp_' || race_id || ['', '_x', '_winner'][race_id % 3 + 1] AS id, CASE race_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS ahead, CASE WHEN race_id % 4 = 2 THEN DATE '1999-02-03' END AS day FROM races""")
+def f21_f28_f35_f37_small_texts(r):
+    """Win flags, surfaces by going, exchange ids, and days given by a word."""
+    at = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("race_id") % len(values) + 1).cast("int"))
+    rows = r.races.select("race_id", at("1", "0", " Win", "", "x").alias("flag"), at("1", "2", "F", "1").alias("position"), at("Standard", "Good", "Standard to Slow", None).alias("going"), at("today", " Tomorrow", "1999-02-03", "soon").alias("word"))
+    rows = rows.withColumn("id", F.concat(at("bfsp_1.", "bfsp_"), F.col("race_id"), at("_win", "_win_x", "_winner"))).withColumn("on", text.relative_day("word"))
+    ahead = F.date_diff("on", F.current_date())
+    given = F.lower(F.trim("word")).isin("today", "tomorrow")
+    return rows.select("race_id", text.is_win("flag", "position").alias("won"), text.surface_of("going").alias("surface"), settle.clean_id("id").alias("id"), F.when(given, ahead).alias("ahead"), F.when(~given, F.col("on")).alias("day"))
+
+
 @register(f""", shares AS (SELECT runner_id, unnest([{{'label': 'recent form', 'v': weight_lbs - 120}}, {{'label': 'draw', 'v': CAST(draw AS DOUBLE) - 4}}, {{'label': 'recent form', 'v': CAST(official_rating AS DOUBLE) - 25}}, {{'label': 'age profile', 'v': CAST(age AS DOUBLE) - 6}}]) AS s FROM runners),
   best AS (SELECT runner_id, s.label AS label, max(s.v) AS v FROM shares WHERE s.v > 0 GROUP BY 1, 2),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY runner_id ORDER BY v DESC, label DESC) AS k FROM best)
@@ -860,10 +882,10 @@ def f43_kinds_and_countries(r):
     return r.races.select("race_id", text.race_kind(at(["2m Hcap", "3m Hcap Chs", "2m Nov HRD", "2m INHF", ""])).alias("kind"), text.course_country(at(["York", "Down Royal", "The Curragh"])).alias("country"))
 
 
-@register("""SELECT runner_id, race_id, CASE WHEN race_id % 3 = 0 THEN 'FADE' END AS verdict FROM runners WHERE race_id % 3 = 0 AND NOT race_id % 2 = 0 UNION ALL SELECT runner_id, race_id, NULL FROM runners WHERE race_id % 3 = 1 AND NOT race_id % 2 = 0""")
+@register("""SELECT runner_id, race_id, CASE race_id % 3 WHEN 0 THEN 'FADE' WHEN 2 THEN 'KEEP' END AS verdict FROM runners WHERE race_id % 2 <> 0""")
 def d17_review_queue(r):
     """A queue that gets new rows and loses those that were decided."""
-    queue = r.runners.where("race_id % 3 = 0").select("runner_id", "race_id", F.lit("FADE").alias("verdict"))
+    queue = r.runners.where("race_id % 3 <> 1").select("runner_id", "race_id", F.when(F.col("race_id") % 3 == 0, "FADE").otherwise("KEEP").alias("verdict"))
     grown = dml.enqueued(queue, r.runners.where("race_id % 3 = 1").select("race_id", "runner_id", "horse_name"))
     return dml.without_decided(grown, r.races.where("race_id % 2 = 0"), ["race_id"])
 
