@@ -175,9 +175,8 @@ class Automaton:
         return found
 
 
-#: A word in a group: ``shorter`` is the length of a pair's shorter word, ``ahead`` and ``behind`` are how
-#: many first and last letters the pair shares, ``half`` is these letters.
-HALVES = "word string, n long, shorter int, ahead int, behind int, backward boolean, half string"
+#: What the words of a group have in common: ``shorter`` is the length of a pair's shorter word, ``ahead`` and
+#: ``behind`` are how many first and last letters the pair shares, ``half`` is these letters.
 GROUP = ["shorter", "ahead", "behind", "backward", "half"]
 
 
