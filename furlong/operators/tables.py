@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one folder that a task writes, about.
 FOLDER_ROWS = 1_000_000
+#: Rows up to which a side is broadcast.
+FEW_ROWS = 100_000
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -33,6 +38,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_together(makers: dict[str, Callable[[], DataFrame]], at_once: int = 3) -> dict[str, DataFrame]:
+    """``stored`` for what each maker returns, some at a time: what the last tasks of one job leave idle works on another."""
+    spark = SparkSession.getActiveSession()
+    make = inheritable_thread_target(spark)(lambda name: stored(makers[name](), name))
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(makers, pool.map(make, makers)))
+
+
+def by_size(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A written ``df`` to join with: broadcast if it has few rows, else as the planner decides."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def dealt_by(df: DataFrame, columns: list[str], most: int = FOLDER_ROWS) -> DataFrame:
     """``df`` dealt by ``columns``, so that a folder gets few files; what one of over ``most`` rows has goes to several tasks.
 

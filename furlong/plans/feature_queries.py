@@ -29,24 +29,18 @@ def comparable(df: DataFrame) -> DataFrame:
 def _query(name: str, make):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = racing(spark, sf_dir)
-        if name != "feature_store":  # which stores them itself
-            r.store(STORED[name])
+        r.store(STORED.get(name, ()))
         return comparable(make(r))
 
     run.__name__ = name
     return run
 
 
-#: Tables that a group reads more than once; each is written once.
+#: Tables that a group reads more than once; each is written once. Where it is not listed, deriving them again from a few columns is cheaper.
 STORED = {
-    "f001_horse_form": ["lines", "races", "horse_history"],
     "f002_draw_bias": ["lines", "races", "runners", "results"],
     "f003_trainer_stats": ["lines", "races"],
     "f004_jockey_stats": ["lines", "races"],
-    "f005_class_features": ["lines", "races", "horse_history"],
-    "f006_race_context": ["lines", "races", "horse_history"],
-    "f007_collateral_form": ["lines", "races", "horse_history"],
-    "f008_runner_profile": ["lines", "races", "horse_history"],
     "f009_speed_and_changes": ["lines", "races", "runners", "results", "horse_history", "trainer_history", "jockey_history"],
 }
 QUERIES = {name: _query(name, make) for name, make in features.GROUPS.items()} | {"feature_store": _query("feature_store", features.feature_store)}

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from furlong.functions.text import normalise_course
 from furlong.operators import pit
 from furlong.operators.quality import is_no_race
-from furlong.operators.tables import stored
+from furlong.operators.tables import by_size, stored, stored_together
 
 # Going descriptions of one kind, non-completion codes, all-weather surfaces.
 GOING_GROUPS = {
@@ -354,22 +354,27 @@ def speed_and_changes(r) -> DataFrame:
     usual = timed.groupBy(F.col("going_code").alias("h_going_code"), F.round("distance_furlongs").alias("whole")).agg(F.median(pace).alias("usual"), F.count("*").alias("n")).where("n >= 20").drop("n")
     prior = pit.prior_runs(base, past, how="inner", ties=("history_id", "timed_runner"))
     own = F.when(F.col("h_distance_furlongs") > 0, F.col("h_official_time_secs") / F.col("h_distance_furlongs"))
-    figures = prior.where("rn <= 10").withColumn("whole", F.round("h_distance_furlongs")).join(F.broadcast(usual), ["h_going_code", "whole"])  # goings x whole furlongs
     figure, rn = (F.col("usual") - own) * 100, F.col("rn")
-    speed = figures.groupBy("horse_id", "runner_id").agg(avg_if(rn <= 3, figure).alias("avg_speed_last_3"), F.max(F.when(rn <= 5, figure)).alias("best_speed_last_5"), F.max(F.when(rn == 1, figure)).alias("last_run_speed"))
-    last = prior.where("rn = 1").groupBy("horse_id", "runner_id").agg(
-        F.max(F.col("distance_furlongs") - F.col("h_distance_furlongs")).alias("trip_change_furlongs"),
-        F.max(F.col("weight_lbs") - F.col("h_weight_lbs")).alias("weight_change_lbs"),
-        F.max(F.coalesce("h_btn_lengths", F.lit(0.0))).alias("last_run_btn_lengths"),
-        F.avg("h_btn_lengths").alias("avg_btn_last_3"),
-    )
+    ride = F.when((rn <= 5) & F.col("h_jockey_id").isNotNull(), F.struct(F.col("h_jockey_id").alias("jockey"), F.col("h_scheduled_off_utc").alias("off")))
+    recent = prior.where("rn <= 10").withColumn("whole", F.round("h_distance_furlongs")).join(by_size(stored(usual, "usual-paces")), ["h_going_code", "whole"], "left")
+    of_horse = recent.groupBy("horse_id", "runner_id").agg(
+        avg_if(rn <= 3, figure).alias("avg_speed_last_3"),
+        F.max(F.when(rn <= 5, figure)).alias("best_speed_last_5"),
+        F.max(F.when(rn == 1, figure)).alias("last_run_speed"),
+        F.max(F.when(rn == 1, F.col("distance_furlongs") - F.col("h_distance_furlongs"))).alias("trip_change_furlongs"),
+        F.max(F.when(rn == 1, F.col("weight_lbs") - F.col("h_weight_lbs"))).alias("weight_change_lbs"),
+        F.max(F.when(rn == 1, F.coalesce("h_btn_lengths", F.lit(0.0)))).alias("last_run_btn_lengths"),
+        avg_if(rn == 1, F.col("h_btn_lengths")).alias("avg_btn_last_3"),
+        F.collect_list(ride).alias("rides"),  # five at most
+    ).drop("horse_id")
+    of_horse = stored(of_horse, "last-runs")
     rides = r.jockey_history.select(F.col("jockey_id").alias("jockey"), F.col("scheduled_off_utc").alias("t"), "won")
     now = pit.with_rates(base.withColumn("jockey", F.col("jockey_id")), rides, ["jockey"], {"jockey90": 90}).select("runner_id", "jockey90_rate")
-    then = _usual_jockeys(prior.where("rn <= 5 and h_jockey_id is not null").select("runner_id", F.col("h_jockey_id").alias("jockey"), F.col("h_scheduled_off_utc").alias("off")), rides)
+    then = _usual_jockeys(of_horse.select("runner_id", F.inline("rides")), rides)
     runs = r.trainer_history.select(name_or_unknown("trainer_name").alias("trainer"), F.col("scheduled_off_utc").alias("t"), "won")
     lately = pit.with_rates(base.withColumn("trainer", name_or_unknown("trainer_name")), runs, ["trainer"], {"d14": 14}).select("runner_id", "d14_rate", "d14_runs")
     out = base
-    for part in (last.drop("horse_id"), speed.drop("horse_id"), now, then, lately):
+    for part in (of_horse.drop("rides"), now, then, lately):
         out = out.join(part, "runner_id", "left")
     return out.select(
         "runner_id",
@@ -433,17 +438,17 @@ def feature_store(r) -> DataFrame:
     """
     r.store()
     form = stored(horse_form(r), "f001_horse_form")
-    groups = {name: stored(make(r), name) for name, make in GROUPS.items() if name not in ("f001_horse_form", "f005_class_features")}
+    groups = stored_together({name: lambda make=make: make(r) for name, make in GROUPS.items() if name not in ("f001_horse_form", "f005_class_features")})
     groups |= {"f001_horse_form": form.drop("horse_class_delta"), "f005_class_features": class_features(r, form)}
     wide = runners_with_races(r).where(~F.coalesce(is_no_race(), F.lit(False))).join(r.results.select("runner_id", F.col("won").alias("target")), "runner_id")
     wide = wide.select("runner_id", "race_id", "race_date", "decision_cutoff_utc", "target", "sex", "surface", "race_type", parsed_distance().alias("parsed"))
-    for name in sorted(groups):
-        wide = wide.join(groups[name].drop(*NOT_STORED, "distance_furlongs"), "runner_id", "left")
-    wide = stored(wide, "wide")
     known = wide.where("parsed is not null").select("surface", "race_type", "parsed")
     by_kind = known.groupBy(F.coalesce("surface", F.lit("")).alias("_surface"), F.coalesce("race_type", F.lit("")).alias("_type")).agg(F.median("parsed").alias("_kind"))
+    by_kind = by_size(stored(by_kind, "usual-distances"))
     overall = known.agg(F.median("parsed").alias("_all"))
-    out = wide.join(F.broadcast(by_kind), (F.coalesce("surface", F.lit("")) == F.col("_surface")) & (F.coalesce("race_type", F.lit("")) == F.col("_type")), "left").crossJoin(F.broadcast(overall))
+    out = wide.join(by_kind, (F.coalesce("surface", F.lit("")) == F.col("_surface")) & (F.coalesce("race_type", F.lit("")) == F.col("_type")), "left").crossJoin(F.broadcast(overall))  # one row
+    for name in sorted(groups):
+        out = out.join(groups[name].drop(*NOT_STORED, "distance_furlongs"), "runner_id", "left")
     codes = F.create_map(*[F.lit(x) for kv in SEX_CODES.items() for x in kv])
     return (
         out.withColumn("distance_furlongs", F.least(F.coalesce("parsed", "_kind", "_all"), F.lit(MAX_FURLONGS)))
