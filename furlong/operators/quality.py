@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 # Limits by era of the share of runners without a trainer or jockey (in percent), and of
@@ -71,35 +72,78 @@ def between_days(df: DataFrame, day: str, since: str | None = None, until: str |
 
 
 def all_checks(r, odds: DataFrame, since: str | None = None, until: str | None = None, limits: dict | None = None) -> DataFrame:
-    """The twelve checks over the racing tables; the rates and coverage are those of the standard races of a range of days."""
+    """The twelve checks over the racing tables; the rates and coverage are those of the standard races of a range of days.
+
+    Races, runners, results and history are summed by race and meet in one shuffle by race, where the
+    checks are windows over a race's few rows; runners and results meet once more by runner.
+    """
     races, runners, results = r.races, r.runners, r.results
     limit = (limits or ERAS)[era_of(since, until)]
-    keys = races.select(F.col("race_id").cast("string").alias("k")).unionByName(runners.select(F.col("runner_id").alias("k"))).unionByName(results.select(F.col("runner_id").alias("k")))
-    times = races.select(F.col("scheduled_off_utc").alias("t")).unionByName(races.select(F.col("decision_cutoff_utc").alias("t")))
-    sizes = runners.groupBy("race_id").agg(F.count("*").alias("n"))
-    standard = between_days(with_standard_flag(races).where("is_standard_race"), "race_date", since, until)
-    fields = runners.join(standard.select("race_id"), "race_id").select("race_id", blank("trainer_name").alias("no_trainer"), blank("jockey_name").alias("no_jockey"))
-    checks = [
-        failures(keys.where("k is null or k = ''"), "no_missing_keys"),
-        failures(times.where(F.coalesce(~F.year("t").between(2010, 2030), F.lit(True))), "timestamp_range"),
-        failures(results.join(races, "race_id", "left_anti"), "referential_integrity"),
-        failures(results.join(runners, "runner_id", "left_anti"), "runner_integrity"),
-        failures(results.where("won").groupBy("race_id").count().where("count > 2"), "single_winner"),
-        failures(races.join(runners, "race_id", "left_anti"), "races_have_runners"),
-        failures(odds.where("decimal_odds <= 1.01 or decimal_odds > 1000 or decimal_odds is null"), "odds_range"),
-        failures(races.join(sizes, "race_id").where("field_size <> n"), "field_size_consistency"),
-        failures(races.groupBy("race_id").count().where("count > 1"), "no_duplicate_races"),
-        failures(r.horse_history.select("race_id", F.col("scheduled_off_utc").alias("t")).join(races, "race_id").where("t <> scheduled_off_utc"), "history_timestamps"),
-        missing_names(fields, limit),
-        failures(fields.groupBy("race_id").agg(F.count_if(~(F.col("no_trainer") & F.col("no_jockey"))).alias("named")).where("named = 0"), "zero_coverage_races", limit=int(limit["zero_coverage"])),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+    since_until = F.lit(True)
+    for bound in ([] if since is None else [F.col("race_date") >= F.lit(since).cast("date")]) + ([] if until is None else [F.col("race_date") <= F.lit(until).cast("date")]):
+        since_until = since_until & bound
+    bad_time = lambda c: F.coalesce(~F.year(c).between(2010, 2030), F.lit(True)).cast("long")
+    # Every table is summed by race before the shuffle; a race that is there twice, or runs at two times, is few rows.
+    one_race = with_standard_flag(races).groupBy("race_id", F.col("scheduled_off_utc").alias("t"), "field_size", (F.col("is_standard_race") & since_until).alias("standard")).agg(
+        F.count("*").alias("races"), F.sum(bad_time("scheduled_off_utc") + bad_time("decision_cutoff_utc")).alias("bad_times")
+    )
+    no_trainer, no_jockey = blank("trainer_name"), blank("jockey_name")
+    fields = runners.groupBy("race_id").agg(
+        F.count("*").alias("runners"), F.count_if(no_trainer).alias("no_trainer"), F.count_if(no_jockey).alias("no_jockey"), F.count_if(~(no_trainer & no_jockey)).alias("named"), F.count_if(no_key("runner_id")).alias("bad_keys")
+    )
+    placed = results.groupBy("race_id").agg(F.count("*").alias("results"), F.count_if("won").alias("winners"), F.count_if(no_key("runner_id")).alias("bad_keys"))
+    ran = r.horse_history.groupBy("race_id", F.col("scheduled_off_utc").alias("t")).agg(F.count("scheduled_off_utc").alias("ran"))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one_race, fields, placed, ran])
+    race, then = Window.partitionBy("race_id"), Window.partitionBy("race_id", "t")
+    total = lambda c, over=race: F.coalesce(F.sum(c).over(over), F.lit(0))
+    seen = rows.withColumns({f"all_{c}": total(c) for c in ("races", "runners", "results", "winners", "ran")} | {"ran_then": total("ran", then), "of_standard": total(F.when(F.col("standard"), F.col("races")))})
+    known, first = F.col("race_id").isNotNull(), F.col("races").isNotNull()
+    counts = {
+        "no_missing_keys": F.when(no_key("race_id") & first, F.col("races")).otherwise(0) + F.coalesce("bad_keys", F.lit(0)),
+        "timestamp_range": F.col("bad_times"),
+        "referential_integrity": F.when(~known | (F.col("all_races") == 0), F.col("results")),
+        "single_winner": (F.col("winners") > 2).cast("long"),
+        "races_have_runners": F.when(~known | (F.col("all_runners") == 0), F.col("races")),
+        "field_size_consistency": F.when(known & (F.col("all_runners") > 0) & (F.col("field_size") != F.col("all_runners")), F.col("races")),
+        # A race's rows stand together; the first of them counts for all.
+        "no_duplicate_races": F.when(first & (F.col("all_races") > 1), 1 / F.count("races").over(race)),
+        "history_timestamps": F.when(known & F.col("t").isNotNull(), F.col("races") * (F.col("all_ran") - F.col("ran_then"))),
+        "n": F.when(known, F.col("runners") * F.col("of_standard")),
+        "t": F.when(known, F.col("no_trainer") * F.col("of_standard")),
+        "j": F.when(known, F.col("no_jockey") * F.col("of_standard")),
+        "zero_coverage_races": (known & (F.col("named") == 0) & (F.col("of_standard") > 0)).cast("long"),
+    }
+    sums = seen.select(*[v.alias(c) for c, v in counts.items()]).agg(*[F.coalesce(F.round(F.sum(c)).cast("long"), F.lit(0).cast("long")).alias(c) for c in counts])
+    of_runner = results.groupBy("runner_id").agg(F.count("*").alias("results")).unionByName(runners.groupBy("runner_id").agg(F.count("*").alias("runners")), allowMissingColumns=True)
+    orphans = of_runner.groupBy("runner_id").agg(F.sum("results").alias("results"), F.sum("runners").alias("runners")).agg(F.sum(F.when(F.col("runner_id").isNull() | F.col("runners").isNull(), F.col("results"))).alias("runner_integrity"))
+    prices = odds.agg(F.count_if((F.col("decimal_odds") <= 1.01) | (F.col("decimal_odds") > 1000) | F.col("decimal_odds").isNull()).alias("odds_range"))
+    one = sums.crossJoin(F.broadcast(orphans)).crossJoin(F.broadcast(prices))  # one row each
+    most = {"zero_coverage_races": int(limit["zero_coverage"])}
+    plain = [c for c in counts if len(c) > 1] + ["runner_integrity", "odds_range"]
+    checks = [_check(c, F.coalesce(c, F.lit(0)), most.get(c, 0)) for c in plain]
+    checks.append(_check("trainer_jockey_missing_rate", F.when(names_known(limit), 0).otherwise(F.col("t") + F.col("j"))))
+    return one.select(F.inline(F.array(*checks)))
+
+
+def no_key(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string") == "", F.lit(True))
+
+
+def _check(name: str, failed: Column, limit: int = 0) -> Column:
+    most = F.lit(limit).cast("long")
+    return F.struct(F.lit(name).alias("check"), failed.cast("long").alias("failures"), most.alias("max_failures"), (failed <= most).alias("passed"))
+
+
+def names_known(limit: dict[str, float]) -> Column:
+    """Whether the shares of ``n`` runners without a trainer (``t``) and a jockey (``j``) are within their limits."""
+    shares = {who: F.coalesce(F.try_divide(F.col(c) * 100.0, "n"), F.lit(0.0)) for who, c in (("trainer", "t"), ("jockey", "j"))}
+    return (shares["trainer"] <= limit["trainer"]) & (shares["jockey"] <= limit["jockey"])
 
 
 def missing_names(fields: DataFrame, limit: dict[str, float]) -> DataFrame:
     """The check of runners without a trainer or jockey: fails with the number of both if either share is over its limit."""
     counted = fields.agg(F.count("*").alias("n"), F.count_if("no_trainer").alias("t"), F.count_if("no_jockey").alias("j"))
-    passed = (F.coalesce(F.try_divide(F.col("t") * 100.0, "n"), F.lit(0.0)) <= limit["trainer"]) & (F.coalesce(F.try_divide(F.col("j") * 100.0, "n"), F.lit(0.0)) <= limit["jockey"])
+    passed = names_known(limit)
     return counted.select(F.lit("trainer_jockey_missing_rate").alias("check"), F.when(passed, 0).otherwise(F.col("t") + F.col("j")).alias("failures"), F.lit(0).cast("long").alias("max_failures"), passed.alias("passed"))
 
 
