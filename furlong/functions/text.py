@@ -110,11 +110,17 @@ def normalise_course(x: str | Column) -> Column:
     Surfaces, brackets, days and months don't count. A name that has no known spelling is told by its
     first word, or else is its own lower-case text.
     """
+    token, plain, first = course_keys(x)
+    event = F.coalesce(lookup(VENUE_TOKENS, token), lookup(COURSE_ALIASES, token), token)
+    return F.coalesce(event, lookup(COURSE_ALIASES, plain), lookup(COURSE_ALIASES, first), plain)
+
+
+def course_keys(x: str | Column) -> tuple[Column, Column, Column]:
+    """What a course's text is looked up by: the venue token of an exchange event, the plain name, its first word."""
     raw = F.trim(_col(x))
     token = F.nullif(F.regexp_extract(F.lower(raw), EVENT, 1), F.lit(""))
     plain = F.trim(F.regexp_replace(without(F.lower(raw), NOT_OF_A_COURSE), r"\s+", " "))
-    event = F.coalesce(lookup(VENUE_TOKENS, token), lookup(COURSE_ALIASES, token), token)
-    return F.coalesce(event, lookup(COURSE_ALIASES, plain), lookup(COURSE_ALIASES, F.split_part(plain, F.lit(" "), F.lit(1))), plain)
+    return token, plain, F.split_part(plain, F.lit(" "), F.lit(1))
 
 
 def to_int(x: str | Column) -> Column:

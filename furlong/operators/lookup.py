@@ -7,6 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furlong.functions import text
+
+#: Spellings up to which their table is broadcast; it is settings, not data.
+MOST_SPELLINGS = 100_000
+
+
+def spellings_from(path: str) -> dict[str, str]:
+    """Spelling to course of a settings file (YAML), spellings in lower case; empty entries don't count."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f) or {}
+    return {str(k).strip().lower(): str(v).strip() for k, v in found.items() if k is not None and v is not None}
+
+
+def with_course(df: DataFrame, column: str, to: str, spellings: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with ``to``, the course that ``column`` names, as ``text.normalise_course`` tells it.
+
+    ``spellings`` come before the known ones. All are one broadcast table, so a row costs hash lookups
+    and no shuffle. An old column ``to`` is replaced; null stays null.
+    """
+    own = spellings or {}
+    events = text.COURSE_ALIASES | text.VENUE_TOKENS | own
+    known = [("event", k, v) for k, v in events.items()] + [("name", k, v) for k, v in (text.COURSE_ALIASES | own).items()]
+    if len(known) > MOST_SPELLINGS:
+        raise ValueError(f"{len(known)} spellings, more than {MOST_SPELLINGS}")
+    table = F.broadcast(df.sparkSession.createDataFrame(known, "kind string, key string, course string"))
+    token, plain, first = text.course_keys(F.col(f"row.`{column}`"))
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).withColumns({"token": token, "plain": plain, "first": first})
+    for key, kind in (("token", "event"), ("plain", "name"), ("first", "name")):
+        side = table.where(F.col("kind") == kind).select(F.col("key").alias(f"{key}_key"), F.col("course").alias(f"{key}_course"))
+        out = out.join(side, F.col(key) == F.col(f"{key}_key"), "left")
+    course = F.coalesce("token_course", "token", "plain_course", "first_course", "plain")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns if c != to], course.alias(to))
+
 
 def _record(df: DataFrame, *extra) -> DataFrame:
     runs = df.where("won is not null").agg(F.count("*").alias("runs"), F.count_if("won").alias("wins"), *extra)

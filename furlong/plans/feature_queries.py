@@ -265,3 +265,11 @@ ORACLES["feature_store"] = _oracle(
     [c for k, v in DOUBLES.items() for c in v if c not in ("distance_furlongs", "horse_class_delta") or (k, c) == ("f005", "horse_class_delta")] + ["distance_furlongs"],
     [c for v in LONGS.values() for c in v if c not in ("trainer_is_unknown", "jockey_is_unknown", "is_first_time_headgear")] + ["sex_encoded", "is_female"],
 )
+#: Rows of each group whose latest input is after the cutoff; the last row is of a group that looks a day too far.
+LEAKS = _oracle(
+    [FORM, F002, F003, F004, F005, F006, F007, F008, F009],
+    " UNION ALL ".join(f"SELECT '{name}' AS feature, count(*) FILTER (WHERE event_timestamp_utc > decision_cutoff_utc) AS leaks FROM {name[:4]}" for name in features.GROUPS)
+    + " UNION ALL SELECT 'planted', count(*) FROM runners u JOIN races a USING (race_id) WHERE EXISTS (FROM horse_history h WHERE h.horse_id = u.horse_id AND h.scheduled_off_utc > a.decision_cutoff_utc AND h.scheduled_off_utc < a.decision_cutoff_utc + INTERVAL 1 DAY)",
+    [],
+    ["leaks"],
+)

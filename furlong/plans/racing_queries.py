@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from furlong.functions import text
 from furlong.operators import dml, lookup, match, pit, quality, scoring, settle, tables
 from furlong.plans import features
-from furlong.plans.feature_queries import NO_RACE, comparable
+from furlong.plans.feature_queries import LEAKS, NO_RACE, comparable
 from furlong.sources import files, readers
 from furlong.sources.analogue import CTES, racing
 from furlong.streaming import snapshots
@@ -457,6 +457,14 @@ def j19_x05_price_moves(r):
     return settle.price_moves(r.odds)
 
 
+@register("""SELECT e.runner_id, e.snapshot_id AS evening_id, m.snapshot_id AS snapshot_id, round(e.decimal_odds, 6) AS evening_odds, round(m.decimal_odds, 6) AS morning_odds FROM odds e JOIN odds m USING (runner_id)
+  WHERE e.snapshot_label = 'evening_21h' AND m.snapshot_label = 'morning_09h' AND m.snapshot_timestamp_utc > e.snapshot_timestamp_utc AND m.snapshot_timestamp_utc <= e.snapshot_timestamp_utc + INTERVAL 16 HOUR
+    AND abs(m.decimal_odds - e.decimal_odds) / e.decimal_odds > 0.2""")
+def x05_morning_moves(r):
+    """The join of evening and morning prices that the stream of snapshots makes, over the whole table at once."""
+    return snapshots.morning_moves(r.odds)
+
+
 # --- matching ------------------------------------------------------------------------------------------
 
 
@@ -585,14 +593,25 @@ def s11_aliased_columns(r):
     return readers.aliased(rows, {k: readers.ALIASES[k] for k in ("race_date", "course", "horse")})
 
 
-@register("""SELECT 'bfsp_1.' || o_orderkey || '_win' AS race_id, count(*) AS field_size FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""", raw=True)
+@register("""WITH sp AS (SELECT 'bfsp_1.' || o_orderkey || '_win' AS race_id, 'horse_' || l_partkey AS horse_id, 'Horse ' || l_partkey AS horse_name, CAST(o_orderdate AS TIMESTAMP) AS off, l_linenumber % 3 = 0 AS won, CAST(l_quantity AS DOUBLE) AS sp FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT 'races' AS kind, race_id AS id, race_id, NULL AS horse_id, '2m Hcap' AS name, 'Newmarket' AS course, max(off) AS off, date_trunc('day', max(off)) - INTERVAL 3 HOUR AS cutoff, NULL AS won, NULL AS sp, count(*) AS field_size FROM sp GROUP BY race_id
+UNION ALL SELECT 'runners', race_id || '_' || horse_id, race_id, horse_id, horse_name, NULL, NULL, NULL, NULL, NULL, NULL FROM sp
+UNION ALL SELECT 'results', race_id || '_' || horse_id || '_res', race_id, horse_id, race_id || '_' || horse_id, NULL, NULL, NULL, won, sp, NULL FROM sp
+UNION ALL SELECT 'horse_history', race_id || '_' || horse_id || '_hist', race_id, horse_id, horse_name, NULL, off, NULL, won, NULL, NULL FROM sp""", raw=True)
 def s02_s03_starting_price_rows(r):
-    """Starting-price rows made of the lines, split into records; the field's size is the rows of the race."""
+    """Starting-price rows made of the lines, split into the records of four tables; the field's size is the rows of the race."""
     rows = r.table("lineitem").join(r.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderkey").cast("string").alias("event_id"), F.lit("GB / Newm 3rd Apr").alias("menu_hint"), F.lit("2m Hcap").alias("event_name"), F.date_format("o_orderdate", "dd-MM-yyyy HH:mm").alias("event_dt"),
-        F.col("l_linenumber").cast("string").alias("selection_id"), F.concat(F.lit("Horse "), F.col("l_partkey")).alias("selection_name"), F.lit("1").alias("win_lose"), F.col("l_quantity").cast("string").alias("bsp"),
+        F.col("l_linenumber").cast("string").alias("selection_id"), F.concat(F.lit("Horse "), F.col("l_partkey")).alias("selection_name"), F.when(F.col("l_linenumber") % 3 == 0, "1").otherwise("0").alias("win_lose"), F.col("l_quantity").cast("string").alias("bsp"),
     )
-    return readers.sp_records(rows)["races"].select("race_id", "field_size")
+    columns = {
+        "races": {"id": "race_id", "name": "race_type", "course": "course_name", "off": "scheduled_off_utc", "cutoff": "decision_cutoff_utc", "field_size": "field_size"},
+        "runners": {"id": "runner_id", "horse_id": "horse_id", "name": "horse_name"},
+        "results": {"id": "result_id", "horse_id": "horse_id", "name": "runner_id", "won": "won", "sp": "sp_decimal"},
+        "horse_history": {"id": "history_id", "horse_id": "horse_id", "name": "horse_name", "off": "scheduled_off_utc", "won": "won"},
+    }
+    records = readers.sp_records(rows)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [records[kind].select(F.lit(kind).alias("kind"), "race_id", *[F.col(c).alias(to) for to, c in named.items()]) for kind, named in columns.items()])
 
 
 # --- quality, lookups, streams -------------------------------------------------------------------------------
@@ -644,9 +663,19 @@ def q01_q12_checks_find_faults(r):
     return quality.all_checks(faulty, r.odds, limits={era: quality.ERAS["from_2019"] for era in quality.ERAS})
 
 
-@register("SELECT 'f005' AS feature, 0 AS leaks UNION ALL SELECT 'f007', 0 UNION ALL SELECT 'f008', 0")
 def q15_leakage_guard(r):
-    return quality.leaks({"f005": features.class_features(r), "f007": features.collateral_form(r), "f008": features.runner_profile(r)})
+    """All nine groups, and one with a planted leak: the form of a horse up to a day after the cutoff."""
+    from types import SimpleNamespace
+
+    r.store()
+    day = F.expr("INTERVAL '1' DAY")
+    late = SimpleNamespace(races=r.races.withColumn("decision_cutoff_utc", F.col("decision_cutoff_utc") + day), runners=r.runners, horse_history=r.horse_history)
+    planted = features.horse_form(late).withColumn("decision_cutoff_utc", F.col("decision_cutoff_utc") - day)
+    return quality.leaks({name: make(r) for name, make in features.GROUPS.items()} | {"planted": planted})
+
+
+register()(q15_leakage_guard)
+ORACLES["q15_leakage_guard"] = LEAKS
 
 
 @register("""SELECT history_id, race_date, course_id, going_code, distance_furlongs, finishing_position, won, finishing_position IS NULL AS result_missing FROM horse_history WHERE horse_id = 7 ORDER BY race_date DESC, history_id LIMIT 10""")
@@ -756,6 +785,14 @@ def o04_leak_sample(r):
     return r.races.where("scheduled_off_utc > decision_cutoff_utc + INTERVAL '21' HOUR").select("race_id", "scheduled_off_utc").orderBy("race_id").limit(5)
 
 
+@register("""SELECT race_id, ['Newmarket', 'Leopardstown', 'The Flat', 'Wolverhampton', 'Epsom', 'some field', 'Galway Races', NULL][race_id % 8 + 1] AS course FROM races""")
+def s21_course_spellings(r):
+    """Courses told by a table of spellings, two of which a settings file adds or replaces."""
+    names = ["GB / Newm 3rd Apr", "IRE / Leop 5th May", "FR / Wexx 1st Jan", "Wolverhampton Polytrack", "Epsom Downs", "Some  Field 12 Jun", "galway", None]
+    rows = r.races.select("race_id", F.element_at(F.array(*map(F.lit, names)), (F.col("race_id") % len(names) + 1).cast("int")).alias("course_name"))
+    return lookup.with_course(rows, "course_name", "course", {"wexx": "The Flat", "galway": "Galway Races"}).select("race_id", "course")
+
+
 @register("""SELECT race_id, CASE WHEN race_id % 2 = 0 THEN 'Market Rasen' ELSE 'Bath' END AS venue, CASE WHEN race_id % 2 = 0 THEN 'Market' ELSE 'Bath' END AS word FROM races""")
 def f36_f44_venues(r):
     """A course's name without its meeting's day, and its first word."""

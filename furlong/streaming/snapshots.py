@@ -79,6 +79,23 @@ def moves(snapshots: DataFrame, limit: float = 0.20, late: str = "1 day") -> Dat
     return timed.groupBy("runner_id").applyInPandasWithState(step, schema, "evening double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def morning_moves(snapshots: DataFrame, limit: float = 0.20, late: str = "1 day", apart: str = "16 hours") -> DataFrame:
+    """Each pair of an evening price and a morning price of the same runner, at most ``apart`` later, that differ by more than ``limit``.
+
+    A join of two streams: the watermarks and the bound on time tell when a price can meet no further
+    one and leaves the state. Rows may come in any order within ``late``. An evening price of 0 or null gives no pair.
+    """
+    timed = snapshots.withWatermark("snapshot_timestamp_utc", late)
+    side = lambda label, name: timed.where(F.col("snapshot_label") == label).select(
+        F.col("runner_id").alias(f"{name}_runner"), F.col("snapshot_id").alias(f"{name}_id"), F.col("snapshot_timestamp_utc").alias(f"{name}_ts"), F.col("decimal_odds").alias(f"{name}_odds")
+    )
+    evening, morning = side("evening_21h", "evening"), side("morning_09h", "morning")
+    soon = (F.col("morning_ts") > F.col("evening_ts")) & (F.col("morning_ts") <= F.col("evening_ts") + F.expr(f"INTERVAL {apart}"))
+    pairs = evening.join(morning, (F.col("evening_runner") == F.col("morning_runner")) & soon)
+    moved = F.abs(F.try_divide(F.col("morning_odds") - F.col("evening_odds"), F.col("evening_odds"))) > limit
+    return pairs.where(moved).select(F.col("evening_runner").alias("runner_id"), "evening_id", F.col("morning_id").alias("snapshot_id"), "evening_odds", "morning_odds")
+
+
 def append(stream: DataFrame, folder: str, checkpoint: str) -> None:
     """Write what is there and stop; a later call goes on from the checkpoint."""
     stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

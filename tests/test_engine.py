@@ -258,6 +258,62 @@ def test_stream_alerts(spark, tmp_path):
     assert [(r["runner_id"], r["evening_odds"], r["morning_odds"]) for r in rows(spark.table("alerts"))] == [(7, 4.0, 5.0)]
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 1, 0, 2), (2, 3, 1, 0)])
+def test_stream_join_in_any_order(spark, tmp_path, order):
+    t = at("2024-01-01T21:00:00")
+    parts = [
+        [(1, 7, t, "evening_21h", 4.0), (2, 8, t, "evening_21h", 4.0), (3, 9, t, "evening_21h", 0.0)],
+        [(4, 7, t + dt.timedelta(hours=12), "morning_09h", 5.0), (5, 8, t + dt.timedelta(hours=12), "morning_09h", 4.2), (6, 9, t + dt.timedelta(hours=12), "morning_09h", 4.2)],
+        [(7, 7, t + dt.timedelta(minutes=5), "evening_21h", 10.0), (8, 7, t + dt.timedelta(hours=16), "morning_09h", 2.0)],
+        [(9, 7, t + dt.timedelta(hours=16, seconds=1), "morning_09h", 2.0), (10, None, t, "evening_21h", 1.0), (11, 7, t + dt.timedelta(hours=1), "near_off", 90.0), (12, 7, t, "morning_09h", 90.0)],
+    ]
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for i in order:
+        spark.createDataFrame(parts[i], snapshots.SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        snapshots.append(snapshots.morning_moves(snapshots.read(spark, source, files_a_batch=1)), out, state)
+    got = {(r["evening_id"], r["snapshot_id"]) for r in rows(spark.read.parquet(out))}
+    assert got == {(1, 4), (1, 8), (7, 4), (7, 8), (7, 9)}
+    assert got == {(r["evening_id"], r["snapshot_id"]) for r in rows(snapshots.morning_moves(spark.read.parquet(source)))}
+
+
+def test_course_spellings(spark, tmp_path):
+    path = tmp_path / "courses.yaml"
+    path.write_text("Galway: Ballybrit\nYork:\nwexx: The Flat\n")
+    own = lookup.spellings_from(str(path))
+    assert own == {"galway": "Ballybrit", "wexx": "The Flat"}
+    names = ["GB / Newm 3rd Apr", "FR / Wexx 1st Jan", "galway (AW)", "Wolverhampton Polytrack", "Nowhere 12th Jun", "fr / abcd 1st", "", None]
+    df = spark.createDataFrame([(n, "old", 1, n) for n in names], "name string, course string, row int, token string")
+    plain = {r["name"]: r["course"] for r in rows(lookup.with_course(df, "name", "course"))}
+    assert plain == {r["name"]: r["c"] for r in rows(df.select("name", text.normalise_course("name").alias("c")))}
+    edited = lookup.with_course(df, "name", "course", own)
+    assert {r["name"]: r["course"] for r in rows(edited)} == plain | {"FR / Wexx 1st Jan": "The Flat", "galway (AW)": "Ballybrit"}
+    assert sorted(edited.columns) == sorted(df.columns) and "Exchange hashpartitioning" not in edited._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="spellings"):
+        lookup.with_course(df, "name", "course", {str(i): "x" for i in range(lookup.MOST_SPELLINGS)})
+
+
+def test_checks_scan_little(spark):
+    r = racing(spark, DATA)
+    r.store()
+    plan = quality.all_checks(r, r.odds)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 8
+
+
+def test_checks_of_null_keys(spark):
+    from types import SimpleNamespace
+
+    r = racing(spark, DATA)
+    none = F.when(F.col("race_id") % 5 != 0, F.col("race_id")).alias("race_id")
+    nulled = {t: getattr(r, t).withColumn("race_id", none) for t in ("races", "runners", "results", "horse_history")}
+    got = {c["check"]: c["failures"] for c in rows(quality.all_checks(SimpleNamespace(**nulled), r.odds))}
+    fifth = r.races.where("race_id % 5 = 0").count()
+    empty_field = r.races.where("race_id % 5 <> 0").join(r.runners, "race_id", "left_anti").count()
+    assert got["no_missing_keys"] == fifth and got["races_have_runners"] == fifth + empty_field and got["no_duplicate_races"] == 1
+    assert got["referential_integrity"] == r.results.where("race_id % 5 = 0").count() and got["runner_integrity"] == 0
+    empty = SimpleNamespace(**{t: df.limit(0) for t, df in nulled.items()})
+    assert {c["failures"] for c in rows(quality.all_checks(empty, r.odds.limit(0)))} == {0}
+
+
 def test_sessions(spark):
     t = at("2024-01-01T10:00:00")
     data = [(i, 1, t + dt.timedelta(minutes=m), "near_off", 2.0) for i, m in enumerate((0, 10, 70, 75))]
