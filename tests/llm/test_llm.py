@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -21,7 +22,7 @@ from tokenizers.models import Unigram
 import __spark_entry__ as entry
 import corpus_pipeline
 from furlong.llm import decontaminate, language_id, line_dedup, neardup, packing, quality, records, token_counts, toxicity, warc
-from furlong.llm.shared import new_folder
+from furlong.llm.shared import filesystem, new_folder
 from furlong.llm.tokenize import ChunkEncoder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -154,6 +155,56 @@ def test_warc_round_trip(spark):
     assert warc.write_and_read(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def payload_rows(pages):
+    """What archives of (page_id, html) must hold, by brute force."""
+    first = {}
+    for i, html in pages:
+        if i is not None:
+            first[html or ""] = min(first.get(html or "", i), i)
+    same = Counter(html or "" for _, html in pages)
+    out = Counter()
+    for i, html in pages:
+        payload, one = (html or "").encode(), first.get(html or "")
+        again = same[html or ""] > 1 and i != one
+        out[i, len(payload), warc.digest(payload), "revisit" if again else "response", one if again else None] += 1
+    return out
+
+
+def test_warc_query_is_brute_force(spark):
+    pages = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    got = Counter(tuple(r.values()) for r in rows(warc.write_and_read(spark.read.parquet(f"{DATA}/pages.parquet"))))
+    assert got == payload_rows(pages)
+
+
+def test_warc_archives_have_dictionaries_of_their_own(spark):
+    pages = spark.range(3_000).coalesce(1).selectExpr("id AS page_id", "'u' AS url", "concat(repeat(sha1(string(id div 1000)), 20), string(id)) AS html")
+    folder = new_folder(spark, "warc-test")
+    manifest = rows(warc.write(pages, folder, archive_bytes=400_000))
+    assert len(manifest) > 5 and sum(r["records"] for r in manifest) == 3_000
+    fs, path = filesystem(folder)
+    heads = set()
+    for r in manifest:
+        with fs.open_input_stream(f"{path}/{r['archive']}", compression=None) as stream:
+            magic, size = struct.unpack("<II", stream.read(8))
+            heads.add(stream.read(size))
+            assert magic == warc.SKIPPABLE and size <= 65_536
+    assert len(heads) == len(manifest)
+    got = Counter(tuple(r.values()) for r in rows(warc.read(spark, folder)))
+    assert got == payload_rows([(r["page_id"], r["html"]) for r in pages.collect()])
+
+
+def test_warc_deals_hot_payloads(spark):
+    pages = spark.range(100_000).selectExpr("id AS page_id", "'u' AS url", "CASE WHEN id % 10 < 7 THEN NULL ELSE string(id div 20) END AS html")
+    copied = spark.createDataFrame(pages.groupBy(F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("_copied")).agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").collect())
+    hashed = pages.withColumn("_sha1", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+    each = ["page_id", "first", "has_copies"]
+    plain = warc.with_first(hashed, copied).select(each)
+    dealt = warc.with_first(hashed, copied, most_sent=10, hot=1_000)
+    assert dealt.select(each).exceptAll(plain).count() == 0 and dealt.count() == 100_000
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * 100_000 / len(sizes) + 1_000
+
+
 # --- language ----------------------------------------------------------------------------------
 
 
