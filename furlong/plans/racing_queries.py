@@ -370,6 +370,22 @@ def m03_isotonic_calibration(r):
     return scoring.renormalise(done, "calibrated", "race_id", "final").select("runner_id", "prob", "calibrated", "final")
 
 
+@register(SCORES + """, fit AS (SELECT round(prob, 3) AS x, sum(CAST(won AS INTEGER)) AS s, count(*) AS n FROM probs WHERE race_date < DATE '1999-01-01' GROUP BY 1),
+summed AS (SELECT x, s, n, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS cs, sum(n) OVER (ORDER BY x) AS cn FROM fit),
+spans AS (SELECT a.i AS a, b.i AS b, CAST(b.cs - a.cs + a.s AS DOUBLE) / (b.cn - a.cn + a.n) AS mean FROM summed a JOIN summed b ON b.i >= a.i),
+least_after AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM spans),
+steps AS (SELECT x, max(m) AS g FROM least_after JOIN summed USING (i) GROUP BY x),
+asked AS (SELECT runner_id, race_id, prob, round(prob, 3) AS x FROM probs WHERE race_date >= DATE '1999-01-01'),
+beside AS (SELECT q.x, (SELECT max(t.x) FROM steps t WHERE t.x <= q.x) AS lo, (SELECT min(t.x) FROM steps t WHERE t.x >= q.x) AS hi FROM (SELECT DISTINCT x FROM asked) q),
+told AS (SELECT b.x, CASE WHEN lo IS NULL THEN h.g WHEN hi IS NULL OR lo = hi THEN l.g ELSE l.g + (h.g - l.g) * (b.x - lo) / (hi - lo) END AS c FROM beside b LEFT JOIN steps l ON l.x = lo LEFT JOIN steps h ON h.x = hi)
+SELECT runner_id, round(prob, 6) AS prob, round(c, 6) AS calibrated, round(CASE WHEN sum(c) OVER w > 0 THEN c / sum(c) OVER w ELSE 1.0 / count(*) OVER w END, 6) AS final FROM asked JOIN told USING (x) WINDOW w AS (PARTITION BY race_id)""")
+def m03_isotonic_steps(r):
+    """As ``m03_isotonic_calibration``, on scores of three digits: the least of later means, of these the greatest of earlier ones."""
+    p = scores(r).withColumn("x", F.round("prob", 3))
+    done = scoring.isotonic(p.where("race_date < '1999-01-01'"), p.where("race_date >= '1999-01-01'"), "x", "won", "calibrated")
+    return scoring.renormalise(done, "calibrated", "race_id", "final").select("runner_id", "prob", "calibrated", "final")
+
+
 @register()
 def m05_ranker_stand_in(r):
     """Boosted trees on the win flag, softmax by race; a pointwise stand-in for a listwise ranker."""
@@ -878,6 +894,17 @@ def s05_exchange_records(r):
     return out.join(made["horse_history"].select(F.regexp_replace("history_id", "_hist$", "").alias("runner_id")), "runner_id", "left_semi")
 
 
+@register("SELECT runner_id, horse_name, weight_lbs FROM runners WHERE race_id % 9 <> 0")
+def s04_zipped_lines(r):
+    """Runners written as JSON lines to zip files of many members, some of the lines broken, and read back member by member."""
+    whole = F.to_json(F.struct("runner_id", "horse_name", "weight_lbs"))
+    broken = F.when(F.col("race_id") % 2 == 0, F.substring(whole, 1, 20)).otherwise(F.concat(F.lit("["), whole, F.lit("]")))
+    folder = tables.new_path(r.spark, "zips")
+    readers.write_zip_lines(r.runners.select(F.when(F.col("race_id") % 9 != 0, whole).otherwise(broken).alias("line")), folder, 5_000)
+    types = r.runners.select("runner_id", "horse_name", "weight_lbs").schema
+    return readers.read_zip_lines(r.spark, f"{folder}/*.zip").select(F.from_json("line", types).alias("x")).select("x.*")
+
+
 @register("""SELECT race_id FROM races WHERE race_date BETWEEN DATE '1994-03-01' AND DATE '1996-02-29' AND race_id % 4 IN (0, 1) AND race_id % 5 <> 0""")
 def s06_s09_files_to_read(r):
     """The files of a range of days and of two countries that were not read before."""

@@ -7,9 +7,12 @@ import io
 import json
 import zipfile
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,10 +147,66 @@ def form_rows(raw: DataFrame) -> DataFrame:
     return kept.where("race_date is not null and course_name is not null and horse_name is not null")
 
 
-def read_zip_lines(spark: SparkSession, path: str) -> DataFrame:
+class _Stored(io.RawIOBase):
+    """A store's file as Python's own kind of file, whose errors ``zipfile`` knows."""
+
+    def __init__(self, file: pafs.NativeFile):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        at = offset + (0, self.file.tell(), self.file.size())[whence]
+        if at < 0:
+            raise OSError("a place before the start")
+        return self.file.seek(at)
+
+    def readinto(self, into) -> int:
+        data = self.file.read(len(into))
+        into[: len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
+def opened(path: str) -> io.BufferedReader:
+    """A file of a store, to be read from any place; a path as Spark names files."""
+    if path.startswith(("file:", "/")):
+        fs, name = pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        fs, name = pafs.FileSystem.from_uri(quote(path, safe=":/@%?=&"))
+    return io.BufferedReader(_Stored(fs.open_input_file(name)), 1 << 16)
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """file, member, place (its number in the archive) and bytes (unpacked) of the members of zip files; of a file only its list is read.
+
+    Members that are neither .json, .jsonl nor .csv are left out.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file in batch["path"]:
+                with opened(file) as f, zipfile.ZipFile(f) as z:
+                    found = [(file, m.filename, i, m.file_size) for i, m in enumerate(z.infolist()) if m.filename.lower().endswith((".json", ".jsonl", ".csv"))]
+                yield pd.DataFrame(found, columns=["file", "member", "place", "bytes"])
+
+    names = spark.read.format("binaryFile").load(path).select("path")
+    return names.mapInPandas(listed, "file string, member string, place int, bytes long")
+
+
+def read_zip_lines(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
     """file, member and line of zip files: the JSON objects of .json and .jsonl members, and the rows of .csv members as such.
 
-    Malformed lines and other members are left out. A member is unpacked as it is read, ``ZIP_LINES`` lines at a time.
+    Malformed lines and other members are left out. Members, not archives, are dealt to ``tasks`` tasks
+    (four a core by default), so that one large archive spreads; a task reads the list of an archive and the bytes
+    of its members there. A member is unpacked as it is read, ``ZIP_LINES`` lines at a time.
     """
 
     def objects(name: str, lines: Iterable[str]) -> Iterator[str]:
@@ -163,17 +222,44 @@ def read_zip_lines(spark: SparkSession, path: str) -> DataFrame:
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        if not member.lower().endswith((".json", ".jsonl", ".csv")):
-                            continue
-                        with z.open(member) as f:
+            for file, members in batch.groupby("file", sort=False):
+                with opened(file) as archive, zipfile.ZipFile(archive) as z:
+                    places = z.infolist()
+                    for member, place in zip(members["member"], members["place"], strict=True):
+                        with z.open(places[place]) as f:
                             found = objects(member, io.TextIOWrapper(f, "utf-8", errors="ignore"))
                             while some := list(islice(found, ZIP_LINES)):
                                 yield pd.DataFrame({"file": file, "member": member, "line": some})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, member string, line string")
+    dealt = zip_members(spark, path).repartition(tasks or 4 * spark.sparkContext.defaultParallelism, "file", "place").sortWithinPartitions("file", "place")
+    return dealt.mapInPandas(lines, "file string, member string, line string")
+
+
+def write_zip_lines(lines: DataFrame, folder: str, member_lines: int = ZIP_LINES) -> DataFrame:
+    """Write ``line`` to zip files below ``folder``, a file a task and a member of .jsonl every ``member_lines`` lines; return file and lines.
+
+    A file has the attempt that wrote it in its name and gets that name when whole; what is returned, and stored, names those of
+    finished attempts only.
+    """
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get()
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.zip"
+        count, rest = 0, chain.from_iterable(batch["line"] for batch in batches)
+        if (some := list(islice(rest, member_lines))) == []:
+            return
+        with fs.open_output_stream(f"{path}/.{name}", compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            while some:
+                z.writestr(f"lines-{count // member_lines:06d}.jsonl", "".join(f"{line}\n" for line in some))
+                count += len(some)
+                some = list(islice(rest, member_lines))
+        fs.move(f"{path}/.{name}", f"{path}/{name}")
+        yield pd.DataFrame({"file": [f"{folder}/{name}"], "lines": [count]})
+
+    lines.select("line").mapInPandas(packed, "file string, lines long").write.parquet(f"{folder}/_written")
+    return lines.sparkSession.read.schema("file string, lines long").parquet(f"{folder}/_written")
 
 
 def first_of(*columns: Column) -> Column:

@@ -385,6 +385,33 @@ def test_zip_members(spark, tmp_path):
     assert (result["result_id"], result["won"], result["btn_lengths"], result["decision_cutoff_utc"]) == ("bf_1.6_red_res", True, 0.0, at("2024-04-02T21:00:00"))
 
 
+def test_zip_members_spread(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "big.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(40):
+            z.writestr(f"{i:02d}.jsonl", "".join(json.dumps({"id": i * 100 + k}) + "\n" for k in range(100)))
+        z.writestr("00.jsonl", '{"id": -1}\n')  # a second member of that name
+        z.writestr("empty.json", "")
+    zipfile.ZipFile(folder / "none.zip", "w").close()
+    members = readers.zip_members(spark, str(folder / "*.zip"))
+    assert (members.count(), members.select("place").distinct().count()) == (42, 42)
+    lines = readers.read_zip_lines(spark, str(folder / "*.zip"), 8)
+    got = lines.select(F.get_json_object("line", "$.id").cast("long").alias("id"), F.spark_partition_id().alias("p")).collect()
+    assert sorted(r["id"] for r in got) == [-1, *range(4_000)]
+    assert len({r["p"] for r in got}) > 4
+
+
+def test_zip_files_written(spark, tmp_path):
+    lines = spark.range(2_500).repartition(2).selectExpr("concat('{\"id\": ', id, '}') AS line")
+    folder = f"file://{tmp_path}/zips"
+    written = rows(readers.write_zip_lines(lines, folder, 500))
+    assert sum(r["lines"] for r in written) == 2_500 and len(written) == 2
+    assert readers.zip_members(spark, f"{folder}/*.zip").count() >= 5
+    assert sorted(r["line"] for r in rows(readers.read_zip_lines(spark, f"{folder}/*.zip"))) == sorted(r["line"] for r in rows(lines))
+    assert rows(readers.write_zip_lines(lines.where("line IS NULL"), f"{folder}-empty")) == []
+
+
 def test_tables_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "k int, v string")
     folder = str(tmp_path / "tables")
