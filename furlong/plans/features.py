@@ -437,8 +437,9 @@ def feature_store(r) -> DataFrame:
     anew. A missing distance takes the median of its surface and type, else that of all races.
     """
     r.store()
-    form = stored(horse_form(r), "f001_horse_form")
-    groups = stored_together({name: lambda make=make: make(r) for name, make in GROUPS.items() if name not in ("f001_horse_form", "f005_class_features")})
+    # The last group has the longest chain of jobs, so it starts first.
+    groups = stored_together({name: lambda name=name: GROUPS[name](r) for name in sorted(GROUPS, reverse=True) if name != "f005_class_features"}, 4)
+    form = groups["f001_horse_form"]
     groups |= {"f001_horse_form": form.drop("horse_class_delta"), "f005_class_features": class_features(r, form)}
     wide = runners_with_races(r).where(~F.coalesce(is_no_race(), F.lit(False))).join(r.results.select("runner_id", F.col("won").alias("target")), "runner_id")
     wide = wide.select("runner_id", "race_id", "race_date", "decision_cutoff_utc", "target", "sex", "surface", "race_type", parsed_distance().alias("parsed"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from furlong.operators.tables import stored
+from furlong.operators.tables import stored_together
 
 #: Fixed values of the mapping, by remainder of the order's key or by its status.
 RACE_TYPES = ["Flat", "Chase", "Hurdle", "NH Flat"]
@@ -22,6 +22,10 @@ GRADES = {0: "Group 1", 1: "Listed"}
 SEXES = ["G", "M", "F", "C", "H"]
 
 
+#: Derived tables in the order in which they are made; those of a step don't need each other.
+STEPS = [("lines",), ("races", "runners"), ("results",), ("horse_history", "jockey_history"), ("trainer_history",)]
+
+
 def pick(values: list[str], index: Column) -> Column:
     """The value at ``index`` from 0."""
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
@@ -46,8 +50,9 @@ class Racing:
 
     def store(self, names: Iterable[str] = ("lines", "races", "runners", "results", "horse_history", "trainer_history", "jockey_history")) -> None:
         """Write the tables that features derive from, so that each is made once; a table comes after those it is made of."""
-        for name in names:
-            self._made[name] = stored(getattr(self, name), name)
+        names = set(names)
+        for step in STEPS:
+            self._made |= stored_together({name: lambda name=name: getattr(self, name) for name in step if name in names})
 
     def _lines(self) -> DataFrame:
         """One row a runner: the lines of one order with one line number together."""
