@@ -4,15 +4,18 @@ Windows of 13 words of each benchmark item are hashed into a set. Each document'
 by doubling (a hash of 2 words from two of 1, of 4 from two of 2, ...; 13 words are two overlapping
 windows of 8), so a position costs five hashes and not thirteen. Positions whose hash is in the set
 are verified by the window's words. The set is a literal of the plan, which Spark sends to each
-executor, as long as the benchmark has at most ``max_set`` windows; a larger one is joined.
+executor, as long as the benchmark has at most ``max_set`` windows. Hashes of a larger one are a table of 8
+bytes a row, sent to the executors up to ``MAX_BROADCAST_ROWS`` and joined beyond; only documents with a hit go on.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.shared import written
+from furlong.llm.shared import broadcast_if_small, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What is between words, once A-Z are lower-cased.
@@ -74,17 +77,28 @@ class Benchmark:
                 of_k = self.windows.where(F.col("k") == k).select(F.col("window").alias("_text"))
                 self.hashes[k] = [r[0] for r in with_window_hashes(of_k, [k]).select(F.element_at(f"_of{k}", 1)).distinct().collect()]
 
+    def hash_table(self) -> DataFrame:
+        """(k, hash) of all windows, written."""
+        texts = self.windows.select("k", F.col("window").alias("_text"))
+        each = [with_window_hashes(texts.where(F.col("k") == k), [k]).select("k", F.element_at(f"_of{k}", 1).alias("hash")) for k in self.sizes]  # `size` at most
+        return written(reduce(DataFrame.unionByName, each).distinct(), "window-hashes")
+
 
-def _placed(k: int, wanted: list[int] | None = None) -> Column:
+def _placed(k: int, wanted: list[int]) -> Column:
     """(place, k, words) of each window of k words; null where its hash is not wanted."""
 
     def window(x: Column, i: Column) -> Column:
         at = F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice("_w", i + 1, F.lit(k)), " ").alias("window"))
-        return at if wanted is None else F.when(x.isin(wanted), at)
+        return F.when(x.isin(wanted), at)
 
     return F.transform(f"_of{k}", window)
 
 
+def _hashed(k: int) -> Column:
+    """(place, k, hash) of each window of k words."""
+    return F.transform(f"_of{k}", lambda x, i: F.struct(i.alias("at"), F.lit(k).alias("k"), x.alias("hash")))
+
+
 def _verified(k: int, benchmark: Benchmark) -> Column:
     """The windows of k words that the benchmark has, by hash and then by words."""
     return F.filter(_placed(k, benchmark.hashes[k]), lambda h: h.isNotNull() & h["window"].isin(benchmark.texts[k]))
@@ -118,29 +132,58 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_s
     Null texts have no words, and neither they nor empty ones are contaminated. Rows with equal
     doc_id are judged each on its own. Items without words have no window. Extra columns are ignored.
     """
+    bench = Benchmark(benchmark, size, max_set)
     docs = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    return _judged(docs, Benchmark(benchmark, size, max_set)).drop("_row")
+    return _judged(docs if bench.texts is not None else written(docs, "numbered"), bench).drop("_row")
 
 
 def _judged(docs: DataFrame, bench: Benchmark) -> DataFrame:
     """The same with ``_row``, which numbers the rows of ``docs`` (doc_id, text, _row)."""
-    if bench.texts is not None:
-        rows = with_hits(docs, bench).select("_row", "doc_id", F.col("_n").alias("n_words"), F.explode_outer("_hits").alias("h")).select("_row", "doc_id", "n_words", "h.*")
-        items = F.broadcast(bench.windows.groupBy("window").agg(F.collect_set("item_id").alias("ids")))  # at most max_set rows
-    else:
-        hashed = with_window_hashes(docs.withColumn("_text", F.col("text")), bench.sizes)
-        each = F.concat(*[_placed(k) for k in bench.sizes])
-        rows = hashed.select("_row", "doc_id", F.size("_w").alias("n_words"), F.explode_outer(each).alias("h")).select("_row", "doc_id", "n_words", "h.*")
-        items = bench.windows.groupBy("window").agg(F.collect_set("item_id").alias("ids"))
+    if bench.texts is None:
+        return _judged_by_join(docs, bench)
+    rows = with_hits(docs, bench).select("_row", "doc_id", F.col("_n").alias("n_words"), F.explode_outer("_hits").alias("h")).select("_row", "doc_id", "n_words", "h.*")
+    items = F.broadcast(bench.windows.groupBy("window").agg(F.collect_set("item_id").alias("ids")))  # at most max_set rows
     # Rows without a window get a key of their own, so that they don't meet in one task.
     rows = rows.withColumn("_key", F.coalesce("window", F.concat(F.lit("\0"), F.col("_row").cast("string"))))
     joined = rows.join(items.withColumnRenamed("window", "_key"), "_key", "left")
     hit = F.when(F.col("ids").isNotNull(), F.struct("at", "k"))
-    grouped = joined.groupBy("_row", "doc_id", "n_words").agg(F.sort_array(F.collect_set(hit)).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
+    return _counted(joined.groupBy("_row", "doc_id", "n_words").agg(_hits_of(hit), _items_of("ids")))
+
+
+def _hits_of(hit: Column) -> Column:
+    return F.sort_array(F.collect_set(hit)).alias("hits")
+
+
+def _items_of(ids: str) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(ids)))).alias("items")
+
+
+def _counted(grouped: DataFrame) -> DataFrame:
+    """Counts and verdict of rows (_row, doc_id, n_words, hits, items)."""
     out = grouped.withColumn("n_hit", _n_hit(F.col("hits")).cast("long"))
     return out.select("_row", "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), "items", "hits", _is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def _judged_by_join(docs: DataFrame, bench: Benchmark) -> DataFrame:
+    """``_judged`` for a benchmark that doesn't fit in the set; ``docs`` must be a written table.
+
+    Places whose hash the benchmark has are found by a semi-join of (k, hash, place); words are looked at
+    for these places alone, and neither texts nor windows of documents without such a place are shuffled.
+    """
+    hashed = with_window_hashes(docs.select("_row", F.col("text").alias("_text")), bench.sizes)
+    each = F.concat(*[_hashed(k) for k in bench.sizes])
+    places = hashed.select("_row", F.explode(each).alias("h")).select("_row", "h.*").join(broadcast_if_small(bench.hash_table()), ["k", "hash"], "left_semi")
+    found = written(places.groupBy("_row").agg(F.collect_list(F.struct("at", "k")).alias("found")), "found-windows")
+    words = docs.select("_row", "text").join(broadcast_if_small(found.select("_row")), "_row", "left_semi").join(found, "_row").select("_row", words_of(F.col("text")).alias("_w"), "found")
+    window = F.transform("found", lambda h: F.struct(h["at"].alias("at"), h["k"].alias("k"), F.array_join(F.slice("_w", h["at"] + 1, h["k"]), " ").alias("window")))
+    items = bench.windows.groupBy("window").agg(F.collect_set("item_id").alias("ids"))
+    hits = words.select("_row", F.explode(window).alias("h")).select("_row", "h.*").join(items, "window")
+    of_row = hits.groupBy("_row").agg(_hits_of(F.struct("at", "k")), _items_of("ids"))
+    all_rows = docs.select("_row", "doc_id", F.size(words_of(F.col("text"))).alias("n_words")).join(of_row, "_row", "left")
+    none = {"hits": "array<struct<at:int,k:int>>", "items": "array<string>"}
+    return _counted(all_rows.select("_row", "doc_id", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()]))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size: int = SIZE, max_set: int = MAX_SET) -> DataFrame:
     """``docs`` without contaminated rows (``remove="documents"``) or without the words that windows cover (``"spans"``).
 

@@ -303,6 +303,19 @@ def test_contamination(spark, max_set):
     assert decontaminate.contamination(frame(spark, docs), benchmark.where("false"), max_set=200_000).where("contaminated").count() == 0
 
 
+def test_contamination_by_a_large_benchmark(spark):
+    item = "array_join(transform(sequence(0, 112), x -> concat('w', string(id), 'x', string(x))), ' ')"
+    items = spark.range(3_000).selectExpr("concat('i', id) AS item_id", f"{item} AS text")
+    bench = decontaminate.Benchmark(items)
+    assert bench.count == 303_000 and bench.texts is None
+    part = "concat('start ', array_join(transform(sequence(10, 39), x -> concat('W', string(id), 'x', string(x))), '-'), ' end')"
+    docs = spark.range(200).selectExpr("id AS doc_id", f"CASE WHEN id % 4 = 0 THEN {part} WHEN id % 4 = 1 THEN 'w1x10 w1x11 w1x12' WHEN id % 4 = 2 THEN '' END AS text")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in rows(decontaminate.contamination(docs, items))}
+    want = {0: lambda i: (32, 30, [f"i{i}"], True), 1: lambda i: (3, 0, [], False), 2: lambda i: (0, 0, [], False), 3: lambda i: (0, 0, [], False)}
+    assert got == {i: want[i % 4](i) for i in range(200)}
+    assert decontaminate.decontaminate(docs, items).count() == 150
+
+
 def test_spans_are_cut_out(spark):
     benchmark = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
     got = rows(decontaminate.decontaminate(frame(spark, ["Zero, One TWO three. Four!", "zero one", None]), benchmark, remove="spans"))
