@@ -51,6 +51,8 @@ class Racing:
     def store(self, names: Iterable[str] = ("lines", "races", "runners", "results", "horse_history", "trainer_history", "jockey_history")) -> None:
         """Write the tables that features derive from, so that each is made once; a table comes after those it is made of."""
         names = set(names)
+        if unknown := names - {name for step in STEPS for name in step}:
+            raise ValueError(f"not a derived table: {sorted(unknown)}")
         for step in STEPS:
             self._made |= stored_together({name: lambda name=name: getattr(self, name) for name in step if name in names})
 
