@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+from functools import cache
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -11,10 +14,39 @@ from pyspark.sql.window import Window
 from furlong.operators.tables import stored
 
 
-def softmax(df: DataFrame, score: str, group: str, out: str) -> DataFrame:
-    """Exponentials of the scores over their sum in the group; the greatest score is taken off first."""
+#: Steps of a whole number in the table of exponentials, and the numbers that it goes to.
+EXP_STEPS, EXP_MOST = 64, 16
+
+
+@cache
+def _exponentials() -> tuple[str, str]:
+    """Exponentials of the table's steps as SQL arrays: the nearest doubles, and what these lack."""
+    with localcontext() as context:
+        context.prec = 50
+        exact = [(Decimal(k) / EXP_STEPS).exp() for k in range(-EXP_MOST * EXP_STEPS, EXP_MOST * EXP_STEPS + 1)]
+        lacking = [float(x - Decimal(float(x))) for x in exact]
+    return tuple(f"array({', '.join(f'{float(x)!r}D' for x in values)})" for values in (exact, lacking))
+
+
+def near_exp(x: Column) -> Column:
+    """e to the power of x, rounded as the C library does (0.51 units in the last place), up to 16 on both sides.
+
+    Spark's own ``exp`` may be a whole unit off, so scores that differ in the last digit get other shares than by
+    SQL, on the other side of a limit. The nearest step is looked up; the rest, under 1/128, is a short series.
+    """
+    step = F.round(x * EXP_STEPS).cast("int")
+    b = x - step / F.lit(float(EXP_STEPS))
+    rest = F.lit(1.0 / 720)
+    for n in (120, 24, 6, 2):
+        rest = F.lit(1.0 / n) + b * rest
+    high, low = (F.get(F.expr(table), step + EXP_MOST * EXP_STEPS) for table in _exponentials())
+    return F.when(F.abs(x) < EXP_MOST, high + (low + high * (b + b * b * rest))).otherwise(F.exp(x))
+
+
+def softmax(df: DataFrame, score: str, group: str, out: str, bounded: bool = False) -> DataFrame:
+    """Exponentials of the scores over their sum in the group; the greatest score is taken off first, except from ``bounded`` ones."""
     w = Window.partitionBy(group)
-    df = df.withColumn("_e", F.exp(F.col(score) - F.max(score).over(w)))
+    df = df.withColumn("_e", near_exp(F.col(score)) if bounded else F.exp(F.col(score) - F.max(score).over(w)))
     return df.withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_e")
 
 

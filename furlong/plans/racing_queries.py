@@ -258,7 +258,7 @@ def scores(r) -> DataFrame:
     score = F.coalesce("official_rating", F.lit(20)) * 0.08 + (F.col("weight_lbs") - 120) * 0.02 - F.coalesce("draw", F.lit(4)) * 0.05
     rows = features.runners_with_races(r).join(r.results.select("runner_id", "won", "sp_decimal", "finishing_position"), "runner_id")
     out = rows.select("runner_id", "race_id", "race_date", "race_type", "surface", "horse_name", "course_name", "won", "sp_decimal", "finishing_position", score.cast("double").alias("score"))
-    return scoring.softmax(out, "score", "race_id", "prob")
+    return scoring.softmax(out, "score", "race_id", "prob", bounded=True)  # as SQL adds them up, to the last digit
 
 
 SCORES = """,
