@@ -143,19 +143,29 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return dealt.withColumn("_place", place).join(F.broadcast(starts), "_range").withColumn(out, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
 
 
+#: Windows in a block of a moving mean.
+BLOCK_WINDOWS = 20
+
+
 def moving_mean(df: DataFrame, order: list[str], value: str, out: str, most: int = 500, least: int = 50) -> DataFrame:
     """The mean of the last min(most, a third of all rows) values in an order of all rows, null before there are ``least``.
 
-    Rows are numbered by ranges and go to the block of their number and, as what came before, to the
-    next one; so a task needs one block and no window spans all rows.
+    Rows are numbered by ranges and go to the block of their number; a block's last window goes to the next
+    one too, as what came before. So a task needs one block and no window spans all rows. A mean is the
+    difference of two running sums, which takes a step a row; a sliding frame would add up all its rows for each.
     """
     rows = numbered(df, order, "_at")
     window = max(1, min(most, rows.count() // 3))
-    block = F.floor(F.col("_at") / window)
-    dealt = rows.withColumn("_own", block).withColumn("_block", F.explode(F.array(block, block + 1)))
-    last = Window.partitionBy("_block").orderBy("_at").rowsBetween(-(window - 1), 0)
-    means = dealt.withColumn(out, F.when(F.count(value).over(last) >= least, F.avg(value).over(last)))
-    return means.where("_own = _block").drop("_own", "_block", "_at")
+    size = window * BLOCK_WINDOWS
+    block = F.floor(F.col("_at") / size)
+    blocks = F.when(F.col("_at") % size >= size - window, F.array(block, block + 1)).otherwise(F.array(block))
+    dealt = rows.withColumn("_own", block).withColumn("_block", F.explode(blocks))
+    ordered = Window.partitionBy("_block").orderBy("_at")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumns({"_s": F.coalesce(F.sum(value).over(so_far), F.lit(0.0)), "_n": F.count(value).over(so_far)})
+    total, n = (F.col(c) - F.coalesce(F.lag(c, window).over(ordered), F.lit(0)) for c in ("_s", "_n"))
+    means = summed.withColumns({"_s": total, "_n": n})
+    return means.where("_own = _block").withColumn(out, F.when(F.col("_n") >= least, F.try_divide("_s", "_n"))).drop("_own", "_block", "_at", "_s", "_n")
 
 
 def category_code(df: DataFrame, column: str, out: str) -> DataFrame:
