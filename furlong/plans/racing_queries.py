@@ -890,7 +890,7 @@ def s05_exchange_records(r):
         "finishing_position": place, "status": F.when(place.isNull(), "REMOVED"), "sp_decimal": F.when(even, 0.0), "bsp": F.col("sp_decimal"),
     }
     lines = rows.select(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("line"))
-    made = readers.exchange_records(lines)
+    made = readers.exchange_records(tables.stored(lines, "exchange-lines"))  # read by each kind of record
     own = F.regexp_extract("horse_id", r"^horse_(.*)$", 1).alias("own_id")
     runners = made["runners"].select("runner_id", "race_id", "trainer_id", own).join(made["races"].select("race_id", "course_name", "decision_cutoff_utc"), "race_id")
     out = runners.join(made["results"].select("runner_id", "finishing_position", "won", "finishing_position_raw", "sp_decimal"), "runner_id")
