@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from furlong.functions import text
 from furlong.operators import dml
+from furlong.operators.tables import stored
 
 #: Lines of a zipped file that a batch has.
 ZIP_LINES = 10_000
@@ -267,14 +268,24 @@ def first_of(*columns: Column) -> Column:
     return F.coalesce(*[F.when(~c.isin("", "0", "0.0", "false"), c) for c in columns])
 
 
+#: What exchange records are read for, under all its names.
+EXCHANGE_FIELDS = [
+    "marketId", "market_id", "id", "venue", "course_name", "eventName", "marketStartTime", "scheduled_off_utc", "off_time", "runnerName", "horse_name", "trainer", "trainer_name", "jockey", "jockey_name",
+    "finishingPosition", "finishing_position", "status", "sp_decimal", "bsp", "sp", "numberOfRunners", "field_size", "country", "headgear_first_time", "is_handicap", "going_code", "going_description", "race_type",
+    "race_grade", "surface", "headgear", "distance_furlongs", "prize_money_gbp", "weight_lbs", "btn_lengths", "official_time_secs", "race_class", "draw", "age", "official_rating", "days_since_last_run", "career_runs",
+]
+
+
 def exchange_records(lines: DataFrame) -> dict[str, DataFrame]:
     """Races, runners, results and history rows of exchange records (JSON in ``line``), whose fields go by several names.
 
     Records without a market's id or a readable time are left out. Of several records of one race or
-    runner the one of the least horse, then the least text, is taken.
+    runner the one of the least horse, then the least text, is taken. A record is parsed once, whole; one that
+    is no whole JSON is left out. The fields are written, and once more the one record of each runner.
     """
-    get = lambda *names: first_of(*[F.get_json_object("line", f"$.{n}") for n in names])
-    plain = lambda name: F.get_json_object("line", f"$.{name}")
+    get = lambda *names: first_of(*map(plain, names))
+    plain = lambda name: F.col(f"_{name}")
+    lines = lines.select("line", F.json_tuple("line", *EXCHANGE_FIELDS).alias(*[f"_{n}" for n in EXCHANGE_FIELDS]))
     number, whole = (lambda name: plain(name).try_cast("double").alias(name)), (lambda name: text.whole(plain(name)).alias(name))
     texts = lambda *names: [plain(n).alias(n) for n in names]
     course, horse = F.coalesce(get("venue", "course_name", "eventName"), F.lit("unknown")), F.coalesce(get("runnerName", "horse_name"), F.lit("unknown_horse"))
@@ -291,9 +302,10 @@ def exchange_records(lines: DataFrame) -> dict[str, DataFrame]:
     base = base.where("source_race_id is not null and scheduled_off_utc is not null").withColumn("race_id", F.concat(F.lit("bf_"), "source_race_id"))
     base = base.withColumn("runner_id", F.concat_ws("_", "race_id", "horse_id")).withColumn("race_date", F.to_date("scheduled_off_utc")).withColumn("decision_cutoff_utc", text.decision_cutoff("scheduled_off_utc"))
     base = base.withColumn("won", F.coalesce(F.col("finishing_position") == 1, F.lit(False)))
+    base = stored(base, "exchange-fields")
     times = ["scheduled_off_utc", "decision_cutoff_utc"]
     races = dml.first_by(base, ["race_id"], F.col("horse_id"), F.col("line"))
-    each = dml.first_by(base, ["runner_id"], F.col("line"))
+    each = stored(dml.first_by(base, ["runner_id"], F.col("line")).drop("line"), "exchange-runners")
     return {
         "races": races.select("race_id", "source_race_id", "course_id", "course_name", "race_date", *times, "distance_furlongs", "going_code", "going_description", "race_type", "race_class", "race_grade", "prize_money_gbp", "field_size", "is_handicap", "surface", "country"),
         "runners": each.select("runner_id", "race_id", "horse_id", "horse_name", "trainer_id", "trainer_name", "jockey_id", "jockey_name", "draw", "weight_lbs", "age", "official_rating", "headgear", "headgear_first_time", "days_since_last_run", "career_runs", *times),
